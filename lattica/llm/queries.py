@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from lattica.llm.common import read_table
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.repeats import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"), text=False)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.mixing import mix_documents
 
@@ -31,10 +37,36 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.toxicity import THRESHOLD, fit, fold, score
+
+    docs = read_table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.html import main_text
+
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.brown import class_scores
+    from lattica.llm.toxicity import fold
+
+    scores = class_scores(read_table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0)
+    return scores.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": op1_repeats,
     "op3_source_mix": op3_source_mix,
+    "op4_main_text": op4_main_text,
     "op7_fingerprints": op7_fingerprints,
+    "op8_class_lm": op8_class_lm,
     "op9_bpe": op9_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
