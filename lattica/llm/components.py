@@ -1,0 +1,31 @@
+"""Connected components of a link table, by least labels with shortcuts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lattica.llm.common import cut
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(v, c): for each vertex of edges the least vertex that it reaches. Links count both ways; loops and repeats are fine.
+
+    Each round takes the least label among the neighbours and then the label's own label, so labels cross a component
+    in a number of rounds that grows with the logarithm of long paths. Nothing is collected but the number of changes.
+    """
+    links = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("x"), F.col(b).alias("y")).distinct()
+    both = cut(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    loops = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("v")).distinct()
+    labels = cut(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("v"), F.least("x", "m").alias("c")))
+    while True:
+        told = both.join(labels, F.col("y") == F.col("v")).groupBy("x").agg(F.min("c").alias("m"))
+        lower = labels.join(told, F.col("v") == F.col("x")).select("v", "c", F.least("c", "m").alias("n"))
+        target = labels.select(F.col("v").alias("t"), F.col("c").alias("tc"))
+        after = cut(lower.join(target, F.col("n") == F.col("t"), "left").select("v", F.least("n", F.coalesce("tc", "n")).alias("n"), "c"))
+        changed = not after.where("n <> c").isEmpty()
+        labels = after.select("v", F.col("n").alias("c"))
+        if not changed:
+            break
+    alone = loops.join(labels, "v", "left_anti").select("v", F.col("v").alias("c"))
+    return labels.unionByName(alone)

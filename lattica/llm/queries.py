@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import read_table
+from lattica.llm.lines import LINES_SQL
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,12 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.lines import line_digests
+
+    return line_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.fingerprints import edited_fingerprints
 
@@ -63,10 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op3_source_mix": op3_source_mix,
     "op4_main_text": op4_main_text,
+    "op5_lines": op5_lines,
     "op7_fingerprints": op7_fingerprints,
     "op8_class_lm": op8_class_lm,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_lines": LINES_SQL}
