@@ -17,6 +17,12 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"), text=False)
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.vectors import near_vectors
+
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.mixing import mix_documents
 
@@ -29,6 +35,12 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.chosen_path import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.fingerprints import edited_fingerprints
 
@@ -68,9 +80,11 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
+    "op2_vectors": op2_vectors,
     "op3_source_mix": op3_source_mix,
     "op4_main_text": op4_main_text,
     "op5_lines": op5_lines,
+    "op6_jaccard": op6_jaccard,
     "op7_fingerprints": op7_fingerprints,
     "op8_class_lm": op8_class_lm,
     "op9_bpe": op9_bpe,
