@@ -57,7 +57,7 @@ def decode(ids: np.ndarray, ranks: str, pattern: str) -> bytes:
 
 
 def bpe_encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: str = "doc_id", ids: bool = True) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256, and ids as array<long> if asked for), one row for each row of docs.
+    """(key, n_tokens, ids_sha256, decoded_sha256, and ids as array<int> if asked for), one row for each row of docs.
 
     A null or empty text has no tokens. Repeated rows are encoded each for itself; other columns are not read.
     """
@@ -73,16 +73,16 @@ def bpe_encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ke
                     first.append(hashlib.sha256(got.tobytes()).hexdigest())
                     second.append(hashlib.sha256(decode(got, ranks, pattern)).hexdigest())
                     if ids:
-                        all_ids.append(got.astype(np.int64))
+                        all_ids.append(got.astype(np.int32))
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
                 names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
-                    columns.append(pa.array(all_ids, pa.list_(pa.int64())))
+                    columns.append(pa.array(all_ids, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * ids
+    schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
     return docs.select(key, text).mapInArrow(run, schema)
 
 
