@@ -23,8 +23,8 @@ MOST = 0.6
 WINS = 0.05
 
 # Tags by role, and words of class names, ids and roles that mark what isn't main text.
-CONTAINERS = frozenset("body article main section div nav header footer aside form ul ol dl table figure blockquote details dialog fieldset menu center".split())
-BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 br hr li dt dd tr td th caption thead tbody tfoot pre address figcaption summary option html head title legend".split())
+CONTAINERS = frozenset("article main section div nav header footer aside form ul ol dl table figure blockquote details dialog fieldset menu center".split())
+BLOCKS = CONTAINERS | frozenset("body p h1 h2 h3 h4 h5 h6 br hr li dt dd tr td th caption thead tbody tfoot pre address figcaption summary option html head title legend".split())
 ASIDE = frozenset("nav footer aside form menu dialog".split())
 SILENT = frozenset("script style noscript template textarea iframe svg select button head title object canvas audio video map math datalist".split())
 MARKS = frozenset(
@@ -61,7 +61,7 @@ def set_aside(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     if tag in ASIDE:
         return True
     said = {w.lower() for k in ("class", "id", "role") if k in attrs for w in _WORDS.findall(attrs[k])}
-    if tag in ("body", "main", "article"):
+    if tag in ("main", "article"):
         return tag == "article" and bool(said & COMMENTS)
     if tag == "header" or said & HEADS:
         return not in_article
