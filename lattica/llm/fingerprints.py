@@ -20,6 +20,8 @@ BINS = 128
 BITS = 8
 #: Rows of a bucket of neighbouring ids, about.
 BUCKET = 1024
+#: Rows of a table of bucket heads that is broadcast, at most (24 bytes each).
+HEADS = 100_000
 #: Probes of an empty bin before all full bins are ranked.
 _PROBES = 24
 
@@ -92,6 +94,9 @@ def with_next(docs: DataFrame, columns: list[str], bucket: int = BUCKET) -> Data
     follows = heads.select("_head", F.lag("_bucket").over(w).alias("_for"), F.max("_bucket").over(Window.partitionBy()).alias("_top"), F.min("_bucket").over(Window.partitionBy()).alias("_low"))
     follows = follows.select("_head", F.coalesce("_for", "_low").alias("_bucket"), F.col("_for").isNull().alias("_wraps"))
     order = [F.desc("_sort"), F.desc("_id"), F.asc("text")]
+    # one head for about `bucket` rows: small tables of heads are broadcast, above HEADS they are joined by a shuffle
+    if heads.count() <= HEADS:
+        follows = F.broadcast(follows)
     firsts = docs.join(follows, docs["_id"] == F.col("_head")).withColumn("_place", F.row_number().over(Window.partitionBy("_head").orderBy("text"))).where("_place = 1")
     guests = firsts.select(*docs.columns, "_bucket", F.lit(0).alias("_sort"))
     rows = docs.select("*", of.alias("_bucket"), F.lit(1).alias("_sort")).unionByName(guests)
