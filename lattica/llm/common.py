@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lattica.session import ship
+
 #: Bytes that separate words (a fixed value of the word definition): space and \x09-\x0D.
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: The same definition as a Java / RE2 pattern.
@@ -21,15 +24,24 @@ _IS_SPACE[list(SEPARATORS)] = True
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the cluster's checkpoint folder, so that a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lattica-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """df computed once and written as a table into the cluster's checkpoint folder, which all executors share.
+
+    Its readers don't depend on the executors that computed it. Like Spark's own checkpoints by default, the files stay
+    until the folder is cleaned. Without a folder in spark.checkpoint.dir, as in tests, a temporary one is used.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-checkpoint-"))
+        folder = sc.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/lattica-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

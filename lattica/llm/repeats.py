@@ -4,8 +4,8 @@ Every text is parsed bottom up in rounds. Runs of a word and then, in each round
 symbols get new names, where a global coin per symbol and round says which symbols are left and which right. A name is
 a hash of what it stands for, so it is the same in every document without a dictionary that tasks would have to
 share. With each symbol goes the stretch of words that its forming depended on: a window that holds that stretch holds
-the symbol, wherever the window's words occur. A window's anchor is the least name of the highest symbols it so
-holds; neighbouring windows with one anchor are a stretch.
+the symbol, wherever the window's words occur. A window's anchor is the least name of the longest kind of symbols it so
+holds (see RANKS); neighbouring windows with one anchor are a stretch.
 
 Stretches are compared in Spark. Anchors that occur once are done with. For the others, equal stretches (by a hash of
 all their words) need only their first place, and of unlike stretches that share an anchor the first ones are
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from lattica.llm.common import Words, chunks, cut, mix64, span_hashes
 
 WINDOW = 20
-ROUNDS = 3
+ROUNDS = 4
+#: An anchor is one of so many words if the window has one, else one of so many ...
+RANKS = (4, 3, 2)
 #: Windows of a stretch, at most, and the bit that marks a stretch in which a window occurs twice.
 STRETCH, _TWICE = 16, 64
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -36,15 +38,15 @@ def _named(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return mix64(a * np.uint64(0x9E3779B97F4A7C15) + mix64(b ^ np.uint64(0xC2B2AE3D27D4EB4F * salt & (1 << 64) - 1)))
 
 
-def symbols(h: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(round, names, low, high) of the symbols that each round makes; words low to high - 1 decide that a symbol forms.
+def symbols(h: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(names, words, low, high) of the symbols that each round makes; words low to high - 1 decide that a symbol forms.
 
     h: names of the words; first: the first word of each text and the end. Round 0 are the words themselves. A symbol
     whose forming depends on where its text begins or ends has a stretch beyond the text.
     """
     n = len(h)
     name, low, high = h, np.arange(n), np.arange(1, n + 1)
-    yield 0, name, low, high
+    yield name, high - low, low, high
     edge = np.zeros(n + 1, bool)  # between symbols i - 1 and i
     edge[first] = True
     edge[[0, n]] = True
@@ -57,7 +59,7 @@ def symbols(h: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> Iterator[
     name = np.where(many, _named(h[at], size.astype(np.uint64), 1), h[at])
     low, high = at - 1, at + size + 1
     edge = np.r_[edge[at], True]
-    yield 1, name[many], low[many], high[many]
+    yield name[many], size[many], low[many], high[many]
     for k in range(1, rounds + 1):
         if len(name) < 2:
             return
@@ -66,34 +68,35 @@ def symbols(h: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> Iterator[
         pair[:-1] = ~right[:-1] & right[1:] & ~edge[1:-1]
         i = np.flatnonzero(pair)
         made = _named(name[i], name[i + 1], 2 * k + 1)
-        yield k, made, np.minimum(low[i], low[i + 1]), np.maximum(high[i], high[i + 1])
+        yield made, size[i] + size[i + 1], np.minimum(low[i], low[i + 1]), np.maximum(high[i], high[i + 1])
         # a left symbol stays single because of the one after it, a right one because of the one before
         after_low, after_high = np.r_[low[1:], n], np.r_[high[1:], n]
         before_low, before_high = np.r_[0, low[:-1]], np.r_[0, high[:-1]]
         at_end, at_start = edge[1:], edge[:-1]
         new_low = np.where(right, np.where(at_start, low - WINDOW - 1, np.minimum(low, before_low)), np.where(at_end, low, np.minimum(low, after_low)))
         new_high = np.where(right, np.where(at_start, high, np.maximum(high, before_high)), np.where(at_end, high + WINDOW + 1, np.maximum(high, after_high)))
-        name = name.copy()
+        name, size = name.copy(), size.copy()
+        size[i] += size[i + 1]
         name[i], new_low[i], new_high[i] = made, np.minimum(low[i], low[i + 1]), np.maximum(high[i], high[i + 1])
         stay = np.ones(len(name), bool)
         stay[i + 1] = False
         edge = np.r_[edge[:-1][stay], True]
-        name, low, high = name[stay], new_low[stay], new_high[stay]
+        name, size, low, high = name[stay], size[stay], new_low[stay], new_high[stay]
 
 
 def anchors(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each word the anchor of the window that starts with it (garbage where no window of one text starts)."""
     n = len(h)
     least = [np.full(n + 1, _NONE) for _ in range(5)]
-    for k, name, low, high in symbols(h, first):
-        rank = np.uint64((2 if k == 0 else 1 if k == 1 else 0) << 62)
-        value = (name >> np.uint64(2)) | rank
+    for name, size, low, high in symbols(h, first):
+        rank = np.searchsorted(-np.array(RANKS), -size, "left").astype(np.uint64)
+        value = (name >> np.uint64(2)) | rank << np.uint64(62)
         lo, hi = np.maximum(high - WINDOW, 0), low
         ok = (hi >= lo) & (hi < n)
         lo, hi, value = lo[ok], hi[ok], value[ok]
-        size = np.frexp(hi - lo + 1)[1] - 1
+        log = np.frexp(hi - lo + 1)[1] - 1
         for j in range(5):
-            of = size == j
+            of = log == j
             if of.any():
                 np.minimum.at(least[j], lo[of], value[of])
                 np.minimum.at(least[j], hi[of] - (1 << j) + 1, value[of])
@@ -139,17 +142,15 @@ def _arrow(names: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns], names=list(names))
 
 
-def _covered(words: Words, i: int, spans: list) -> np.ndarray:
-    """Which words of text i are in its spans of (loc, words), for the spans whose mark is the text's."""
-    at, to = words.first[i], words.first[i + 1]
-    change = np.zeros(to - at + 1, np.int64)
-    if spans:
-        mark = text_marks(words.hashes()[at:to], np.array([0, to - at]))[0]
-        loc, size = np.array(spans, np.int64).reshape(-1, 2).T
-        ok = (loc & 0x7FFFFFFF) == mark
-        np.add.at(change, (loc >> 31)[ok], 1)
-        np.add.at(change, np.minimum((loc >> 31)[ok] + size[ok], to - at), -1)
-    return np.cumsum(change)[: to - at] > 0
+def _spans(words: Words, marks: np.ndarray, column: pa.Array, size: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, size) of the spans of some texts, from a column of lists of (l, size), for the spans whose mark is the text's."""
+    offsets = np.array(column.offsets)
+    flat = column.values.slice(offsets[0], offsets[-1] - offsets[0])
+    text = np.repeat(np.arange(len(column)), np.diff(offsets))
+    loc, n = flat.field("l").to_numpy(zero_copy_only=False), flat.field(size).to_numpy(zero_copy_only=False)
+    ok = (loc & 0x7FFFFFFF) == marks[text]
+    text, loc, n = text[ok], loc[ok], n[ok]
+    return text, words.first[text] + (loc >> 31), n
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -168,26 +169,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             for i, j, w in chunks(b):
                 h = w.hashes()
                 marks = text_marks(h, w.first)
-                for k, spans in enumerate(b.column("spans").slice(i, j - i)):
-                    loc, size = np.array([(x["l"], x["c"]) for x in spans.as_py()], np.int64).reshape(-1, 2).T
-                    ok = (loc & 0x7FFFFFFF) == marks[k]
-                    at = np.repeat(loc[ok] >> 31, size[ok] % _TWICE)
-                    at += np.arange(len(at)) - np.repeat(np.cumsum(size[ok] % _TWICE) - size[ok] % _TWICE, size[ok] % _TWICE)
-                    at += w.first[k]
-                    d = np.full(len(at), b.column("d")[i + k].as_py())
-                    yield _arrow("wdl", span_hashes(h, at, at + WINDOW), d, (at - w.first[k]) << 31 | marks[k])
+                text, at, n = _spans(w, marks, b.column("spans").slice(i, j - i), "c")
+                n = n % _TWICE
+                text, at = np.repeat(text, n), np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                yield _arrow("wdl", span_hashes(h, at, at + WINDOW), b.column("d").slice(i, j - i).to_numpy()[text], (at - w.first[text]) << 31 | marks[text])
 
     place = F.struct("d", "l")
     stretch = docs.mapInArrow(parse, "a long, r long, d long, l long, c long")
-    twice = F.col("c") >= _TWICE
-    common = stretch.groupBy("a").agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"), F.max("c").alias("most"))
-    common = common.where((F.col("n") > 1) | (F.col("most") >= _TWICE)).select("a", (F.col("lo") != F.col("hi")).alias("unlike"))
+    common = stretch.groupBy("a").agg(F.count("*").alias("n"), F.max("c").alias("most")).where((F.col("n") > 1) | (F.col("most") >= _TWICE)).select("a")
     shared = cut(stretch.join(common, "a"))
-    firsts = shared.groupBy("a", "r").agg(F.min(place).alias("first"))
-    judged = shared.join(firsts, ["a", "r"])
-    later = judged.where(place > F.col("first")).select("d", "l", (F.col("c") % _TWICE + WINDOW - 1).alias("words"))
-    unlike = judged.where((place == F.col("first")) & (F.col("unlike") | twice)).groupBy("d").agg(F.collect_set(F.struct("l", "c")).alias("spans"))
-    single = cut(docs.join(unlike, "d").mapInArrow(windows, "w long, d long, l long"))
+    firsts = shared.groupBy("a", "r").agg(F.min(place).alias("first"), F.max("c").alias("most"))
+    unlike = firsts.groupBy("a").agg(F.count("*").alias("kinds"))
+    judged = shared.join(firsts.join(unlike, "a").select("a", "r", "first", ((F.col("kinds") > 1) | (F.col("most") >= _TWICE)).alias("unlike")), ["a", "r"])
+    judged = cut(judged.select("d", "l", "c", "unlike", (place > F.col("first")).alias("later")).where("later or unlike"))
+    later = judged.where("later").select("d", "l", (F.col("c") % _TWICE + WINDOW - 1).alias("words"))
+    parts = judged.where("not later").groupBy("d").agg(F.collect_set(F.struct("l", "c")).alias("spans"))
+    # one exchange serves both the least place of each window and the comparison with it
+    single = docs.join(parts, "d").mapInArrow(windows, "w long, d long, l long").repartition("w")
     first = single.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("w", "first")
     again = single.join(first, "w").where(place > F.col("first")).select("d", "l", F.lit(WINDOW).cast("long").alias("words"))
     return later.unionByName(again).groupBy("d").agg(F.collect_list(F.struct("l", "words")).alias("spans"))
@@ -208,12 +206,17 @@ def remove_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
             for i, j, w in chunks(b):
                 n, gone, sha, kept = [], [], [], []
                 data = w.data.tobytes()
-                for k, spans in enumerate(b.column("spans").slice(i, j - i)):
-                    drop = _covered(w, k, [(x["l"], x["words"]) for x in spans.as_py() or ()])
+                change = np.zeros(len(w.starts) + 1, np.int64)
+                where, at, size = _spans(w, text_marks(w.hashes(), w.first), b.column("spans").slice(i, j - i), "words")
+                np.add.at(change, at, 1)
+                np.add.at(change, np.minimum(at + size, w.first[where + 1]), -1)
+                drop = np.cumsum(change)[:-1] > 0
+                for k in range(j - i):
                     all_words = data[w.offsets[k] : w.offsets[k + 1]].split()
-                    left = b" ".join([x for x, d in zip(all_words, drop.tolist()) if not d]) if drop.any() else b" ".join(all_words)
+                    mine = drop[w.first[k] : w.first[k + 1]]
+                    left = b" ".join([x for x, d in zip(all_words, mine.tolist()) if not d] if mine.any() else all_words)
                     n.append(len(all_words))
-                    gone.append(int(drop.sum()))
+                    gone.append(int(mine.sum()))
                     sha.append(hashlib.sha256(left).hexdigest())
                     kept.append(left.decode() if text else None)
                 columns = [b.column("d").slice(i, j - i), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
