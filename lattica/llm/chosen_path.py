@@ -133,7 +133,12 @@ def candidates(sets: DataFrame) -> DataFrame:
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.where("a <> b").distinct()
+    # buckets of many runs link a set again and again: what it links with is linked with the least of that instead,
+    # which keeps components and leaves about one link for each set
+    links = out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    near = links.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("all"))
+    own = near.select("a", F.col("m").alias("b"))
+    return cut(own.unionByName(near.select(F.explode("all").alias("a"), F.col("m").alias("b")).where("a <> b")).distinct())
 
 
 def _compare(sets: list[np.ndarray]) -> np.ndarray:
