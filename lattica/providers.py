@@ -43,7 +43,7 @@ class HashEmbedder:
 
 
 def _sentences(text: str) -> list[str]:
-    return [s for s in re.split(r"(?<=[.?!])\s+", text or "") if s.strip()]
+    return [s for s in re.split(r"(?<=[.?!])\s+", (text or "").strip()) if s]
 
 
 class ExtractiveGenerator:
