@@ -30,6 +30,8 @@ ROUNDS = 4
 RANKS = (4, 3, 2)
 #: Windows of a stretch, at most, and the bit that marks a stretch in which a window occurs twice.
 STRETCH, _TWICE = 16, 64
+#: Bits of a text's mark, and of an anchor in comparison: anchors that agree by chance only cost a closer look.
+MARK, ANCHOR = 16, 40
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LAST = (1 << 63) - 1
 
@@ -108,8 +110,8 @@ def anchors(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def text_marks(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """31 bits of a hash of each text's words; they tell apart texts of rows that share an id."""
-    return (span_hashes(h, first[:-1], first[1:]) >> np.uint64(33)).astype(np.int64)
+    """MARK bits of a hash of each text's words; they tell apart texts of rows that share an id."""
+    return (span_hashes(h, first[:-1], first[1:]) >> np.uint64(64 - MARK)).astype(np.int64)
 
 
 def stretches(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -148,13 +150,13 @@ def _spans(words: Words, marks: np.ndarray, column: pa.Array, size: str) -> tupl
     flat = column.values.slice(offsets[0], offsets[-1] - offsets[0])
     text = np.repeat(np.arange(len(column)), np.diff(offsets))
     loc, n = flat.field("l").to_numpy(zero_copy_only=False), flat.field(size).to_numpy(zero_copy_only=False)
-    ok = (loc & 0x7FFFFFFF) == marks[text]
+    ok = (loc & ((1 << MARK) - 1)) == marks[text]
     text, loc, n = text[ok], loc[ok], n[ok]
-    return text, words.first[text] + (loc >> 31), n
+    return text, words.first[text] + (loc >> MARK), n
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(d, spans): for each id (null as the largest) the spans (loc, words) covered by repeated windows; loc >> 31 is a word's place."""
+    """(d, spans): for each id (null as the largest) the spans (loc, words) covered by repeated windows; loc >> MARK is a word's place."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,7 +164,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 row, start, size, anchor, whole = stretches(w)
                 if len(row):
                     marks = text_marks(w.hashes(), w.first)
-                    yield _arrow("ardlc", anchor, whole, b.column("d").slice(i, j - i).to_numpy()[row], start << 31 | marks[row], size)
+                    yield _arrow("ardlc", mix64(anchor) >> np.uint64(64 - ANCHOR), whole, b.column("d").slice(i, j - i).to_numpy()[row], start << MARK | marks[row], size)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,22 +174,36 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 text, at, n = _spans(w, marks, b.column("spans").slice(i, j - i), "c")
                 n = n % _TWICE
                 text, at = np.repeat(text, n), np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                yield _arrow("wdl", span_hashes(h, at, at + WINDOW), b.column("d").slice(i, j - i).to_numpy()[text], (at - w.first[text]) << 31 | marks[text])
+                yield _arrow("wdl", span_hashes(h, at, at + WINDOW), b.column("d").slice(i, j - i).to_numpy()[text], (at - w.first[text]) << MARK | marks[text])
+
+    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of windows in order of their hashes and places all but those at the first place."""
+        last: tuple = (None, 0, 0)
+        for b in batches:
+            w, d, l = (b.column(c).to_numpy() for c in "wdl")
+            if not len(w):
+                continue
+            new = np.ones(len(w), bool)
+            new[1:] = w[1:] != w[:-1]
+            new[0] = w[0] != last[0]
+            at = np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))
+            of_d, of_l = np.where(at >= 0, d[at], last[1]), np.where(at >= 0, l[at], last[2])
+            again = (d != of_d) | (l != of_l)
+            last = (w[-1], of_d[-1], of_l[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(d[again]), pa.array(l[again]), pa.array(np.full(again.sum(), WINDOW))], names=["d", "l", "words"])
 
     place = F.struct("d", "l")
     stretch = docs.mapInArrow(parse, "a long, r long, d long, l long, c long")
     common = stretch.groupBy("a").agg(F.count("*").alias("n"), F.max("c").alias("most")).where((F.col("n") > 1) | (F.col("most") >= _TWICE)).select("a")
     shared = cut(stretch.join(common, "a"))
-    firsts = shared.groupBy("a", "r").agg(F.min(place).alias("first"), F.max("c").alias("most"))
-    unlike = firsts.groupBy("a").agg(F.count("*").alias("kinds"))
-    judged = shared.join(firsts.join(unlike, "a").select("a", "r", "first", ((F.col("kinds") > 1) | (F.col("most") >= _TWICE)).alias("unlike")), ["a", "r"])
-    judged = cut(judged.select("d", "l", "c", "unlike", (place > F.col("first")).alias("later")).where("later or unlike"))
-    later = judged.where("later").select("d", "l", (F.col("c") % _TWICE + WINDOW - 1).alias("words"))
-    parts = judged.where("not later").groupBy("d").agg(F.collect_set(F.struct("l", "c")).alias("spans"))
-    # one exchange serves both the least place of each window and the comparison with it
-    single = docs.join(parts, "d").mapInArrow(windows, "w long, d long, l long").repartition("w")
-    first = single.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("w", "first")
-    again = single.join(first, "w").where(place > F.col("first")).select("d", "l", F.lit(WINDOW).cast("long").alias("words"))
+    firsts = cut(shared.groupBy("a", "r").agg(F.min(place).alias("first"), F.max("c").alias("c")).select("a", "r", "first.d", "first.l", "c"))
+    unlike = firsts.groupBy("a").agg(F.count("*").alias("kinds"), F.max("c").alias("most")).where((F.col("kinds") > 1) | (F.col("most") >= _TWICE)).select("a")
+    first = firsts.select("a", "r", F.struct("d", "l").alias("first"))
+    later = shared.join(first, ["a", "r"]).where(place > F.col("first")).select("d", "l", (F.col("c") % _TWICE + WINDOW - 1).alias("words"))
+    parts = firsts.join(unlike, "a").groupBy("d").agg(F.collect_set(F.struct("l", "c")).alias("spans"))
+    # windows of unlike stretches only, so a key has no more rows than a window has different surroundings
+    single = docs.join(parts, "d").mapInArrow(windows, "w long, d long, l long")
+    again = single.repartition("w").sortWithinPartitions("w", "d", "l").mapInArrow(repeats, "d long, l long, words long")
     return later.unionByName(again).groupBy("d").agg(F.collect_list(F.struct("l", "words")).alias("spans"))
 
 
