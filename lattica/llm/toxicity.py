@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,9 +25,11 @@ from lattica.llm.common import CHUNK_BYTES, lower_ascii, string_buffers
 #: Labelled rows that the classifier is fitted on, at most; they are chosen by a hash of their ids.
 LABELLED = 60_000
 #: A telling word occurs in so many, and in such a share, of the toxic training texts at least ...
-LEAST_TEXTS, LEAST_SHARE = 4, 0.005
+LEAST_TEXTS, LEAST_SHARE = 4, 0.01
 #: ... and such a share of the texts that have it are toxic.
 PRECISION = 0.95
+#: It stands behind so many different words, as a share of its texts (of 20 of them at most); words of copies don't.
+PLACES = 0.5
 #: Prefixes that stand for inflected words, in letters.
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
@@ -41,6 +44,8 @@ _CLASS[128:] = _OTHER
 _EDGE = "".join(sorted(set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„’…")))
 _APART = re.compile(r"(?<![^\s])[^\W_](?:[ .\-_*]{1,2}[^\W_]){2,}(?![^\s.,;:!?])")
 _LONG_RUN = re.compile(r"(.)\1\1")
+_DOUBLE = re.compile(r"(.)\1")
+_EDGE_LETTER = re.compile(r"[$@](?![$@])\w|.*\w[$@]$")
 _BEAM, _LONGEST = 40, 40
 
 
@@ -122,9 +127,9 @@ class Model:
     def weigh(self, token: str) -> float:
         """The weight of a token's telling feature, 0 if it has none; suspicious tokens are restored first."""
         word = core(token)
-        if word.isalpha() and not _LONG_RUN.search(word):
-            return self.best(word)
-        found = self.best(word)
+        found = max(self.best(word), self.best(_DOUBLE.sub(r"\1", word)))
+        if word.isalpha() and not _LONG_RUN.search(word) and not _EDGE_LETTER.match(token):
+            return found
         for form in {word, token.strip(".,;:?\"'()[]")}:
             if 2 < len(form) <= _LONGEST and sum(map(str.isalpha, form)) >= 1 and not form.isalpha() | form.isdigit() or _LONG_RUN.search(form[: _LONGEST + 1]) and len(form) <= _LONGEST:
                 found = max(found, self.best(restore(form, self.characters)))
@@ -167,20 +172,37 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, labelled: int = L
     known = {r[0]: r[1] for r in sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
-    def told(batch: pa.RecordBatch, kind: int) -> Iterator[set[str]]:
-        """The features of each text of a batch whose label is of a kind."""
+    def told(batch: pa.RecordBatch, kind: int) -> Iterator[dict[str, int]]:
+        """The features of each text of a batch whose label is of a kind, with a bit for each word that stood before one."""
         for i, key in enumerate(batch.column(0).to_pylist()):
             if key in shared.value and (shared.value[key] == 1) == (kind == 1):
-                words = {core(t) for t in (batch.column(1)[i].as_py() or "").lower().split()}
-                yield {f for w in words if w.isalpha() for f in features(w)}
-
-    def rows(counts: dict[str, int]) -> Iterator[pa.RecordBatch]:
+                found: dict[str, int] = {}
+                before = ""
+                for t in (batch.column(1)[i].as_py() or "").lower().split():
+                    w = core(t)
+                    if w.isalpha():
+                        bit = 1 << zlib.crc32(before.encode()) % 63
+                        for f in features(w):
+                            found[f] = found.get(f, 0) | bit
+                    before = t
+                yield found
+
+    def rows(counts: dict[str, list[int]]) -> Iterator[pa.RecordBatch]:
         names, values = [*counts], [*counts.values()]
         for at in range(0, len(names), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 50_000], pa.string()), pa.array(values[at : at + 50_000], pa.int64())], names=["f", "n"])
+            n, m = ([v[k] for v in values[at : at + 50_000]] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 50_000], pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=["f", "n", "m"])
+
+    def gather(seen: dict[str, list[int]], found: dict[str, int]) -> None:
+        for f, bits in found.items():
+            if (have := seen.get(f)) is None:
+                seen[f] = [1, bits]
+            else:
+                have[0] += 1
+                have[1] |= bits
 
     def toxic_and_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, seen = np.zeros(_LETTERS**3, np.int64), {"##": 0}
+        letters, seen = np.zeros(_LETTERS**3, np.int64), {}
         for batch in batches:
             data, offsets = string_buffers(batch.column(1))
             at = 0
@@ -190,29 +212,25 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, labelled: int = L
                 letters += np.bincount((kinds[:-2] * _LETTERS + kinds[1:-1]) * _LETTERS + kinds[2:], minlength=_LETTERS**3)
                 at = to
             for found in told(batch, 1):
-                seen["##"] += 1
-                for f in found:
-                    seen[f] = seen.get(f, 0) + 1
-        yield from rows(seen | {f"#{k}": int(letters[k]) for k in np.flatnonzero(letters)})
+                gather(seen, found | {"##": 0})
+        yield from rows(seen | {f"#{k}": [int(letters[k]), 0] for k in np.flatnonzero(letters)})
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = {"##": 0}
+        seen: dict[str, list[int]] = {}
         for batch in batches:
             for found in told(batch, 0):
-                seen["##"] += 1
-                for f in found & hopeful.value.keys():
-                    seen[f] = seen.get(f, 0) + 1
+                gather(seen, {f: 0 for f in found.keys() & hopeful.value} | {"##": 0})
         yield from rows(seen)
 
     def gathered(count) -> DataFrame:
-        return docs.select("doc_id", "text").mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+        return docs.select("doc_id", "text").mapInArrow(count, "f string, n long, m long").groupBy("f").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("m")).alias("places"))
 
     least = max(LEAST_TEXTS, math.ceil(LEAST_SHARE * sum(1 for v in known.values() if v == 1)))
-    toxic = {r.f: r.n for r in gathered(toxic_and_letters).where(F.col("f").startswith("#") | (F.col("n") >= least)).collect()}
+    toxic = {r.f: r.n for r in gathered(toxic_and_letters).where(F.col("f").startswith("#") | (F.col("n") >= least) & (F.col("places") >= PLACES * F.least("n", F.lit(20)))).collect()}
     letters = np.zeros(_LETTERS**3)
     for f in [f for f in toxic if f[0] == "#" and f != "##"]:
         letters[int(f[1:])] = toxic.pop(f)
-    hopeful = docs.sparkSession.sparkContext.broadcast(toxic)
+    hopeful = docs.sparkSession.sparkContext.broadcast(set(toxic))
     clean_counts = {r.f: r.n for r in gathered(clean).collect()}
     total = (clean_counts.pop("##", 0), toxic.pop("##", 0))
     telling = {f: (clean_counts.get(f, 0), t) for f, t in toxic.items() if t >= PRECISION * (t + clean_counts.get(f, 0) + 0.2)}

@@ -130,7 +130,7 @@ def test_toxicity_restores_and_scores(spark):
     docs, labels = labelled(spark)
     model = fit(docs, labels)
     assert restore("m0r0n", model.characters) == "moron" and restore("1d10t", model.characters) == "idiot"
-    new = ["you m0r0n", "what an i d i o t", "so stuuuupid!!", "l.o.s.e.r", "L0SER", "a fine day", "", None, "call 555-0100 now!!!", "x" * 100_000]
+    new = ["you m0r0n", "what an i d i o t", "so stuuuupid!!", "l.o.s.e.r", "$tupid", "a fine day", "", None, "call 555-0100 now!!!", "x" * 100_000]
     got = {r.doc_id: r.score for r in score(spark.createDataFrame(list(enumerate(new)), "doc_id int, text string"), model).collect()}
     assert [got[i] >= 0.7 for i in range(len(new))] == [True] * 5 + [False] * 5
     assert all(0 <= s <= 1 for s in got.values())
