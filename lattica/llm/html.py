@@ -17,10 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import cut
+
 #: The best container is the deepest with this share of a page's text.
 MOST = 0.6
 #: A path wins on a host with this share of its votes.
 WINS = 0.05
+#: Hosts up to which their paths are broadcast; parts that a host's pages are dealt out in beyond that.
+HOSTS, SALTS = 10_000, 64
 
 # Tags by role, and words of class names, ids and roles that mark what isn't main text.
 CONTAINERS = frozenset("article main section div nav header footer aside form ul ol dl table figure blockquote details dialog fieldset menu center".split())
@@ -180,5 +184,12 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     known = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    rows = known.join(votes(pages), "host", "left").select("page_id", "url", "html", "paths")
+    won = cut(votes(pages))
+    # a host has 1 / WINS paths at most; many hosts are joined by a shuffle, where salts spread the pages of a large one
+    if won.count() <= HOSTS:
+        rows = known.join(F.broadcast(won), "host", "left")
+    else:
+        salted = won.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = known.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    rows = rows.select("page_id", "url", "html", "paths")
     return rows.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

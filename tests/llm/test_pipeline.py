@@ -103,7 +103,9 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><script>var a="<p>x</p>";<
 <div class="post-7 comments"><article class="comment">Nice article, {2}</article></div><aside>x</aside><footer>&copy; foot</footer>"""
 
 
-def test_main_text(spark):
+@pytest.mark.parametrize("hosts", [10_000, 0])
+def test_main_text(spark, monkeypatch, hosts):
+    monkeypatch.setattr("lattica.llm.html.HOSTS", hosts)
     more = "and more text " * 20
     pages = [(i, f"https://Host.example/{i}", PAGE.format(*t, more)) for i, t in enumerate([("article", "article")] * 3)]
     pages += [(10, "http://other.example/a", PAGE.format('div id="c12"', "div", more)), (11, None, None), (12, "x", ""), (13, "x", "plain <b>text"), (14, "http://host.example", "<article>short</article><div>" + more + "</div>")]
