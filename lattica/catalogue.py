@@ -465,6 +465,18 @@ def merge_subgraphs(t):
     return graph.merge_subgraphs(nodes, edges).edges
 
 
+@query()
+def transformed_graph(t):
+    return rag.transformed_graph(t("benchmark").select(F.col("item_id").alias("doc_id"), "text"), providers.get("graph-offline")).edges
+
+
+@query()
+def mcq_benchmark(t):
+    options = F.create_map(*[x for k in "ABCDE" for x in (F.lit(k), F.substring("text", 1 + 5 * "ABCDE".index(k), 5))])
+    samples = t("benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"), options.alias("options"), F.lit("A").alias("correct"))
+    return rag.multiple_choice_benchmark(samples, providers.get("generate-offline"), None)[1]
+
+
 @query()
 def knowledge_graph(t):
     docs = t("documents").select("doc_id", "text")
@@ -499,6 +511,21 @@ def vector_graph_expand(t):
     return found.select("query_id", "item_id", "score", F.array_join("related", ",").alias("related"))
 
 
+@query("""with v as (select vec_id, label, embedding::double[] as e from embeddings)
+select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 6) as score from v a join v b on a.label = b.label and a.vec_id < b.vec_id where round(list_cosine_similarity(a.e, b.e), 6) >= 0.9""")
+def near_dup_pairs(t):
+    v = retrieval.normalised(t("embeddings"), "vec_id", "embedding").join(t("embeddings").select("vec_id", "label"), "vec_id")
+    return retrieval.similar_pairs(v.withColumnRenamed("vec_id", "id"), 0.9, "label")
+
+
+@query("""with recursive v as (select vec_id, label, embedding::double[] as e from embeddings), p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where round(list_cosine_similarity(a.e, b.e), 6) >= 0.9),
+reach(id, seen) as (select vec_id, vec_id from v union select reach.id, p.b from reach join p on p.a = reach.seen)
+select id, min(seen) as representative from reach group by 1""")
+def similarity_resolution(t):
+    v = retrieval.normalised(t("embeddings"), "vec_id", "embedding").join(t("embeddings").select("vec_id", "label"), "vec_id")
+    return retrieval.merge_similar(v.withColumnRenamed("vec_id", "id"), 0.9, "label")
+
+
 @query("""with d as (select doc_id, n_chars, (doc_id * 7) % 10 as score, sum(n_chars) over (order by (doc_id * 7) % 10 desc, doc_id rows unbounded preceding) as running from documents where (doc_id * 7) % 10 > 0)
 select doc_id, n_chars, running::bigint as running from d where running <= 8000""")
 def budget_take(t):

@@ -41,6 +41,31 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 5, blocks: int = 16) ->
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "item_id", "score", "rank")
 
 
+def similar_pairs(vectors: DataFrame, least: float, same: str, cells: int = 3) -> DataFrame:
+    """(a, b, score) with a < b of vectors (id, vec of length one, and a column `same`) whose cosine is at least `least`.
+
+    Only rows with equal `same` are compared. Vectors that are near in cosine are near in each component, so they are
+    joined by the cells of a grid over the first components; one side is copied to the neighbouring cells.
+    """
+    reach = (2 - 2 * least) ** 0.5 + 1e-9
+    cell = lambda k: F.floor(F.coalesce(F.get("vec", k), F.lit(0.0)) / reach).cast("int")
+    a = vectors.select(F.col("id").alias("a"), F.col("vec").alias("v"), F.col(same).alias("_s"), *[cell(k).alias(f"c{k}") for k in range(cells)])
+    b = vectors.select(F.col("id").alias("b"), F.col("vec").alias("w"), F.col(same).alias("_s"), *[cell(k).alias(f"c{k}") for k in range(cells)])
+    for k in range(cells):
+        b = b.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + d for d in (-1, 0, 1)])))
+    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    met = a.join(b, ["_s", *[f"c{k}" for k in range(cells)]]).where("a < b")
+    return met.select("a", "b", F.round(dot, 6).alias("score")).where(F.col("score") >= least)
+
+
+def merge_similar(vectors: DataFrame, least: float, same: str) -> DataFrame:
+    """(id, representative): rows that similar pairs connect get the least id of their component."""
+    from lattica.operators.algorithms import components
+
+    pairs = similar_pairs(vectors, least, same).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return components(vectors, pairs).withColumnRenamed("component", "representative")
+
+
 def expand(hits: DataFrame, edges: DataFrame, types: Sequence[str], texts: DataFrame) -> DataFrame:
     """hits (query_id, item_id, score) with related: sorted texts (id, text) of neighbours over edges of some types, either way.
 
@@ -90,3 +115,10 @@ def local_search(entities: DataFrame, edges: DataFrame, mentions: DataFrame, hop
     both = undirected(edges.select("src", "dst", "eid"))
     near = entities.select("id").union(paths(entities, both, 1, hops).select("finish")).distinct()
     return mentions.join(near, mentions["entity"] == near["id"]).groupBy("chunk_id").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "chunk_id")
+
+
+def drift_search(entities: DataFrame, edges: DataFrame, mentions: DataFrame, community: DataFrame, reports: DataFrame, hops: int = 1) -> DataFrame:
+    """(kind, key, hits): local search's chunks, and the reports (community, report) of the communities that entities are in."""
+    local = local_search(entities, edges, mentions, hops).select(F.lit("chunk").alias("kind"), F.col("chunk_id").cast("string").alias("key"), "hits")
+    near = entities.select("id").join(community, "id").groupBy("community").agg(F.count("*").alias("hits")).join(reports, "community")
+    return local.unionByName(near.select(F.lit("report").alias("kind"), F.col("report").alias("key"), "hits"))

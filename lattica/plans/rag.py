@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica import providers
-from lattica.functions.metrics import normalise_reply, parse_judge
+from lattica.functions.metrics import mcq_accuracy, mcq_choice, mcq_prompt, normalise_reply, parse_judge
 from lattica.functions.text import chunk, chunk_recursively, or_default, semantic_chunks, STRUCTURE_SEPARATORS
 from lattica.operators.graph import PropertyGraph, resolve, triplets_to_graph
 from lattica.plans.lineage import cut
 from lattica.session import ship
+from lattica.sources.readers import first_rows
 from lattica.sources.sinks import QA_COLUMNS
 
 _QA = "struct<qa: array<struct<question_type: string, question: string, answer: string, persona: string, task: string>>>"
@@ -113,3 +114,31 @@ def golden_set(docs: DataFrame, embedder: providers.Provider, writer: providers.
     said = cut(contexts.withColumn("reply", providers.column(writer)(F.col("chunk"))).withColumn("vec", providers.column(embedder)(F.col("chunk"))))
     rows = said.select("doc_id", "chunk_id", "chunk", "vec", F.posexplode(F.from_json("reply", _QA)["qa"]).alias("pos", "q"))
     return rows.where(F.col("pos") < per_context).select("doc_id", "chunk_id", F.col("chunk").alias("context"), F.col("q.question").alias("input"), F.col("q.answer").alias("expected_output"))
+
+
+def transformed_graph(docs: DataFrame, transformer: providers.Provider) -> PropertyGraph:
+    """Nodes and relationships that a provider finds in docs (doc_id, text), labelled __Entity__, with MENTIONS edges from Document nodes."""
+    ship(docs.sparkSession)
+    schema = "struct<nodes: array<string>, relationships: array<array<string>>>"
+    told = cut(docs.select("doc_id", "text", F.from_json(providers.column(transformer)(F.col("text")), schema).alias("g")))
+    entity = told.select(F.explode("g.nodes").alias("id")).distinct().select("id", F.array(F.lit("__Entity__")).alias("labels"), F.col("id").alias("name"), F.lit(None).cast("string").alias("text"))
+    source = told.select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.array(F.lit("Document")).alias("labels"), F.lit(None).cast("string").alias("name"), "text")
+    graph, _ = triplets_to_graph(told.select(F.explode("g.relationships").alias("triplet")))
+    mentions = told.select(F.concat(F.lit("doc:"), "doc_id").alias("src"), F.lit("MENTIONS").alias("type"), F.explode("g.nodes").alias("dst")).distinct()
+    return PropertyGraph(entity.unionByName(source), graph.edges.unionByName(mentions))
+
+
+def claims(told: DataFrame) -> DataFrame:
+    """(doc_id, subject, claim, since, until) of a provider's replies (doc_id, reply): JSON {"claims": [...]}; dates that can't be read are null."""
+    schema = "struct<claims: array<struct<subject: string, claim: string, since: string, until: string>>>"
+    rows = told.select("doc_id", F.explode(F.from_json("reply", schema)["claims"]).alias("c"))
+    return rows.select("doc_id", "c.subject", "c.claim", F.col("c.since").try_cast("date").alias("since"), F.col("c.until").try_cast("date").alias("until"))
+
+
+def multiple_choice_benchmark(samples: DataFrame, model: providers.Provider, sample: int | None = 10) -> tuple[DataFrame, DataFrame]:
+    """Results and their accuracy for samples (id, question, options map, correct): the first of them by id are asked, all for None or 0."""
+    ship(samples.sparkSession)
+    asked = first_rows(samples, sample, "id").withColumn("prompt", mcq_prompt(F.col("question"), F.col("options")))
+    said = cut(asked.withColumn("reply", providers.column(model)(F.col("prompt"))))
+    results = said.withColumn("choice", mcq_choice(F.col("reply"))).withColumn("is_correct", F.col("choice") == F.col("correct"))
+    return results, mcq_accuracy(results)

@@ -134,6 +134,45 @@ class PassFailJudge:
         return out
 
 
+class GraphTransformer:
+    """JSON {"nodes": [...], "relationships": [[s, type, o], ...]} of a text, from its triplets."""
+
+    returns = "string"
+
+    def call(self, texts: list[str]) -> list[str]:
+        out = []
+        for reply in TripletExtractor().call(texts):
+            found = json.loads(reply)["triplets"]
+            out.append(json.dumps({"nodes": sorted({x for s, _, o in found for x in (s, o)}), "relationships": found}, ensure_ascii=False))
+        return out
+
+
+class HttpRetriever:
+    """Replies of an HTTP endpoint as they come: a question as JSON by POST, or as a parameter by GET; an HTTP error is raised.
+
+    `lattica.functions.metrics.normalise_reply` reads the shapes that endpoints answer in.
+    """
+
+    returns = "string"
+
+    def __init__(self, url: str, method: str = "POST", field: str = "query", timeout: float = 30.0):
+        self.url, self.method, self.field, self.timeout = url, method.upper(), field, timeout
+
+    def call(self, texts: list[str]) -> list[str]:
+        from urllib.parse import urlencode
+        from urllib.request import Request, urlopen
+
+        out = []
+        for t in texts:
+            if self.method == "GET":
+                request = Request(f"{self.url}?{urlencode({self.field: t})}")
+            else:
+                request = Request(self.url, json.dumps({self.field: t}).encode(), {"Content-Type": "application/json"})
+            with urlopen(request, timeout=self.timeout) as reply:
+                out.append(reply.read().decode())
+        return out
+
+
 class JsonOnly:
     """Another provider, asked to reply in JSON."""
 
@@ -152,6 +191,8 @@ _registry: dict[str, Callable[..., Provider]] = {
     "questions-offline": QuestionWriter,
     "judge-offline": OverlapJudge,
     "passfail-offline": PassFailJudge,
+    "graph-offline": GraphTransformer,
+    "http": HttpRetriever,
 }
 
 
