@@ -16,6 +16,7 @@ from lattica.functions import metrics, text
 from lattica.operators import algorithms, graph, retrieval, tabular
 from lattica.plans import rag
 from lattica.session import ship
+from lattica.sources import readers
 from lattica.streaming.ingest import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +121,32 @@ def fof(t):
     return tabular.friends_of_friends(_friends(t), F.lit(7)).groupBy("friend").agg(F.count("*").alias("ways"))
 
 
+@query("select c_custkey, c_name from customer where c_mktsegment = 'BUILDING' and c_acctbal > 5000")
+def named_parameters(t):
+    c = t("customer")
+    return c.sparkSession.sql("select c_custkey, c_name from {c} where c_mktsegment = :segment and c_acctbal > :least", args={"segment": "BUILDING", "least": 5000.0}, c=c)
+
+
+@query("select c_name || ' -[' || o_orderstatus || ']-> ' || o_orderkey as path from customer join orders on c_custkey = o_custkey where c_custkey < 20")
+def path_rows(t):
+    a = t("customer").where("c_custkey < 20").select(F.col("c_custkey").alias("a_id"), "c_name")
+    e = t("orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), F.col("o_orderstatus").alias("type"))
+    path = F.struct(F.col("c_name").alias("a"), F.col("type").alias("r"), F.col("dst").alias("b"))
+    found = graph.hop(a, e, t("orders").select(F.col("o_orderkey").alias("b_id"))).select(path.alias("p"))
+    return found.select(F.concat("p.a", F.lit(" -["), "p.r", F.lit("]-> "), F.col("p.b").cast("string")).alias("path"))
+
+
+@query("select p_partkey, p_name from part order by p_partkey limit 50")
+def first_rows(t):
+    return readers.first_rows(t("part").select("p_partkey", "p_name"), 50, "p_partkey")
+
+
+@query("""with c as (select doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') as t from documents) select (len(t) / 100)::bigint as hundreds, count(*) as n from (select doc_id, len(t) - len(t) % 100 as l, t from c) where l >= 0 group by (len(t) - len(t) % 100) / 100, 1""".replace("(len(t) / 100)::bigint", "((len(t) - len(t) % 100) / 100)::bigint"))
+def word_counts(t):
+    n = F.size(text.words(F.col("text")))
+    return t("documents").select(F.floor(n / 100).cast("long").alias("hundreds")).groupBy("hundreds").agg(F.count("*").alias("n"))
+
+
 # ---- tables
 
 
