@@ -60,6 +60,24 @@ def test_jaccard_like_brute_force(spark, seed):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute_jaccard(rows)
 
 
+def test_jaccard_large_buckets(spark, monkeypatch):
+    """Near copies beyond one small bucket and one block, and texts that only share a passage."""
+    monkeypatch.setattr("lattica.llm.chosen_path.BLOCK", 60)
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(3000)}"
+    base, passage = [word() for _ in range(60)], [word() for _ in range(20)]
+    rows = []
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(r.randrange(0, 3)):
+            copy[r.randrange(len(copy))] = word()
+        rows.append(" ".join(copy))
+    rows += [" ".join(passage + [word() for _ in range(r.randrange(5, 30))]) for _ in range(150)]
+    rows = list(enumerate(rows))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute_jaccard(rows)
+
+
 def test_jaccard_edges(spark):
     schema = "doc_id long, text string, x string, m string"
     assert near_duplicates(spark.createDataFrame([], schema)).count() == 0
