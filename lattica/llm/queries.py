@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import read_table
 from lattica.llm.lines import LINES_SQL
+from lattica.llm.oracles import JACCARD_SQL, REPEATS_SQL, VECTORS_SQL
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op5_lines": LINES_SQL}
+ORACLES: dict[str, str] = {
+    "op1_repeats": REPEATS_SQL,
+    "op2_vectors": VECTORS_SQL,
+    "op5_lines": LINES_SQL,
+    "op6_jaccard": JACCARD_SQL,
+}
