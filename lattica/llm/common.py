@@ -17,13 +17,17 @@ SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: The same definition as a Java / RE2 pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy pass handles; a longer document is a pass of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
+#: Rows of an Arrow batch of texts, unless the session sets another number than Spark's.
+BATCH_ROWS = 1000
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SEPARATORS)] = True
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # texts are long, and a batch is held whole
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -142,7 +142,7 @@ class Model:
         for m in _APART.finditer(low):
             tokens.add("".join(c for c in m[0] if c.isalnum()))
         found, cache = {}, self.cache
-        if len(cache) > 400_000:
+        if len(cache) > 100_000:
             cache.clear()
         for t in tokens:
             w = cache.get(t)
