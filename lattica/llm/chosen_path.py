@@ -5,7 +5,7 @@ MinHash values. A run starts every set at one root and splits it by the value of
 a bucket if they share that token. Buckets of one are done with. Small buckets are compared by brute force over the
 embedding, larger ones are split again on SPLITS more sampled tokens each, unless the sets in them are alike on average
 or they are DEPTH deep; then all their members are candidates of each other. RUNS repeats of this miss a pair of
-likeness 0.8 with a probability below 0.00001.
+likeness 0.8 with a probability below 0.00002.
 
 Candidates that hang together form a group, and within a group every pair of sets is compared exactly, in blocks. So
 each link is found once, whatever buckets it met in, and no list of pairs is written anywhere.
@@ -24,7 +24,7 @@ from lattica.llm.common import Words, chunks, cut, mix64, span_hashes
 from lattica.llm.components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # likeness of 4 / 5 or more
-COORDINATES, RUNS, SPLITS, DEPTH = 32, 8, 3, 6
+COORDINATES, RUNS, SPLITS, DEPTH = 32, 8, 2, 6
 #: Members of a bucket up to which all its pairs are compared, and embedded values that a candidate pair shares there.
 SMALL, SHARED = 64, 15
 #: Average share of equal values at which a bucket isn't split any more.
@@ -123,13 +123,17 @@ def candidates(sets: DataFrame) -> DataFrame:
         if large.isEmpty():
             break
         sampled = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDINATES)).cast("int") for k in range(SPLITS)]
-        children = large.select("node", "n", "r", "m", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _split(F.col("node"), c).alias("child")) for k, c in enumerate(sampled)])).alias("s")).select("node", "n", "r", "m", "s.k", "s.child")
-        share = children.groupBy("node", "n", "k", "child").agg(F.count("*").alias("c"))
-        share = share.groupBy("node").agg(F.sum(F.col("c") * F.col("c") / (F.col("n") * F.col("n")) / SPLITS).alias("alike"))
+        # how alike a bucket's sets are shows before any row is copied into its children
+        share = None
+        for k, c in enumerate(sampled):
+            one = large.groupBy("node", "n", _split(F.col("node"), c).alias("child")).agg(F.count("*").alias("c"))
+            one = one.groupBy("node").agg(F.sum(F.col("c") * F.col("c") / (F.col("n") * F.col("n"))).alias(f"alike{k}"))
+            share = one if share is None else share.join(one, "node")
+        share = share.select("node", (sum((F.col(f"alike{k}") for k in range(SPLITS)), F.lit(0.0)) / SPLITS).alias("alike"))
         whole = share.where((F.col("alike") >= ALIKE) | F.lit(depth == DEPTH)).select("node")
         stars = large.join(whole, "node")
         found.append(stars.join(stars.groupBy("node").agg(F.min("r").alias("b")), "node").select(F.col("r").alias("a"), "b"))
-        nodes = children.join(whole, "node", "left_anti").select("r", F.col("child").alias("node"))
+        nodes = large.join(whole, "node", "left_anti").select("r", F.explode(F.array(*[_split(F.col("node"), c) for c in sampled])).alias("node"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
