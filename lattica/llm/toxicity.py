@@ -104,7 +104,7 @@ def restore(token: str, model: list) -> str:
 
 
 def core(token: str) -> str:
-    """A token without signs at its edges; one sign that may be a letter stays where it is not the sign before or after it too."""
+    """A token without signs at its edges."""
     return token.strip(_EDGE)
 
 
