@@ -1,14 +1,14 @@
 """Near-duplicate vectors by product quantisation.
 
 Unit vectors go to coarse inverted lists; what the list's centre leaves is coded by subspaces. Centres and codewords are
-fitted on a bounded sample, all vectors are indexed and all are queries. A query probes the lists whose border with its own list is within reach, as far
-as a vector at that distance in a random direction goes towards the border (SIGMAS standard deviations of it; of the
-links of 10,000 vectors of 64 components none was missed). In a list it compares by table lookups: the distance to a coded
-vector differs from the true one by no more than that vector's own coding error, which is known, so a candidate is kept if
-the looked-up distance is within reach plus that error. Candidates are judged by their exact cosine.
-
-Equal vectors of one label are one class, lists are dealt out in blocks, and a task returns for each query how much it
-links with and one link for each merger, not the pairs.
+fitted on a bounded sample, all vectors are indexed and all are queries. A query probes every list whose border with its
+own list is within reach, so each list that can hold a vector within reach. In a list it compares by table lookups: the
+distance to a coded vector differs from the true one by no more than that vector's own coding error, which is known, so a
+candidate is kept if the looked-up distance is within reach plus that error. Candidates are judged by their exact cosine.
+Neither step loses a link.
+
+Equal vectors of one label are one class. Large lists are dealt out in blocks and small ones of a label share a pack, which
+a query is sent to once; a task returns for each query how much it links with and one link for each merger, not the pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import cut
@@ -28,10 +28,8 @@ from lattica.llm.components import components
 COSINE = 0.93
 #: Vectors that the index is fitted on, at most; its lists, subspaces and codewords.
 SAMPLE, LISTS, SUBSPACES, CODEWORDS = 20_000, 64, 16, 64
-#: Vectors of a block of a list, and queries that are compared with it at a time.
+#: Vectors of a block of a list (a pack of small lists has up to twice as many), and queries that are compared with it at a time.
 BLOCK, QUERIES = 2048, 512
-#: How far towards a list's border a vector within reach may lie, in standard deviations of a random direction's part.
-SIGMAS = 3.5
 _ROUNDING = 1e-5
 
 
@@ -79,11 +77,7 @@ def encode(index: Index, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def probes(index: Index, x: np.ndarray, reach: float) -> np.ndarray:
-    """Which lists may hold a vector within reach of each query: its own, and those whose border with that is near enough.
-
-    In few dimensions the whole reach counts, and then no list that holds such a vector is left out.
-    """
-    reach *= min(1.0, SIGMAS / math.sqrt(x.shape[1]))
+    """Which lists can hold a vector within reach of each query: those whose border with the query's own list is as near."""
     own, d = nearest(x, index.centres)
     gap = np.sqrt(np.maximum(0, ((index.centres[:, None] - index.centres[None]) ** 2).sum(2)))
     return d - d[np.arange(len(x)), own][:, None] <= 2 * (reach + _ROUNDING) * gap[own] + _ROUNDING
@@ -150,7 +144,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, sample: int = SAMPLE)
     reach = math.sqrt(2 - 2 * cosine)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vector in its list, and as a query in the lists it probes."""
+        """Each vector with its list and, by number, the lists it probes."""
         for b in batches:
             dims = b.column("dim").to_numpy()
             for dim in np.unique(dims):
@@ -159,40 +153,53 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, sample: int = SAMPLE)
                     some = part.slice(at, 4096)
                     x = _unit(_matrix(some.column("e"), dim))
                     own = nearest(x, shared.value[dim].centres)[0]
-                    who, where = np.nonzero(probes(shared.value[dim], x, reach))
-                    take = np.r_[np.arange(len(x)), who]
-                    query = np.r_[np.zeros(len(x), bool), np.ones(len(who), bool)]
-                    moved = some.take(pa.array(take))
-                    yield pa.RecordBatch.from_arrays([*(moved.column(c) for c in ("label", "dim", "e", "h", "weight")), pa.array(np.r_[own, where].astype(np.int32)), pa.array(query)], names=["label", "dim", "e", "h", "weight", "list", "query"])
+                    may = probes(shared.value[dim], x, reach)
+                    probed = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * may.shape[1]), pa.array(may.ravel()))
+                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("label", "dim", "e", "h", "weight")), pa.array(own.astype(np.int32)), probed], names=["label", "dim", "e", "h", "weight", "list", "probed"])
 
     label_type = rows.schema["label"].dataType.simpleString()
-    placed = cut(classes.mapInArrow(place, f"label {label_type}, dim int, e array<double>, h long, weight long, list int, query boolean"))
-    group = ["label", "dim", "list"]
-    sizes = placed.groupBy(*group).agg(F.ceil(F.sum(F.when(~F.col("query"), 1).otherwise(0)) / BLOCK).cast("int").alias("nb")).where("nb > 0")
-    placed = placed.join(sizes, group)
-    own = F.array(F.pmod(F.xxhash64("h", F.lit(2)), F.col("nb").cast("long")).cast("int"))
-    placed = placed.withColumn("block", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(own)))
+    placed = cut(classes.mapInArrow(place, f"label {label_type}, dim int, e array<double>, h long, weight long, list int, probed array<boolean>"))
+    group = ["label", "dim"]
+    sizes = placed.groupBy(*group, "list").agg(F.count("*").alias("n"))
+    large = F.col("n") > BLOCK
+    earlier = F.sum(F.when(large, 0).otherwise(F.col("n"))).over(Window.partitionBy(*group).orderBy("list")) - F.col("n")
+    sizes = sizes.select(*group, "list", F.when(large, -1 - F.col("list")).otherwise(F.floor(earlier / BLOCK)).cast("int").alias("pack"), F.when(large, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("int").alias("nb"))
+    lists = sizes.groupBy(*group).agg(F.collect_list(F.struct("list", "pack", "nb")).alias("lists"))
+    placed = placed.join(lists, group)
+
+    def blocks(x, query: bool):
+        dealt = F.array(F.pmod(F.xxhash64("h", F.lit(2)), x["nb"].cast("long")).cast("int"))
+        return F.transform(F.sequence(F.lit(0), x["nb"] - 1) if query else dealt, lambda k: F.struct(x["pack"].alias("pack"), k.alias("block"), F.lit(query).alias("query")))
+
+    own = F.flatten(F.transform(F.filter("lists", lambda x: x["list"] == F.col("list")), lambda x: blocks(x, False)))
+    asked = F.array_distinct(F.flatten(F.transform(F.filter("lists", lambda x: F.col("probed")[x["list"]]), lambda x: blocks(x, True))))
+    placed = placed.withColumn("at", F.explode(F.concat(own, asked))).select(*group, "e", "h", "weight", "list", "at.*")
 
     def search(t: pa.Table) -> pa.Table:
-        dim, at = t["dim"][0].as_py(), t["list"][0].as_py()
+        dim = t["dim"][0].as_py()
         index = shared.value[dim]
-        query = t["query"].to_numpy()
+        query, lists = t["query"].to_numpy(), t["list"].to_numpy()
         x, h, weight = _unit(_matrix(t["e"], dim)), t["h"].to_numpy(), t["weight"].to_numpy()
         mine, asks = np.flatnonzero(~query), np.flatnonzero(query)
-        codes, error = encode(index, x[mine], np.full(len(mine), at))
+        codes, error = encode(index, x[mine], lists[mine])
         links = np.zeros(len(asks), np.int64)
         ids, where = np.unique(h, return_inverse=True)
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        members = [(at, np.flatnonzero(lists[mine] == at)) for at in np.unique(lists[mine])]
         for low in range(0, len(asks), QUERIES):
-            some = asks[low : low + QUERIES]
-            a, b = np.nonzero(looked_up(index, x[some], at, codes) <= reach + error[None] + _ROUNDING)
-            differ = h[some[a]] != h[mine[b]]
-            a, b = a[differ], b[differ]
-            for cut_at in range(0, len(a), 200_000):
-                p, q = some[a[cut_at : cut_at + 200_000]], mine[b[cut_at : cut_at + 200_000]]
-                near = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
-                np.add.at(links, np.searchsorted(asks, p[near]), weight[q[near]])
-                pairs.append((where[p[near]], where[q[near]]))
+            every = asks[low : low + QUERIES]
+            may = probes(index, x[every], reach)
+            for at, member in members:
+                some = every[may[:, at]]
+                a, b = np.nonzero(looked_up(index, x[some], at, codes[member]) <= reach + error[None, member] + _ROUNDING)
+                b = member[b]
+                differ = h[some[a]] != h[mine[b]]
+                a, b = a[differ], b[differ]
+                for cut_at in range(0, len(a), 200_000):
+                    p, q = some[a[cut_at : cut_at + 200_000]], mine[b[cut_at : cut_at + 200_000]]
+                    near = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
+                    np.add.at(links, np.searchsorted(asks, p[near]), weight[q[near]])
+                    pairs.append((where[p[near]], where[q[near]]))
         label = np.arange(len(ids))
         if pairs:
             label = _merge((np.concatenate([p for p, _ in pairs]), np.concatenate([q for _, q in pairs])), ids)
@@ -204,7 +211,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, sample: int = SAMPLE)
             "links": pa.array(np.r_[np.zeros(len(merged), np.int64), links[some]]),
         })
 
-    linked = cut(placed.groupBy(*group, "block").applyInArrow(search, "a long, b long, links long"))
+    linked = cut(placed.groupBy(*group, "pack", "block").applyInArrow(search, "a long, b long, links long"))
     reached = components(linked.where("a <> b").select("a", "b")).select(F.col("v").alias("h"), "c")
     reached = reached.join(classes.select("h", "r"), "h")
     reached = reached.join(reached.groupBy("c").agg(F.min("r").alias("component")), "c").select("h", "component")

@@ -111,6 +111,21 @@ def test_vectors_like_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
+@pytest.mark.parametrize("block", [2048, 20])
+def test_vectors_of_few_directions(spark, monkeypatch, block):
+    """Vectors of 64 components that lie in 4 dimensions: links point to the border of a list more than random ones do."""
+    monkeypatch.setattr("lattica.llm.vectors.BLOCK", block)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 4)) @ np.linalg.qr(rng.normal(size=(64, 4)))[0].T
+    rows = [(i, [float(np.float32(v)) for v in row], i % 2) for i, row in enumerate(x)]
+    unit = np.array([r[1] for r in rows])
+    unit /= np.sqrt((unit**2).sum(1, keepdims=True))
+    near = (unit @ unit.T >= 0.93) & (np.arange(1500)[:, None] % 2 == np.arange(1500)[None] % 2)
+    component = closure(1500, list(zip(*np.nonzero(np.tril(near, -1)))))
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == [(i, int(near[i].sum()) - 1, component[i]) for i in range(1500)]
+
+
 def test_vectors_edges(spark):
     schema = "vec_id int, embedding array<float>, label string, e string, h int"
     assert near_vectors(spark.createDataFrame([], schema)).count() == 0
