@@ -1,10 +1,11 @@
 """Main text of web pages by consensus host paths.
 
 A page is read once into blocks of text, each under a stack of containers. Containers that are menus, headers, footers,
-notices, adverts, forms or comments by tag, role or class are set aside. Of the others the deepest that holds most of
-the page's text gets the page's vote for its generalised tag-class path (digits become '#'). Votes are counted per
-host in Spark; pages are then read again, with the paths that won on their host, most votes first. A page that has
-none of them keeps its own best container.
+notices, adverts, forms or comments by tag, role or class are set aside. If articles or mains hold most of the other
+text, the deepest container with all of theirs gets the page's vote for its generalised tag-class path (digits become
+'#'), or else the deepest with all of the page's; no vote goes inside an article or to a list, table or quote. Votes are
+counted per host in Spark; pages are then read again, with the paths that won on their host, most votes first. A page
+keeps its own best container if it has none of them or they hold less of its text.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import cut
 
-#: The best container is the deepest with this share of a page's text.
+#: The share of a page's text that articles and mains must hold for the rest of it not to be main text.
 MOST = 0.6
 #: A path wins on a host with this share of its votes.
 WINS = 0.05
@@ -28,6 +29,8 @@ HOSTS, SALTS = 10_000, 64
 
 # Tags by role, and words of class names, ids and roles that mark what isn't main text.
 CONTAINERS = frozenset("article main section div nav header footer aside form ul ol dl table figure blockquote details dialog fieldset menu center".split())
+PARTS = frozenset("ul ol dl table figure blockquote details".split())
+NAMED = ("article", "main")
 BLOCKS = CONTAINERS | frozenset("body p h1 h2 h3 h4 h5 h6 br hr li dt dd tr td th caption thead tbody tfoot pre address figcaption summary option html head title legend".split())
 ASIDE = frozenset("nav footer aside form menu dialog".split())
 SILENT = frozenset("script style noscript template textarea iframe svg select button head title object canvas audio video map math datalist".split())
@@ -76,7 +79,7 @@ class Page:
     """Blocks of a page: (text, containers), where containers are indices into names, parents and paths."""
 
     def __init__(self, source: str):
-        self.paths, self.parents, self.blocks = [""], [-1], []
+        self.paths, self.parents, self.tags, self.blocks = [""], [-1], [""], []
         stack = [("", 0, False, False)]  # tag, container, set aside, in an article
         piece: list[str] = []
         quiet = 0  # depth in silent elements that may nest
@@ -118,33 +121,47 @@ class Page:
                 names = sorted({_DIGITS.sub("#", x) for k in ("class", "id") for x in _NAME.findall(attrs.get(k, ""))})
                 self.paths.append(self.paths[parent] + "/" + ".".join([tag, *names]))
                 self.parents.append(parent)
+                self.tags.append(tag)
                 stack.append((tag, len(self.paths) - 1, aside or set_aside(tag, attrs, inside), inside or tag in ("article", "main")))
         if not quiet:
             piece.append(source[at:])
         end()
 
-    def best(self) -> int:
-        """The deepest container that holds most of the text that isn't set aside."""
+    def best(self) -> tuple[int, bool]:
+        """The deepest container with all text of articles and mains, and True, if they hold most of what isn't set aside; or else that with all text, and False."""
+        named = [False] * len(self.paths)
+        for k in range(1, len(named)):
+            named[k] = named[self.parents[k]] or self.tags[k] in NAMED
+        whole = sum(len(text) for text, _ in self.blocks)
+        inside = sum(len(text) for text, at in self.blocks if named[at])
+        only = inside > 0 and inside >= MOST * whole
         size = [0] * len(self.paths)
         for text, at in self.blocks:
-            size[at] += len(text)
+            if named[at] or not only:
+                size[at] += len(text)
         for k in range(len(size) - 1, 0, -1):
             size[self.parents[k]] += size[k]
-        total, found = size[0], 0
+        found = 0
         for k in range(1, len(size)):
-            if size[k] >= MOST * total and self.parents[k] == found:
+            if size[k] == size[0] and self.parents[k] == found and not named[found] and self.tags[k] not in PARTS:
                 found = k
-        return found
+        return found, only
+
+    def under(self, path: str) -> list[str]:
+        return [t for t, at in self.blocks if self.paths[at] == path or self.paths[at].startswith(path + "/")]
 
     def text(self, wanted: list[str]) -> str:
-        """The text under the first wanted path that the page has, or else under its own best container."""
-        have = {self.paths[at] for _, at in self.blocks}
+        """The text under the first wanted path that the page has, or else under its own best container.
+
+        A path that holds less than the best container is passed over, unless it is an article's or main's and the best isn't.
+        """
+        found, only = self.best()
+        best = " ".join(self.under(self.paths[found]))
         for path in wanted:
-            if any(p == path or p.startswith(path + "/") for p in have):
-                inside = lambda p: p == path or p.startswith(path + "/")
-                return " ".join(t for t, at in self.blocks if inside(self.paths[at]))
-        best = self.paths[self.best()]
-        return " ".join(t for t, at in self.blocks if self.paths[at] == best or self.paths[at].startswith(best + "/"))
+            text = " ".join(self.under(path))
+            if text and (len(text) >= len(best) or not only and path.rpartition("/")[2].partition(".")[0] in NAMED):
+                return text
+        return best
 
 
 def host(url):
@@ -160,7 +177,7 @@ def votes(pages: DataFrame) -> DataFrame:
             hosts, paths = [], []
             for h, source in zip(batch.column(0).to_pylist(), batch.column(1)):
                 page = Page(source.as_py() or "")
-                if page.blocks and (best := page.best()):
+                if page.blocks and (best := page.best()[0]):
                     hosts.append(h)
                     paths.append(page.paths[best])
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], names=["host", "path"])

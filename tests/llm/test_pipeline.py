@@ -117,6 +117,19 @@ def test_main_text(spark, monkeypatch, hosts):
     assert Page("<div " * 1000 + "a" * 100_000).text([]) is not None
 
 
+@pytest.mark.parametrize("part", ["ul", "ol", "table", "blockquote", "figure", "section", "div"])
+def test_main_text_keeps_whole_articles(spark, part):
+    """Most of an article in one list, section or quote: its heading and introduction stay, on the page itself and by votes."""
+    inner = "some text of the part " * 20
+    whole = f"<h1>Title</h1><p>An introduction.</p><{part}>{inner}</{part}><p>An end.</p>"
+    pages = [(i, f"http://{'a' if i else 'b'}.example/{i}", f"<nav>Menu</nav><{tag}>{html}</{tag}>") for i, (tag, html) in enumerate([("article", whole), ("div", whole)] + [("div", f"<{part}>{inner}</{part}>")] * 3)]
+    pages.append((9, "http://c.example/", "<nav>Menu</nav><article class=x>one story</article><article class=y>" + inner + "</article>"))
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = f"Title An introduction. {inner.strip()} An end."
+    assert [got[0], got[1], got[9]] == [want, want, f"one story {inner.strip()}"]
+    assert got[2] == inner.strip()
+
+
 def labelled(spark, n=400):
     bad = ["moron", "idiot", "stupid", "loser"]
     rows, labels = [], []
