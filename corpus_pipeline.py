@@ -1,17 +1,17 @@
 """The corpus pipeline: from documents to token ids, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-Rows that share a doc_id are copies of one document to the near-duplicate stage, which keeps one of them.
+Rows are documents of their own to the near-duplicate stage, whether or not they share a doc_id or have none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import toxicity
 from lattica.llm.bpe import bpe_encode
-from lattica.llm.chosen_path import near_duplicates
+from lattica.llm.chosen_path import similar
 from lattica.llm.common import cut, read_table
 from lattica.llm.lines import deduplicated
 from lattica.llm.mixing import mixed_documents
@@ -30,14 +30,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates, that of the smallest doc_id; rows without words are in no group and stay."""
+    """One row of each group of near duplicates, that of the smallest doc_id; rows without words are in no group and stay.
+
+    Of a group's rows that share the smallest doc_id one stays, by a hash; a null doc_id counts as larger than all others.
+    """
     last = (1 << 63) - 1
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(last))
-    kept = near_duplicates(docs).where("kept").select(key.alias("_kept")).distinct()
-    rows = docs.withColumn("_key", key)
-    rows = rows.join(kept, rows["_key"] == kept["_kept"], "left_semi")
-    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("text")))
-    return rows.where("_copy = 1").select(*docs.columns)
+    # the number of a row tells equal rows apart; it is written, so that all readers have the same
+    rows = cut(docs.withColumn("_row", F.struct(key.alias("id"), F.xxhash64(*docs.columns).alias("h"), F.monotonically_increasing_id().alias("n"))))
+    kept = similar(rows.select(F.col("_row").alias("d"), "text")).where("d = class_id").select("d")
+    return rows.join(kept, rows["_row"] == kept["d"], "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ def embeddings(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * COORDINATES), pa.array(m.astype(np.int32).ravel()))
                 yield pa.RecordBatch.from_arrays([b.column("d").slice(i, j - i), pa.array(keys[0].view(np.int64), mask=none), pa.array(keys[1].view(np.int64), mask=none), lists], names=list("dxym"))
 
-    return docs.mapInArrow(run, "d long, x long, y long, m array<int>")
+    return docs.mapInArrow(run, f"d {docs.schema['d'].dataType.simpleString()}, x long, y long, m array<int>")
 
 
 def _split(node: Column, coordinate: Column) -> Column:
@@ -201,7 +201,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """(d, class_id, n_links) for each row of docs (d, text).
+    """(d, class_id, n_links) for each row of docs (d, text); d is of any type that has an order.
 
     Rows link if the sets of their five-word shingles (a text of one to four words is one shingle) have a Jaccard
     likeness of 0.8 or more; n_links counts the other rows that a row links with, rows with equal sets among them, and

@@ -156,6 +156,17 @@ def test_toxicity_restores_and_scores(spark):
     assert all((r.score >= 0.7) == bool(marks[r.doc_id]) for r in score(docs, model).collect())
 
 
+def test_near_duplicates_keep_other_texts_of_an_id(spark):
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    texts = [(None, words("a")), (None, words("b")), (None, words("c")), (7, words("d")), (7, words("e")), (7, words("e")), (3, words("e") + " x"), (8, words("b")), (None, None), (None, ""), (9, "")]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), "")
+    assert got.columns == docs.columns
+    want = [(None, words("a")), (8, words("b")), (None, words("c")), (7, words("d")), (3, words("e") + " x"), (None, None), (None, ""), (9, "")]
+    assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(map(str, want))
+
+
 def test_class_model(spark):
     import math
     from collections import Counter
