@@ -1,14 +1,13 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage, words as numpy arrays."""
+"""What the operators of this subpackage share: reading tables, keys of rows, words as numpy arrays."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lattica.session import ship
 
@@ -31,21 +30,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and written as a table into the cluster's checkpoint folder, which all executors share.
-
-    Its readers don't depend on the executors that computed it. Like Spark's own checkpoints by default, the files stay
-    until the folder is cleaned. Without a folder in spark.checkpoint.dir, as in tests, a temporary one is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-checkpoint-"))
-        folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/lattica-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def row_key(key: str, text: str) -> Column:
+    """A row's key (none, id, h): null ids come last, and a hash of the text tells rows of one id, or of none, apart."""
+    return F.struct(F.col(key).isNull().alias("none"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

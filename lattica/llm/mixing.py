@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import WORD, cut
+from lattica.llm.common import WORD
+from lattica.plans.lineage import cut
 
 #: Weights of the sources in code point order, repeating.
 CYCLE = (3.0, 1.0, 2.0)
