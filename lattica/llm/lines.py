@@ -1,117 +1,107 @@
 """Line deduplication by winnowing over line hashes.
 
-Lines are compared without the white space around them; blank lines are passed over. In every window of RUN lines the
-least hash (of equal ones the last) is a fingerprint, so each repeated run of RUN lines has a fingerprint in common; a
-line of LONG words or more is one by itself. Fingerprints that occur again are joined by position: from each the
-windows that chose it are compared before and behind it, and windows that meet are one run. A later run goes.
+Lines are compared without the white space around them; blank lines are passed over. Of every window of RUN lines the
+least hash (of equal ones the last) is chosen, and each line that was chosen is one fingerprint, so each repeated run of
+RUN lines has a fingerprint in common and the other lines emit nothing; a line of LONG words or more is one by itself.
+Fingerprints that occur again are joined by position: from each, the match is extended before and behind it over the
+windows that chose it, and windows that meet are one run. A later run goes.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import SEPARATORS, cut, span_hashes
+from lattica.llm.common import Words, chunks, mix64, row_key, span_hashes
+from lattica.plans.lineage import cut
 
 #: Lines that a repeated run has at least, and words that a line has at least to count as a run by itself.
 RUN, LONG = 2, 50
-_LAST = (1 << 63) - 1
-_WHITE = SEPARATORS.decode()
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def split(text: str | None) -> list[str]:
-    return (text or "").split("\n")
+def lines(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, number, hash, words) of the lines of some texts that aren't blank: where each text begins, and of each line its number."""
+    breaks = np.zeros(len(words.data) + 1, np.int64)
+    np.cumsum(words.data == 10, out=breaks[1:])
+    text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    line = breaks[words.starts]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (text[1:] != text[:-1])
+    begin = np.flatnonzero(new)
+    n = np.diff(np.r_[begin, len(line)])
+    h = span_hashes(_BYTES[words.data], words.starts[begin], words.ends[begin + n - 1])
+    return np.searchsorted(begin, words.first), line[begin] - breaks[words.offsets[text[begin]]], h, n
 
 
-def hashed(lines: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Places, hashes and word counts of the lines that aren't blank."""
-    at, h, n = [], [], []
-    for i, line in enumerate(lines):
-        if bare := line.strip(_WHITE).encode():
-            at.append(i)
-            h.append(xxhash.xxh3_64_intdigest(bare))
-            n.append(len(bare.split()))
-    return at, np.array(h, np.uint64), np.array(n, np.int64)
-
-
-def winnow(h: np.ndarray, run: int = RUN) -> np.ndarray:
-    """For each window of `run` hashes the place of its least one, of equal ones the last."""
-    if len(h) < run:
-        return np.zeros(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(h, run)
-    return np.arange(len(windows)) + run - 1 - windows[:, ::-1].argmin(1)
-
-
-def mark(h: np.ndarray) -> int:
-    """31 bits of a hash of a text's lines; it tells apart texts of rows that share an id."""
-    return int(span_hashes(h, np.array([0]), np.array([len(h)]))[0] >> np.uint64(33)) if len(h) else 0
+def winnow(h: np.ndarray, first: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of `run` hashes within a text its first line, and the line of its least hash, of equal ones the last."""
+    start = np.flatnonzero(np.arange(len(h)) + run <= np.repeat(first[1:], np.diff(first)))
+    if not len(start):
+        return start, start
+    windows = np.lib.stride_tricks.sliding_window_view(h, run)[start]
+    return start, start + run - 1 - windows[:, ::-1].argmin(1)
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
-    """(d, spans): for each id the later runs (l, n): the place among its non-blank lines is l >> 31, n lines long."""
+    """(k, spans): for each key of docs (k, text) the later runs (l, n): first place among its non-blank lines, and lines."""
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns: list[list] = [[] for _ in range(5)]
-            for d, text in zip(b.column("d").to_pylist(), b.column("text")):
-                _, h, n = hashed(split(text.as_py()))
-                m = mark(h)
-                chosen = winnow(h, run)
-                start = np.arange(len(chosen))
-                unit = span_hashes(h, start, start + run)
+            for i, j, w in chunks(b):
+                first, _, h, n = lines(w)
+                start, chosen = winnow(h, first, run)
+                new = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]]) if len(chosen) else chosen
                 alone = np.flatnonzero(n >= long)
-                f = np.r_[h[chosen], ~h[alone]]
-                for column, x in zip(columns, (f, np.r_[unit, ~h[alone]], np.full(len(f), d), np.r_[start, alone] << 31 | m, np.r_[np.full(len(start), run), np.ones(len(alone), int)])):
-                    column.append(x.astype(np.uint64).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in columns], names=list("fudln"))
-
-    place = F.struct("d", "l")
-    windows = docs.mapInArrow(fingerprints, "f long, u long, d long, l long, n long")
-    common = windows.groupBy("f").agg(F.count("*").alias("many")).where("many > 1").select("f")
-    met = cut(windows.join(common, "f"))
+                unit = np.r_[span_hashes(h, start, start + run), ~h[alone]].view(np.int64)
+                offsets = np.r_[new, np.arange(len(start), len(unit) + 1)].astype(np.int32)
+                at = np.r_[start[new], alone]
+                text = np.searchsorted(first, at, "right") - 1
+                columns = [pa.array(np.r_[h[chosen[new]], ~h[alone]].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit)), b.column("k").slice(i, j - i).take(pa.array(text)), pa.array(at - first[text]), pa.array(np.r_[np.full(len(new), run), np.ones(len(alone), int)])]
+                yield pa.RecordBatch.from_arrays(columns, names=["f", "units", "k", "l", "n"])
+
+    found = docs.mapInArrow(fingerprints, f"f long, units array<long>, k {docs.schema['k'].dataType.simpleString()}, l long, n long")
+    common = found.groupBy("f").agg(F.count("*").alias("many")).where("many > 1").select("f")
+    met = cut(found.join(common, "f").select("k", "l", "n", F.posexplode("units").alias("i", "u")).select("u", "k", (F.col("l") + F.col("i")).alias("l"), "n"))
+    place = F.struct("k", "l")
     first = met.groupBy("u").agg(F.min(place).alias("first"), F.count("*").alias("many")).where("many > 1").select("u", "first")
     later = met.join(first, "u").where(place > F.col("first"))
-    return later.groupBy("d").agg(F.collect_set(F.struct("l", "n")).alias("spans"))
+    return later.groupBy("k").agg(F.collect_set(F.struct("l", "n")).alias("spans"))
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
     """docs (doc_id, text) with kept (the text without later runs), n_lines and n_removed (lines, blank ones included).
 
     A line goes if it is in a run of `run` non-blank lines, or is a line of `long` words, that also starts earlier: in
-    a smaller doc_id (null is the largest), or earlier in the same text. Blank lines inside a removed run go with it.
-    Equal rows count as one, and so keep the same lines; other rows that share an id are told apart by their text. A
-    null text has no lines and stays null; an empty one has one, which is blank.
+    a smaller doc_id (null is the largest), or earlier in the same text. Blank lines inside a removed run go with it. Of
+    rows that share an id, or have none, the one whose text has the smaller hash is earlier; equal rows count as one, and
+    so keep the same lines. A null text has no lines and stays null; an empty one has one, which is blank. Texts of any
+    length are read whole; an empty table gives an empty one. Columns of docs are under `row`, and so may have any names.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    rows = docs.select(row_key("doc_id", "text").alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept, n, gone = [], [], []
-            for text, spans in zip(b.column("text"), b.column("spans")):
-                text, spans = text.as_py(), spans.as_py() or ()
-                lines = split(text)
-                n.append(0 if text is None else len(lines))
-                drop: set[int] = set()
-                if spans:
-                    at, h, _ = hashed(lines)
-                    m = mark(h)
-                    for s in spans:
-                        if s["l"] & 0x7FFFFFFF == m:
-                            k = s["l"] >> 31
-                            drop.update(range(at[k], at[k + s["n"] - 1] + 1))
-                gone.append(len(drop))
-                kept.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=["row", "kept", "n_lines", "n_removed"])
-
-    joined = rows.join(repeated_runs(rows.select("d", "text"), run, long), "d", "left").select("row", "text", "spans")
-    out = joined.mapInArrow(rest, f"row {rows.schema['row'].dataType.simpleString()}, kept string, n_lines long, n_removed long")
-    return out
+            for i, j, w in chunks(b):
+                first, number, _, _ = lines(w)
+                kept, n, gone = [], [], []
+                for k, (text, spans) in enumerate(zip(b.column("text").slice(i, j - i), b.column("spans").slice(i, j - i))):
+                    text, spans = text.as_py(), spans.as_py()
+                    n.append(0 if text is None else text.count("\n") + 1)
+                    drop: set[int] = set()
+                    for s in spans or ():
+                        at = first[k] + s["l"]
+                        drop.update(range(number[at], number[at + s["n"] - 1] + 1))
+                    gone.append(len(drop))
+                    kept.append("\n".join(x for q, x in enumerate(text.split("\n")) if q not in drop) if drop else text)
+                yield pa.RecordBatch.from_arrays([b.column("row").slice(i, j - i), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=["row", "kept", "n_lines", "n_removed"])
+
+    joined = rows.join(repeated_runs(rows.select("k", "text"), run, long), "k", "left").select("row", "text", "spans")
+    return joined.mapInArrow(rest, f"row {rows.schema['row'].dataType.simpleString()}, kept string, n_lines long, n_removed long")
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
