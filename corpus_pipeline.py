@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from lattica.llm import toxicity
 from lattica.llm.bpe import bpe_encode
 from lattica.llm.chosen_path import similar
-from lattica.llm.common import cut, read_table
+from lattica.llm.common import read_table, row_key
 from lattica.llm.lines import deduplicated
 from lattica.llm.mixing import mixed_documents
+from lattica.plans.lineage import cut
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -34,10 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of a group's rows that share the smallest doc_id one stays, by a hash; a null doc_id counts as larger than all others.
     """
-    last = (1 << 63) - 1
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(last))
     # the number of a row tells equal rows apart; it is written, so that all readers have the same
-    rows = cut(docs.withColumn("_row", F.struct(key.alias("id"), F.xxhash64(*docs.columns).alias("h"), F.monotonically_increasing_id().alias("n"))))
+    rows = cut(docs.withColumn("_row", F.struct(row_key("doc_id", "text").alias("key"), F.monotonically_increasing_id().alias("n"))))
     kept = similar(rows.select(F.col("_row").alias("d"), "text")).where("d = class_id").select("d")
     return rows.join(kept, rows["_row"] == kept["d"], "left_semi").select(*docs.columns)
 
