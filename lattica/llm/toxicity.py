@@ -2,9 +2,11 @@
 
 A character trigram model counts the letters of all documents, and a second one those of the telling words that labels
 mark. A suspicious token (digits or signs among letters, letters repeated, letters set apart by spaces or dots) is a
-lattice: each character may stand for letters it resembles, be noise, or repeat the letter before it. Viterbi decoding
-under the mixed character model restores the likeliest letters. Restored words and their prefixes are then scored by
-naive Bayes weights learnt from labels.
+lattice: each character may stand for letters it resembles, be noise, or repeat the letter before it. Exact Viterbi
+decoding under the mixed character model restores the likeliest letters; a long token is decoded in parts. Restored words,
+their prefixes, and prefixes that several words of a text have, are then scored by naive Bayes weights learnt from labels.
+The other words of a text, clean evidence among them, move its score by at most one unit of log odds, so they rank texts
+but don't decide alone.
 """
 
 from __future__ import annotations
@@ -24,14 +26,15 @@ from lattica.llm.common import CHUNK_BYTES, lower_ascii, string_buffers
 
 #: Labelled rows that the classifier is fitted on, at most; they are chosen by a hash of their ids.
 LABELLED = 60_000
-#: A telling word occurs in so many, and in such a share, of the toxic training texts at least ...
-LEAST_TEXTS, LEAST_SHARE = 4, 0.01
+#: A telling word occurs in so many toxic training texts at least, and among as many words as there are to test one that
+#: isn't telling would do as well with such a probability ...
+LEAST_TEXTS, CHANCE = 3, 0.01
 #: ... and such a share of the texts that have it are toxic.
 PRECISION = 0.95
 #: It stands behind so many different words, as a share of its texts (of 20 of them at most); words of copies don't.
 PLACES = 0.5
-#: Prefixes that stand for inflected words, in letters.
-PREFIXES = (4, 5, 6)
+#: Prefixes that stand for inflected words, in letters, and numbers of words of a text that share one.
+PREFIXES, SHARED = (4, 5, 6), (2, 3, 4)
 THRESHOLD = 0.7
 
 # The letters that a digit or sign resembles.
@@ -46,7 +49,13 @@ _APART = re.compile(r"(?<![^\s])[^\W_](?:[ .\-_*]{1,2}[^\W_]){2,}(?![^\s.,;:!?])
 _LONG_RUN = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
 _EDGE_LETTER = re.compile(r"[$@](?![$@])\w|.*\w[$@]$")
-_BEAM, _LONGEST = 40, 40
+#: Signs of a token that are decoded together; a longer one is split at signs, and what has none into overlapping parts.
+_TOGETHER = 40
+#: Letters that a word has at least to be found inside such a part.
+_INSIDE = 6
+_WILD = "*#%"
+_SPLIT = re.compile(r"[^\w@$!|+*#%€£¡]+|_+")
+_RUN = re.compile(r"(.)\1{2,}")
 
 
 def letter(c: str) -> int:
@@ -78,13 +87,13 @@ def options(c: str) -> list[tuple[str, float]]:
         return [(x, -0.7) for x in LOOKALIKES[c]] + [("", -5.0)]
     if c.isalpha():
         return [(c, 0.0)]
-    if c in "*#%":
+    if c in _WILD:
         return [(x, -3.5) for x in "abcdefghijklmnopqrstuvwxyz"] + [("", -1.5)]
     return [("", -0.5)]
 
 
-def restore(token: str, model: list) -> str:
-    """The likeliest letters behind a token, by Viterbi decoding of its lattice under the character model."""
+def restore(token: str, model: list, table: np.ndarray | None = None) -> str:
+    """The likeliest letters behind a token, by Viterbi decoding of its lattice under the character model; table: the model as an array."""
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     before = ""
     for c in token:
@@ -92,51 +101,107 @@ def restore(token: str, model: list) -> str:
         if c == before and c.isalnum():
             choice.append(("", -1, -0.4))
         then: dict[tuple[int, int], tuple[float, str]] = {}
+        if c in _WILD and len(best) > _LETTERS:
+            table = np.array(model) if table is None else table
+            best_of = _any_letter(best, table)
+            choice = [x for x in choice if x[1] < 0]
+            then = {key: (s - 3.5, best[a, key[0]][1] + chr(96 + key[1])) for key, (s, a) in best_of.items()}
         for (a, b), (score, out) in best.items():
             row = model[a][b]
             for x, k, cost in choice:
                 key, s = ((a, b), score + cost) if k < 0 else ((b, k), score + cost + row[k])
                 if key not in then or s > then[key][0]:
                     then[key] = (s, out + x)
-        best = dict(sorted(then.items(), key=lambda kv: -kv[1][0])[:_BEAM]) if len(then) > _BEAM else then
-        before = c
+        best, before = then, c
     return max(((s + model[a][b][0], out) for (a, b), (s, out) in best.items()))[1]
 
 
+def _any_letter(best: dict[tuple[int, int], tuple[float, str]], table: np.ndarray) -> dict[tuple[int, int], tuple[float, int]]:
+    """For each state (b, c) with c a letter from a to z the best score of a step to it, and the state (a, b) it comes from, by a."""
+    scores = np.full((_LETTERS, _LETTERS), -np.inf)
+    for (a, b), (s, _) in best.items():
+        scores[a, b] = s
+    steps = scores[:, :, None] + table[:, :, 1:27]
+    least, of = steps.max(0), steps.argmax(0)
+    return {(int(b), int(c) + 1): (float(least[b, c]), int(of[b, c])) for b, c in np.argwhere(least > -np.inf)}
+
+
+def parts(token: str) -> list[str]:
+    """What of a token is decoded at once: itself, or of a long one, without long repeats, its parts between signs and then overlapping ones."""
+    if len(token) <= _TOGETHER:
+        return [token]
+    short = _RUN.sub(r"\1\1", token)
+    out = []
+    for part in [short] if len(short) <= _TOGETHER else _SPLIT.split(short):
+        out += [part[i : i + _TOGETHER] for i in range(0, max(1, len(part) - _TOGETHER // 2), _TOGETHER // 2)] if len(part) > _TOGETHER else [part]
+    return out
+
+
 def core(token: str) -> str:
     """A token without signs at its edges."""
     return token.strip(_EDGE)
 
 
+def prefixes(word: str) -> list[str]:
+    return [word[:n] for n in PREFIXES if len(word) > n]
+
+
 def features(word: str) -> list[str]:
-    return ["=" + word, *(word[:n] for n in PREFIXES if len(word) > n)]
+    return ["=" + word, *prefixes(word)]
 
 
 @dataclass
 class Model:
-    """weights: of features; prior: log odds of a toxic text; characters: log probabilities of letters."""
+    """weights: of telling features, with those of prefixes that several words share; stems: the latter's prefixes; others: of
+    other words; prior: log odds of a toxic text; characters: log probabilities of letters."""
 
     weights: dict[str, float]
     prior: float
     characters: list
-    cache: dict[str, float] = field(default_factory=dict, repr=False)
+    others: dict[str, float] = field(default_factory=dict)
+    stems: frozenset[str] = frozenset()
+    cache: dict[str, tuple[float, str, list[str]]] = field(default_factory=dict, repr=False)
+    table: np.ndarray | None = field(default=None, repr=False)
+
+    def __post_init__(self) -> None:
+        # a feature of a word begins with the word's first letters, so most words need no look at all
+        self.heads = {f.lstrip("=")[: PREFIXES[0]] for f in self.weights}
 
     def best(self, word: str) -> float:
+        if word[: PREFIXES[0]] not in self.heads:
+            return 0.0
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
-    def weigh(self, token: str) -> float:
-        """The weight of a token's telling feature, 0 if it has none; suspicious tokens are restored first."""
+    def stems_of(self, word: str) -> list[str]:
+        return [x for x in prefixes(word) if x in self.stems] if word[: PREFIXES[0]] in self.heads else []
+
+    def inside(self, letters: str) -> float:
+        return max((w for f, w in self.weights.items() if f[0] == "=" and len(f) > _INSIDE and f[1:] in letters), default=0.0)
+
+    def weigh(self, token: str) -> tuple[float, str, list[str]]:
+        """The weight of a token's telling feature, 0 if it has none, its word, and the word's stems; suspicious tokens are restored first."""
         word = core(token)
-        found = max(self.best(word), self.best(_DOUBLE.sub(r"\1", word)))
-        if word.isalpha() and not _LONG_RUN.search(word) and not _EDGE_LETTER.match(token):
-            return found
+        found, stems = self.best(word), self.stems_of(word)
+        if _DOUBLE.search(word):
+            found = max(found, self.best(_DOUBLE.sub(r"\1", word)))
+        if word.isalpha() and len(word) <= _TOGETHER and not _LONG_RUN.search(word) and not ((token[0] in "$@" or token[-1] in "$@") and _EDGE_LETTER.match(token)):
+            return found, word, stems
+        if self.table is None:
+            self.table = np.array(self.characters)
         for form in {word, token.strip(".,;:?\"'()[]")}:
-            if 2 < len(form) <= _LONGEST and sum(map(str.isalpha, form)) >= 1 and not form.isalpha() | form.isdigit() or _LONG_RUN.search(form[: _LONGEST + 1]) and len(form) <= _LONGEST:
-                found = max(found, self.best(restore(form, self.characters)))
-        return found
-
-    def tell(self, text: str) -> dict[str, float]:
-        """Telling tokens of a text and their weights."""
+            cut_up = parts(form)
+            for part in cut_up if len(cut_up) == 1 else {x for part in cut_up for x in (part, core(part))}:
+                if len(cut_up) > 1:
+                    found = max(found, self.best(part), self.best(_DOUBLE.sub(r"\1", part)))
+                if 2 < len(part) and any(map(str.isalpha, part)) and (not part.isalpha() or _LONG_RUN.search(part) or len(form) > _TOGETHER):
+                    letters = restore(part, self.characters, self.table)
+                    found = max(found, self.best(letters), self.inside(letters) if len(part) == _TOGETHER < len(form) else 0.0)
+                    if some := self.stems_of(letters):
+                        word, stems = letters, some
+        return found, word, stems
+
+    def tell(self, text: str) -> tuple[dict[str, float], float]:
+        """Telling tokens of a text and their weights, and the mean weight of its other known words, from -1 to 1."""
         low = text.lower()
         tokens = set(low.split())
         for m in _APART.finditer(low):
@@ -144,17 +209,36 @@ class Model:
         found, cache = {}, self.cache
         if len(cache) > 100_000:
             cache.clear()
+        known = [self.others[t] for t in tokens if t in self.others]
+        words: dict[str, set[str]] = {}
         for t in tokens:
-            w = cache.get(t)
-            if w is None:
-                w = cache[t] = self.weigh(t)
+            got = cache.get(t)
+            if got is None:
+                got = cache[t] = self.weigh(t)
+            if got[0] > 0:
+                found[t] = got[0]
+            for stem in got[2]:
+                words.setdefault(stem, set()).add(got[1])
+        for stem, some in words.items():
+            w = max((self.weights.get(f"{stem}*{n}", 0.0) for n in SHARED if n <= len(some)), default=0.0)
             if w > 0:
-                found[t] = w
-        return found
+                key = stem[: PREFIXES[0]] + "*"  # a stem and a longer one are one piece of evidence
+                found[key] = max(found.get(key, 0.0), w)
+        return found, max(-1.0, min(1.0, math.fsum(known) / (len(known) + 1)))
 
     def score(self, text: str | None) -> float:
         """The probability that a text is toxic; a null or empty text has the prior one."""
-        return 1 / (1 + math.exp(-min(40.0, self.prior + sum(self.tell(text or "").values()))))
+        found, other = self.tell(text or "")
+        return 1 / (1 + math.exp(-min(40.0, self.prior + math.fsum(found.values()) + other)))
+
+
+def by_chance(toxic: int, clean: int, share: float) -> float:
+    """The probability that of toxic + clean texts so many or more are toxic, if each is with probability share; an upper bound."""
+    n = toxic + clean
+    if not 0 < share < 1:
+        return 1.0
+    term = lambda k: math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + (n - k) * math.log(share) + k * math.log(1 - share))
+    return sum(term(k) for k in range(clean + 1))
 
 
 def fold(key, of: int = 3):
@@ -165,8 +249,9 @@ def fold(key, of: int = 3):
 def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, labelled: int = LABELLED) -> Model:
     """The model of docs (doc_id, text) and labels (doc_id, toxic), without the labels whose fold is held_out.
 
-    The characters of all docs are counted. A label that is null is left out; of several labels of a row the highest
-    counts. Without any label every text has the score 0.5 or less.
+    The characters of all docs are counted. A label that is null is left out, as is one without a row; of several labels
+    of an id the highest counts, for all its rows, and each repeated row is a text. Without any label, as with empty tables,
+    every text has the score 0.5 or less.
     """
     sample = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = {r[0]: r[1] for r in sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()}
@@ -185,7 +270,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, labelled: int = L
                         for f in features(w):
                             found[f] = found.get(f, 0) | bit
                     before = t
-                yield found
+                many: dict[str, int] = {}
+                for w in [f[1:] for f in found if f[0] == "="]:
+                    for x in prefixes(w):
+                        many[x] = many.get(x, 0) + 1
+                yield found | {f"{x}*{n}": found[x] for x, k in many.items() for n in SHARED if n <= k}
 
     def rows(counts: dict[str, list[int]]) -> Iterator[pa.RecordBatch]:
         names, values = [*counts], [*counts.values()]
@@ -225,25 +314,32 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, labelled: int = L
     def gathered(count) -> DataFrame:
         return docs.select("doc_id", "text").mapInArrow(count, "f string, n long, m long").groupBy("f").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("m")).alias("places"))
 
-    least = max(LEAST_TEXTS, math.ceil(LEAST_SHARE * sum(1 for v in known.values() if v == 1)))
-    toxic = {r.f: r.n for r in gathered(toxic_and_letters).where(F.col("f").startswith("#") | (F.col("n") >= least) & (F.col("places") >= PLACES * F.least("n", F.lit(20)))).collect()}
+    toxic, places = {}, {}
+    for r in gathered(toxic_and_letters).where(F.col("f").startswith("#") | (F.col("n") >= LEAST_TEXTS)).collect():
+        toxic[r.f], places[r.f] = r.n, r.places
     letters = np.zeros(_LETTERS**3)
     for f in [f for f in toxic if f[0] == "#" and f != "##"]:
         letters[int(f[1:])] = toxic.pop(f)
     hopeful = docs.sparkSession.sparkContext.broadcast(set(toxic))
     clean_counts = {r.f: r.n for r in gathered(clean).collect()}
     total = (clean_counts.pop("##", 0), toxic.pop("##", 0))
-    telling = {f: (clean_counts.get(f, 0), t) for f, t in toxic.items() if t >= PRECISION * (t + clean_counts.get(f, 0) + 0.2)}
+    share, many = total[1] / max(1, sum(total)), max(1, len(toxic))
+    counted = {f: (clean_counts.get(f, 0), t) for f, t in toxic.items()}
+    telling = {f: (c, t) for f, (c, t) in counted.items() if t >= PRECISION * (t + c + 0.2) and places[f] >= PLACES * min(t, 20) and by_chance(t, c, share) * many <= CHANCE}
     weigh = lambda n, t: math.log((t + 0.5) / (total[1] + 1)) - math.log((n + 0.5) / (total[0] + 1))
     weights = {f: weigh(*n) for f, n in telling.items()}
+    others = {f[1:]: weigh(*n) for f, n in counted.items() if f[0] == "=" and f not in telling}
     letters = letters.reshape((_LETTERS,) * 3)
     lexicon = [f[1:] for f in weights if f.startswith("=")]
     mixed = np.logaddexp(trigram_log_probabilities(letters), trigram_log_probabilities(50.0 * word_trigrams(lexicon))) - math.log(2)
-    return Model(weights, math.log((total[1] + 0.5) / (total[0] + 1)), mixed.tolist())
+    return Model(weights, math.log((total[1] + 0.5) / (total[0] + 1)), mixed.tolist(), others, frozenset(f.split("*")[0] for f in weights if "*" in f))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of each row of docs; only doc_id, which is passed on, and text are read."""
+    """(doc_id, score) of each row of docs; only doc_id, which is passed on, and text are read.
+
+    Equal texts, null ones as empty ones, have equal scores; texts of any length are read whole. An empty table gives none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +351,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score is below the threshold, with all their columns."""
+    """The rows of docs whose score is below the threshold, with all their columns, whatever their names; see `score`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
