@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Words, chunks, cut, mix64, span_hashes
+from lattica.llm.common import Words, chunks, mix64, span_hashes
+from lattica.plans.lineage import cut
 
 WINDOW = 20
 ROUNDS = 4
@@ -30,8 +31,8 @@ ROUNDS = 4
 RANKS = (4, 3, 2)
 #: Windows of a stretch, at most, and the bit that marks a stretch in which a window occurs twice.
 STRETCH, _TWICE = 16, 64
-#: Bits of a text's mark, and of an anchor in comparison: anchors that agree by chance only cost a closer look.
-MARK, ANCHOR = 16, 40
+#: Bits of an anchor in comparison: anchors that agree by chance only cost a closer look.
+ANCHOR = 40
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LAST = (1 << 63) - 1
 
@@ -109,11 +110,6 @@ def anchors(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return least[0][:n]
 
 
-def text_marks(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """MARK bits of a hash of each text's words; they tell apart texts of rows that share an id."""
-    return (span_hashes(h, first[:-1], first[1:]) >> np.uint64(64 - MARK)).astype(np.int64)
-
-
 def stretches(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start in its text, windows, anchor, hash) of the stretches of some texts; windows has the bit _TWICE added."""
     h, first = words.hashes(), words.first
@@ -140,82 +136,65 @@ def stretches(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return row[at], at - first[row[at]], size + _TWICE * twice, anchor[begin], span_hashes(h, at, at + size + WINDOW - 1)
 
 
-def _arrow(names: str, *columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns], names=list(names))
+def _arrow(names: str, *columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns]
+    return pa.RecordBatch.from_arrays(arrays, names=list(names))
 
 
-def _spans(words: Words, marks: np.ndarray, column: pa.Array, size: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, size) of the spans of some texts, from a column of lists of (l, size), for the spans whose mark is the text's."""
+def _spans(words: Words, column: pa.Array, size: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, size) of the spans of some texts, from a column of lists of (l, size)."""
     offsets = np.array(column.offsets)
     flat = column.values.slice(offsets[0], offsets[-1] - offsets[0])
     text = np.repeat(np.arange(len(column)), np.diff(offsets))
-    loc, n = flat.field("l").to_numpy(zero_copy_only=False), flat.field(size).to_numpy(zero_copy_only=False)
-    ok = (loc & ((1 << MARK) - 1)) == marks[text]
-    text, loc, n = text[ok], loc[ok], n[ok]
-    return text, words.first[text] + (loc >> MARK), n
+    return text, words.first[text] + flat.field("l").to_numpy(zero_copy_only=False), flat.field(size).to_numpy(zero_copy_only=False)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(d, spans): for each id (null as the largest) the spans (loc, words) covered by repeated windows; loc >> MARK is a word's place."""
+    """(d, t, spans): for each key of docs (d, t, text) the spans (l, words) covered by repeated windows; l is a word's place."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, w in chunks(b):
                 row, start, size, anchor, whole = stretches(w)
                 if len(row):
-                    marks = text_marks(w.hashes(), w.first)
-                    yield _arrow("ardlc", mix64(anchor) >> np.uint64(64 - ANCHOR), whole, b.column("d").slice(i, j - i).to_numpy()[row], start << MARK | marks[row], size)
+                    d, t = (b.column(c).slice(i, j - i).to_numpy()[row] for c in "dt")
+                    yield _arrow("ardtlc", mix64(anchor) >> np.uint64(64 - ANCHOR), whole, d, t, start, size)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, w in chunks(b):
-                h = w.hashes()
-                marks = text_marks(h, w.first)
-                text, at, n = _spans(w, marks, b.column("spans").slice(i, j - i), "c")
+                text, at, n = _spans(w, b.column("spans").slice(i, j - i), "c")
                 n = n % _TWICE
                 text, at = np.repeat(text, n), np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                yield _arrow("wdl", span_hashes(h, at, at + WINDOW), b.column("d").slice(i, j - i).to_numpy()[text], (at - w.first[text]) << MARK | marks[text])
+                d, t = (b.column(c).slice(i, j - i).to_numpy()[text] for c in "dt")
+                yield _arrow("wdtl", span_hashes(w.hashes(), at, at + WINDOW), d, t, at - w.first[text])
 
-    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of windows in order of their hashes and places all but those at the first place."""
-        last: tuple = (None, 0, 0)
-        for b in batches:
-            w, d, l = (b.column(c).to_numpy() for c in "wdl")
-            if not len(w):
-                continue
-            new = np.ones(len(w), bool)
-            new[1:] = w[1:] != w[:-1]
-            new[0] = w[0] != last[0]
-            at = np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))
-            of_d, of_l = np.where(at >= 0, d[at], last[1]), np.where(at >= 0, l[at], last[2])
-            again = (d != of_d) | (l != of_l)
-            last = (w[-1], of_d[-1], of_l[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(d[again]), pa.array(l[again]), pa.array(np.full(again.sum(), WINDOW))], names=["d", "l", "words"])
-
-    place = F.struct("d", "l")
-    stretch = docs.mapInArrow(parse, "a long, r long, d long, l long, c long")
+    place = F.struct("d", "t", "l")
+    stretch = docs.mapInArrow(parse, "a long, r long, d long, t long, l long, c long")
     common = stretch.groupBy("a").agg(F.count("*").alias("n"), F.max("c").alias("most")).where((F.col("n") > 1) | (F.col("most") >= _TWICE)).select("a")
     shared = cut(stretch.join(common, "a"))
-    firsts = cut(shared.groupBy("a", "r").agg(F.min(place).alias("first"), F.max("c").alias("c")).select("a", "r", "first.d", "first.l", "c"))
+    firsts = cut(shared.groupBy("a", "r").agg(F.min(place).alias("first"), F.max("c").alias("c")).select("a", "r", "first.*", "c"))
     unlike = firsts.groupBy("a").agg(F.count("*").alias("kinds"), F.max("c").alias("most")).where((F.col("kinds") > 1) | (F.col("most") >= _TWICE)).select("a")
-    first = firsts.select("a", "r", F.struct("d", "l").alias("first"))
-    later = shared.join(first, ["a", "r"]).where(place > F.col("first")).select("d", "l", (F.col("c") % _TWICE + WINDOW - 1).alias("words"))
-    parts = firsts.join(unlike, "a").groupBy("d").agg(F.collect_set(F.struct("l", "c")).alias("spans"))
-    # windows of unlike stretches only, so a key has no more rows than a window has different surroundings
-    single = docs.join(parts, "d").mapInArrow(windows, "w long, d long, l long")
-    again = single.repartition("w").sortWithinPartitions("w", "d", "l").mapInArrow(repeats, "d long, l long, words long")
-    return later.unionByName(again).groupBy("d").agg(F.collect_list(F.struct("l", "words")).alias("spans"))
+    first = firsts.select("a", "r", place.alias("first"))
+    later = shared.join(first, ["a", "r"]).where(place > F.col("first")).select("d", "t", "l", (F.col("c") % _TWICE + WINDOW - 1).alias("words"))
+    parts = firsts.join(unlike, "a").groupBy("d", "t").agg(F.collect_set(F.struct("l", "c")).alias("spans"))
+    # windows of unlike stretches only; a window's first place is a sum that map tasks begin, and the join with it splits
+    single = cut(docs.join(parts, ["d", "t"]).mapInArrow(windows, "w long, d long, t long, l long"))
+    first = single.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("w", "first")
+    again = single.join(first, "w").where(place > F.col("first")).select("d", "t", "l", F.lit(WINDOW).cast("long").alias("words"))
+    return later.unionByName(again).groupBy("d", "t").agg(F.collect_set(F.struct("l", "words")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, and kept, the words left, if text) of docs (doc_id, text).
 
     A word goes if a window of WINDOW words of its text that covers it also starts earlier: in a smaller doc_id (null is
-    the largest) or earlier in the same one; of two texts with one id and equal windows at one place the one with the
-    smaller mark keeps them, and equal rows count as one. A null text has no words; a text shorter than a window loses none.
+    the largest) or earlier in the same text; of texts that share an id, or have none, the one with the smaller hash is
+    earlier, and equal rows count as one. A null text has no words; a text shorter than a window loses none. Texts of any
+    length are read whole, an empty table gives an empty one, and other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -223,7 +202,7 @@ def remove_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
                 n, gone, sha, kept = [], [], [], []
                 data = w.data.tobytes()
                 change = np.zeros(len(w.starts) + 1, np.int64)
-                where, at, size = _spans(w, text_marks(w.hashes(), w.first), b.column("spans").slice(i, j - i), "words")
+                where, at, size = _spans(w, b.column("spans").slice(i, j - i), "words")
                 np.add.at(change, at, 1)
                 np.add.at(change, np.minimum(at + size, w.first[where + 1]), -1)
                 drop = np.cumsum(change)[:-1] > 0
@@ -238,5 +217,5 @@ def remove_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
                 columns = [b.column("d").slice(i, j - i), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * text, names=["d", "n_words", "n_removed", "kept_sha256"] + ["kept"] * text)
 
-    out = rows.join(repeated_spans(rows), "d", "left").mapInArrow(rest, "d long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text)
+    out = rows.join(repeated_spans(rows), ["d", "t"], "left").mapInArrow(rest, "d long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text)
     return out.select(F.when(F.col("d") != _LAST, F.col("d")).cast(kind).alias("doc_id"), "n_words", "n_removed", "kept_sha256", *["kept"] * text)

@@ -63,6 +63,22 @@ def test_empty_table_clashing_columns_and_null_ids(spark):
     assert sorted((r.doc_id is None, r.n_words, r.n_removed) for r in got.collect()) == [(False, 1, 0), (False, 30, 0), (False, 30, 0), (True, 30, 30)]
 
 
+def test_many_rows_without_id(spark):
+    """3,000 rows without an id against brute force, in the order of what tells them apart: texts of their own lose nothing."""
+    from pyspark.sql import functions as F
+
+    words = lambda k, n: " ".join(f"{k}_{i}" for i in range(n))
+    rows = [(None, words(k, 26)) for k in range(2000)] + [(None, words(k % 10, 26)) for k in range(500)] + [(None, words(f"x{k}", 5) + " " + words("all", 30) + " " + words(f"y{k}", 5)) for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [r.text for r in df.orderBy(F.xxhash64("text")).collect()]
+    place = {t: k for k, t in enumerate(dict.fromkeys(order))}
+    want = brute([(k, t) for t, k in place.items()])
+    got = sorted({(place[r.kept] if r.kept in place else -1, r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(df).collect()}, key=str)
+    assert remove_repeats(df).count() == len(rows)
+    assert sorted(g[1:] for g in got) == sorted(set(w[1:] for w in want))
+    assert sum(r.n_removed for r in remove_repeats(df).collect()) == sum(w[2] for w in want for _ in range(order.count(next(t for t, k in place.items() if k == w[0])) if w[2] else 0))
+
+
 def test_long_text(spark):
     r = random.Random(5)
     words = [f"x{r.randrange(10**6)}" for _ in range(200_000)]
