@@ -72,22 +72,22 @@ def prefix_filters(t):
 
 @query("""
 select s_suppkey, len(brands) as n, array_to_string(brands, ',') as brands from (
-    select s_suppkey, list_sort(list(distinct p_brand)) as brands from supplier join lineitem on s_suppkey = l_suppkey join part on p_partkey = l_partkey where l_quantity >= 45 and s_nationkey in (1, 3, 5, 7) group by 1)
+    select s_suppkey, list_sort(list(distinct p_brand)) as brands from supplier join lineitem on s_suppkey = l_suppkey join part on p_partkey = l_partkey where s_nationkey in (1, 3, 5, 7) group by 1)
 where list_contains(brands, 'Brand#7') and len(brands) > 1""")
 def in_list_props(t):
     s = t("supplier").where(F.col("s_nationkey").isin(1, 3, 5, 7)).select("s_suppkey")
-    e = t("lineitem").where("l_quantity >= 45").select("l_suppkey", "l_partkey")
+    e = t("lineitem").select("l_suppkey", "l_partkey").distinct()
     b = s.join(e, F.col("s_suppkey") == F.col("l_suppkey")).join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     b = b.groupBy("s_suppkey").agg(F.array_sort(F.collect_set("p_brand")).alias("brands"))
     return b.where(F.array_contains("brands", "Brand#7") & (F.size("brands") > 1)).select("s_suppkey", F.size("brands").cast("long").alias("n"), F.array_join("brands", ",").alias("brands"))
 
 
 @query("""
-with e as (select l_suppkey as src, l_partkey as dst, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) as eid from lineitem where l_quantity = 50)
+with e as (select l_suppkey as src, l_partkey as dst, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) as eid from lineitem)
 select a.src as p, b.src as q, count(*) as parts from e a join e b on a.dst = b.dst and a.eid <> b.eid group by 1, 2""")
 def co_occurrence(t):
     # any edge id that tells rows apart gives the same counts
-    e = t("lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.monotonically_increasing_id().alias("eid"))
+    e = t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.monotonically_increasing_id().alias("eid"))
     return graph.co_occurrence(e, e).groupBy("p", "q").agg(F.count("*").alias("parts"))
 
 
@@ -127,9 +127,9 @@ def named_parameters(t):
     return c.sparkSession.sql("select c_custkey, c_name from {c} where c_mktsegment = :segment and c_acctbal > :least", args={"segment": "BUILDING", "least": 5000.0}, c=c)
 
 
-@query("select c_name || ' -[' || o_orderstatus || ']-> ' || o_orderkey as path from customer join orders on c_custkey = o_custkey where c_custkey < 20")
+@query("select c_name || ' -[' || o_orderstatus || ']-> ' || o_orderkey as path from customer join orders on c_custkey = o_custkey")
 def path_rows(t):
-    a = t("customer").where("c_custkey < 20").select(F.col("c_custkey").alias("a_id"), "c_name")
+    a = t("customer").select(F.col("c_custkey").alias("a_id"), "c_name")
     e = t("orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), F.col("o_orderstatus").alias("type"))
     path = F.struct(F.col("c_name").alias("a"), F.col("type").alias("r"), F.col("dst").alias("b"))
     found = graph.hop(a, e, t("orders").select(F.col("o_orderkey").alias("b_id"))).select(path.alias("p"))
@@ -292,6 +292,62 @@ def set_remove_property(t):
     return graph.remove_property(n, "name", F.col("c_mktsegment") == "MACHINERY").select("id", "name", "tier")
 
 
+@query("select c_custkey as id, case when n > 0 then n else -1 end as orders from (select c_custkey, count(o_orderkey) as n from customer left join orders on o_custkey = c_custkey group by 1)")
+def write_back_counts(t):
+    nodes = t("customer").select(F.col("c_custkey").alias("id"), F.lit(-1).cast("long").alias("orders"))
+    counts = t("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("orders"))
+    return graph.write_back(nodes, counts, ["orders"])
+
+
+@query("select 'orders' as name, count(*) = 0 as empty from orders union all select 'urgent returns', count(*) = 0 from orders where o_orderpriority = 'none of these'")
+def emptiness_probe(t):
+    o = t("orders")
+    rows = [("orders", graph.is_empty(o)), ("urgent returns", graph.is_empty(o.where("o_orderpriority = 'none of these'")))]
+    return o.sparkSession.createDataFrame(rows, "name string, empty boolean")
+
+
+@query("select c_custkey as id from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'P')")
+def any_endpoint(t):
+    e = t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    return graph.connected(t("customer").select(F.col("c_custkey").alias("id")), e, "out")
+
+
+@query("select c_custkey as id from customer left join (select * from orders where o_orderstatus = 'P') on o_custkey = c_custkey group by 1 having count(o_orderkey) = 0")
+def no_pattern_by_count(t):
+    e = t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("src"))
+    return graph.pattern_counts(t("customer").select(F.col("c_custkey").alias("id")), e).where("n = 0").select("id")
+
+
+@query("select n_nationkey as id, n_name as name, 'Nation' as label from nation union all select r_regionkey, r_name, 'Region' from region")
+def create_nodes(t):
+    nations = t("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("Nation").alias("label"))
+    return graph.create_nodes(nations, t("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit("Region").alias("label")))
+
+
+@query("select l_suppkey as src, l_partkey as dst, count(*) as n from lineitem where l_suppkey <> l_partkey group by 1, 2")
+def simple_graph(t):
+    return graph.simple(t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")))
+
+
+@query("select string_agg(p_brand, ',' order by p_brand) as brands, count(*) as n from (select distinct p_brand from part where p_brand is not null)")
+def global_collect(t):
+    return tabular.collected(t("part"), "p_brand").select(F.array_join("all", ",").alias("brands"), "n")
+
+
+@query("""select * from (select c_custkey, len(s) as kinds from (select c_custkey, list(distinct o_orderpriority) filter (o_orderpriority is not null) as s from customer left join orders on o_custkey = c_custkey group by 1)
+order by len(s) desc nulls first, c_custkey limit 25)""")
+def order_by_size(t):
+    kinds = t("orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("s"))
+    rows = t("customer").select("c_custkey").join(kinds, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "s")
+    return rows.orderBy(*tabular.by_size(rows, "s", descending=True), "c_custkey").limit(25).select("c_custkey", F.when(F.col("s").isNotNull(), F.size("s")).cast("long").alias("kinds"))
+
+
+@query("select o_orderkey, year(o_orderdate) as year, month(o_orderdate) as month from orders")
+def datetime_parts(t):
+    moment = tabular.datetime_of(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T12:30:00")))
+    return t("orders").select("o_orderkey", moment.alias("m")).select("o_orderkey", F.year("m").cast("long").alias("year"), F.month("m").cast("long").alias("month"))
+
+
 # ---- graph queries and algorithms
 
 
@@ -513,14 +569,14 @@ def knowledge_graph(t):
 # ---- retrieval
 
 
-_VECTORS = """with v as (select vec_id, label, embedding::double[] as e from embeddings), q as (select * from v where vec_id < 5),
+_VECTORS = """with v as (select vec_id, label, embedding::double[] as e from embeddings), q as (select * from v where vec_id % 50 = 0),
 s as (select q.vec_id as query_id, v.vec_id as item_id, q.label = v.label as same, round(list_cosine_similarity(q.e, v.e), 6) as score from q, v),
 r as (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from s) """
 
 
 def _hits(t, k: int) -> DataFrame:
     v = retrieval.normalised(t("embeddings"), "vec_id", "embedding")
-    return retrieval.top_k(v.where("vec_id < 5").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "item_id"), k)
+    return retrieval.top_k(v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "item_id"), k)
 
 
 @query(_VECTORS + "select query_id, item_id, score, rank::integer as rank from r where rank <= 5")
@@ -583,17 +639,17 @@ def local_search(t):
 
 
 @query(r"""
-with p as (select conv_id, turn, case turn % 4 when 0 then json_object('contexts', [left(text, 5), 'b'], 'answer', left(text, 9)) when 1 then json_object('documents', [left(text, 5)]) when 2 then json_object('results', [], 'token_usage', json_object('prompt_tokens', turn)) else json_array(left(text, 4)) end as j, text from conversations)
-select conv_id, turn, case turn % 4 when 0 then left(text, 5) || '|b' when 1 then left(text, 5) when 2 then '' else left(text, 4) end as contexts,
-case turn % 4 when 0 then left(text, 9) when 1 then left(text, 5) when 2 then '' else left(text, 4) end as answer, case turn % 4 when 2 then turn else 0 end as prompt_tokens from p""")
+with p as (select conv_id, turn, case turn % 4 when 0 then json_object('contexts', [text, 'b'], 'answer', text) when 1 then json_object('documents', [text]) when 2 then json_object('results', [], 'token_usage', json_object('prompt_tokens', turn)) else json_array(text) end as j, text from conversations)
+select conv_id, turn, case turn % 4 when 0 then text || '|b' when 1 then text when 2 then '' else text end as contexts,
+case turn % 4 when 0 then text when 1 then text when 2 then '' else text end as answer, case turn % 4 when 2 then turn else 0 end as prompt_tokens from p""")
 def rag_endpoint_normalise(t):
     c, kind = t("conversations"), F.col("turn") % 4
-    first = F.substring("text", 1, 5)
+    first = F.col("text")
     payload = (
-        F.when(kind == 0, F.to_json(F.struct(F.array(first, F.lit("b")).alias("contexts"), F.substring("text", 1, 9).alias("answer"))))
+        F.when(kind == 0, F.to_json(F.struct(F.array(first, F.lit("b")).alias("contexts"), F.col("text").alias("answer"))))
         .when(kind == 1, F.to_json(F.struct(F.array(first).alias("documents"))))
         .when(kind == 2, F.to_json(F.struct(F.array().cast("array<string>").alias("results"), F.struct(F.col("turn").alias("prompt_tokens")).alias("token_usage"))))
-        .otherwise(F.to_json(F.array(F.substring("text", 1, 4))))
+        .otherwise(F.to_json(F.array("text")))
     )
     r = c.select("conv_id", "turn", metrics.normalise_reply(payload).alias("r"))
     return r.select("conv_id", "turn", F.array_join("r.contexts", "|").alias("contexts"), "r.answer", "r.prompt_tokens")
@@ -632,15 +688,15 @@ def answer_token_f1(t):
     c = t("conversations")
     a = c.where("role = 'assistant'").select("conv_id", "turn", "text")
     b = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("asked"))
-    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(metrics.token_f1(F.col("text"), F.col("asked")), 6).alias("f1"))
+    return metrics.token_f1_of(a.join(b, ["conv_id", "turn"]), ["conv_id", "turn"], "text", "asked").withColumn("f1", F.round("f1", 6))
 
 
-_MCQ = r"""with a as (select conv_id, turn, upper(regexp_replace(left(text, 6), '^\s+|\s+$', '', 'g')) as s from conversations),
+_MCQ = r"""with a as (select conv_id, turn, upper(regexp_replace(text, '^\s+|\s+$', '', 'g')) as s from conversations),
 m as (select conv_id, turn, case when s[1] in ('A', 'B', 'C', 'D', 'E') then s[1] when contains(s, 'A') then 'A' when contains(s, 'B') then 'B' when contains(s, 'C') then 'C' when contains(s, 'D') then 'D' when contains(s, 'E') then 'E' else 'INVALID' end as choice from a) """
 
 
 def _choices(t) -> DataFrame:
-    return t("conversations").select("conv_id", "turn", metrics.mcq_choice(F.substring("text", 1, 6)).alias("choice"))
+    return t("conversations").select("conv_id", "turn", metrics.mcq_choice(F.col("text")).alias("choice"))
 
 
 @query(_MCQ + "select conv_id, turn, choice from m")
@@ -666,15 +722,22 @@ def eval_aggregate(t):
     return s.select(*[F.round(c, 6).alias(c) if c.startswith("avg") else c for c in s.columns])
 
 
+@query("select conv_id, turn, 'faithfulness' as scored, round((length(text) % 2 + 1) / 2.0, 6)::double as value, case when text is null then 'missing input' end as error from conversations")
+def metric_experiment(t):
+    c = t("conversations").select("conv_id", "turn", F.when(F.col("text").isNotNull(), F.array((F.length("text") % 2).cast("double"), F.lit(1.0))).alias("verdicts"))
+    found = metrics.experiment(c, "faithfulness", "verdicts")
+    return found.select("conv_id", "turn", F.col("experiment").alias("scored"), F.round("value", 6).alias("value"), "error")
+
+
 @query()
 def qa_library(t):
     return rag.question_library(t("benchmark").select(F.col("item_id").alias("doc_id"), "text"), providers.get("questions-offline", questions=3)).drop("retrieved_contexts")
 
 
-@query("select 'Human' as question_type, case when item_id % 2 = 0 then 'human' else 'expert' end as source, left(text, 20) as question from benchmark")
+@query("select 'Human' as question_type, case when item_id % 2 = 0 then 'human' else 'expert' end as source, text as question from benchmark")
 def qa_union_human(t):
     b = t("benchmark")
-    human = b.select(F.lit("Human").alias("question_type"), F.when(F.col("item_id") % 2 == 0, "").otherwise("expert").alias("source"), F.substring("text", 1, 20).alias("question"))
+    human = b.select(F.lit("Human").alias("question_type"), F.when(F.col("item_id") % 2 == 0, "").otherwise("expert").alias("source"), F.col("text").alias("question"))
     rows = rag.question_library(b.select(F.col("item_id").alias("doc_id"), "text").limit(0), providers.get("questions-offline"), human=human)
     return rows.select("question_type", "source", "question")
 
@@ -683,7 +746,9 @@ def qa_union_human(t):
 def rag_evaluation(t):
     docs = t("benchmark").select(F.col("item_id").alias("doc_id"), "text")
     asked = rag.question_library(docs, providers.get("questions-offline", questions=2))
-    return metrics.evaluation_summary(rag.evaluate(asked, providers.get("generate-offline"), providers.get("judge-offline")).drop("latency_ms").withColumn("latency_ms", F.lit(0.0)))
+    chunks = text.chunk(docs, "token", 300, 50).select(F.concat_ws("#", "doc_id", "chunk_id").alias("chunk_key"), "chunk")
+    answers = rag.answer_questions(asked, chunks, providers.get("embed-offline"), providers.get("generate-offline"), 3)
+    return metrics.evaluation_summary(rag.evaluate(asked, answers, providers.get("judge-offline"))).withColumn("measured", F.col("avg_latency_ms") > 0).drop("avg_latency_ms")
 
 
 # ---- streams

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,22 @@ def token_f1(answer: Column, reference: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(2.0 * common / (F.size(a) + F.size(b)))
 
 
+def token_f1_of(rows: DataFrame, keys: Sequence[str], answer: str, reference: str) -> DataFrame:
+    """(keys, f1): `token_f1` of two text columns, for texts of any length; rows of equal keys are one text each side.
+
+    Words are counted by key before they meet, so the work follows the number of words, not its square.
+    """
+    from lattica.functions.text import words
+
+    of = lambda c: words(F.lower(F.coalesce(F.col(c), F.lit(""))))
+    sides = F.concat(*[F.transform(of(c), lambda w: F.struct(w.alias("w"), F.lit(x).alias("a"), F.lit(1 - x).alias("b"))) for c, x in ((answer, 1), (reference, 0))])
+    counted = rows.select(*keys, F.explode(sides).alias("x")).groupBy(*keys, "x.w").agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b"))
+    total = counted.groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.least("a", "b")).alias("common"))
+    f1 = F.when((F.col("a") > 0) & (F.col("b") > 0), 2.0 * F.col("common") / (F.col("a") + F.col("b"))).otherwise(F.lit(0.0))
+    found = total.select(*keys, f1.alias("f1"))
+    return rows.select(*keys).distinct().join(found, list(keys), "left").select(*keys, F.coalesce("f1", F.lit(0.0)).alias("f1"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two array<double> columns; null if either is zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda t, v: t + v)
@@ -95,6 +113,25 @@ def evaluation_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(mean("answer_correctness_score"), mean("context_relevance_score"), mean("latency_ms"), total("prompt_tokens", "total_prompt_tokens"), total("completion_tokens", "total_completion_tokens"), total("total_tokens", "total_tokens"), F.count("*").alias("num_questions"))
 
 
+#: Metrics by name: functions from a row's columns to a column.
+METRICS: dict[str, Callable[..., Column]] = {"context_precision": context_precision, "faithfulness": faithfulness, "token_f1": token_f1, "answer_correctness": answer_correctness}
+
+
+def register_metric(name: str, metric: Callable[..., Column]) -> None:
+    """Adds a metric; a name that is taken is an error."""
+    if name in METRICS:
+        raise ValueError(f"metric {name!r} is registered")
+    METRICS[name] = metric
+
+
+def experiment(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """rows with experiment, the metric's name, value, and error where a required column is null or empty (value is null there)."""
+    if name not in METRICS:
+        raise ValueError(f"unknown metric {name!r}")
+    wrong = validated(*[F.col(c) for c in columns])
+    return rows.select("*", F.lit(name).alias("experiment"), F.when(wrong.isNull(), METRICS[name](*[F.col(c) for c in columns])).alias("value"), wrong.alias("error"))
+
+
 def metric_result(value: Column, reasons: Column, **traces: Column) -> Column:
     """A struct of a metric's value, its reasons joined, and its traces."""
     return F.struct(value.alias("value"), F.array_join(reasons, ", ").alias("reason"), F.struct(*[c.alias(k) for k, c in traces.items()]).alias("traces"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -115,16 +115,24 @@ def chunk_recursively(docs: DataFrame, size: int, overlap: int, separators: Sequ
 
 
 def chunk(docs: DataFrame, kind: str, size: int = 300, overlap: int = 50, **names) -> DataFrame:
-    """Chunks by the splitter of a kind: token, char, sentence or structure, in any case."""
-    kinds = {
-        "token": chunk_tokens,
-        "char": chunk_chars,
-        "sentence": chunk_recursively,
-        "structure": lambda d, s, o, **n: chunk_recursively(d, s, o, STRUCTURE_SEPARATORS, **n),
-    }
-    if kind.lower() not in kinds:
+    """Chunks by the splitter of a kind, in any case: token, char, sentence, structure, or one that was registered."""
+    if kind.lower() not in SPLITTERS:
         raise ValueError(f"unknown splitter {kind!r}")
-    return kinds[kind.lower()](docs, size, overlap, **names)
+    return SPLITTERS[kind.lower()](docs, size, overlap, **names)
+
+
+#: Splitters by kind: functions (docs, size, overlap, **names) -> chunks.
+SPLITTERS: dict[str, Callable[..., DataFrame]] = {
+    "token": chunk_tokens,
+    "char": chunk_chars,
+    "sentence": chunk_recursively,
+    "structure": lambda d, s, o, **n: chunk_recursively(d, s, o, STRUCTURE_SEPARATORS, **n),
+}
+
+
+def register_splitter(kind: str, splitter: Callable[..., DataFrame]) -> None:
+    """Adds a splitter under a kind, which is matched in any case; a kind that is taken is replaced."""
+    SPLITTERS[kind.lower()] = splitter
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -105,6 +105,46 @@ def set_property(nodes: DataFrame, column: str, value: Column, where: Column) ->
     return nodes.withColumn(column, F.when(where, value).otherwise(F.col(column) if column in nodes.columns else F.lit(None)))
 
 
+def write_back(nodes: DataFrame, values: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """nodes with columns of values (id, ...) written onto those that have a row there; the others keep theirs, or null.
+
+    Of several rows of an id the least value counts.
+    """
+    new = values.groupBy("id").agg(F.lit(True).alias("_in"), *[F.min(c).alias(f"_{c}") for c in columns])
+    joined = nodes.join(new, "id", "left")
+    for c in columns:
+        joined = joined.withColumn(c, F.when(F.col("_in"), F.col(f"_{c}")).otherwise(F.col(c) if c in nodes.columns else F.lit(None)))
+    return joined.drop("_in", *[f"_{c}" for c in columns])
+
+
+def create_nodes(existing: DataFrame | None, new: DataFrame) -> DataFrame:
+    """New nodes beside the existing ones, whether or not equal ones exist; columns that one side lacks are null there."""
+    return new if existing is None else existing.unionByName(new, allowMissingColumns=True)
+
+
+def connected(nodes: DataFrame, edges: DataFrame, direction: str = "any") -> DataFrame:
+    """nodes with an edge to whatever node: out, in, or any."""
+    ends = {"out": ["src"], "in": ["dst"], "any": ["src", "dst"]}[direction]
+    ids = [edges.select(F.col(c).alias("id")) for c in ends]
+    return nodes.join(ids[0].unionByName(ids[-1]), "id", "left_semi")
+
+
+def pattern_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes with n, how many edges (src) begin there; 0 where none do."""
+    counts = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+    return nodes.join(counts, "id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+def is_empty(df: DataFrame) -> bool:
+    """Whether nothing is loaded yet; at most one row is read."""
+    return df.isEmpty()
+
+
+def simple(edges: DataFrame) -> DataFrame:
+    """(src, dst, n): the simple graph of a multigraph, without loops, with the number of edges between two nodes."""
+    return edges.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
 def remove_property(nodes: DataFrame, column: str, where: Column) -> DataFrame:
     return set_property(nodes, column, F.lit(None), where)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.graph import undirected
+from lattica.plans.lineage import cut
 
 
 def normalised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -21,12 +23,17 @@ def normalised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 BROADCAST_QUERIES = 2000
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int = 5, blocks: int = 16) -> DataFrame:
+#: Items of a block, about.
+BLOCK_ITEMS = 20_000
+
+
+def top_k(queries: DataFrame, items: DataFrame, k: int = 5, blocks: int | None = None) -> DataFrame:
     """(query_id, item_id, score, rank) of queries (query_id, vec) against items (item_id, vec) by cosine, exactly.
 
     Vectors are normalised. Scores are rounded to six digits and ties go to the smaller item_id. A query's hits of each
-    block of items are cut to k before they are exchanged.
+    block of items are cut to k before they are exchanged; without a number of blocks it follows from the number of items.
     """
+    blocks = blocks or max(16, -(-items.count() // BLOCK_ITEMS))
     dot = F.aggregate(F.zip_with("q", "vec", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
     q = queries.select("query_id", F.col("vec").alias("q"))
     block = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")
@@ -77,28 +84,46 @@ def expand(hits: DataFrame, edges: DataFrame, types: Sequence[str], texts: DataF
 
 
 def take_to_budget(rows: DataFrame, budget: int, by: Sequence[Column], tokens: str = "tokens", within: Sequence[str] = ()) -> DataFrame:
-    """Rows in order while the sum of their tokens is within the budget."""
-    w = Window.partitionBy(*within).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("running", F.sum(tokens).over(w)).where(F.col("running") <= budget)
+    """Rows in order while the sum of their tokens is within the budget, with running, that sum.
+
+    Without groups, rows are dealt by ranges of the order; ranges' sums are added up first, and each range then adds its own.
+    """
+    inside = lambda *keys: Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if within:
+        return rows.withColumn("running", F.sum(tokens).over(inside(*within))).where(F.col("running") <= budget)
+    dealt = cut(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy("_range").agg(F.sum(tokens).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    sums = sums.select("_range", F.coalesce(before, F.lit(0)).alias("_before")).where(F.col("_before") <= budget)
+    running = F.col("_before") + F.sum(tokens).over(inside("_range"))
+    return dealt.join(F.broadcast(sums), "_range").withColumn("running", running).where(F.col("running") <= budget).drop("_range", "_before")
 
 
 def token_batches(rows: DataFrame, budget: int, key: str, tokens: str = "tokens", seed: int = 86, shards: int = 1) -> DataFrame:
     """rows with shard and batch: shuffled by a seeded hash, then packed greedily until the next row would exceed the budget.
 
-    Greedy packing is sequential, so it runs in each shard by itself; more shards pack in parallel.
+    Greedy packing is sequential, so each shard is packed by itself, in one pass over its sorted rows; more shards pack in parallel.
     """
-    shuffled = rows.withColumn("shard", F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(shards)).cast("int")).withColumn("_o", F.xxhash64(key, F.lit(seed)))
-    # the state after each row follows from the one before it; one fold per shard gives them all
-    grouped = shuffled.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("_o", key, F.col(tokens).cast("long").alias("n")))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = (s["sum"] + x["n"] > budget) & (s["sum"] > 0)
-        batch = s["batch"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, x["n"]).otherwise(s["sum"] + x["n"]).alias("sum"), batch.alias("batch"), F.array_append(s["out"], batch).alias("out"))
-
-    packed = grouped.select("shard", F.explode(F.arrays_zip(F.col(f"all.{key}").alias(key), F.aggregate("all", start, step)["out"].alias("batch"))).alias("z"))
-    return shuffled.drop("_o", "shard").join(packed.select("shard", f"z.{key}", "z.batch"), key)
+    shard = F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(shards)).cast("int")
+    shuffled = rows.withColumn("shard", shard).withColumn("_o", F.xxhash64(key, F.lit(seed))).repartition("shard").sortWithinPartitions("shard", "_o", key)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total, batch = None, 0, 0
+        for b in batches:
+            out = []
+            for shard, n in zip(b.column("shard").to_pylist(), b.column(tokens).to_pylist()):
+                n = n or 0
+                if shard != at:
+                    at, total, batch = shard, 0, 0
+                elif total + n > budget and total > 0:
+                    total, batch = 0, batch + 1
+                total += n
+                out.append(batch)
+            kept = b.select([c for c in b.schema.names if c != "_o"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.int32())], names=[*kept.schema.names, "batch"])
+
+    fields = ", ".join(f"`{c}` {kind}" for c, kind in shuffled.dtypes if c != "_o")
+    return shuffled.mapInArrow(pack, f"{fields}, batch int")
 
 
 def global_search(reports: DataFrame, rate: Callable[[Column], Column], map_budget: int = 8000, reduce_budget: int = 8000, shards: int = 1) -> DataFrame:

@@ -36,3 +36,19 @@ def friends_of_friends(edges: DataFrame, person: Column) -> DataFrame:
     a = edges.select(F.col("src").alias("p"), F.col("dst").alias("x"))
     b = edges.select(F.col("src").alias("x"), F.col("dst").alias("friend"))
     return a.where(F.col("p") == person).join(b, "x").where("friend <> p").select("friend")
+
+
+def collected(df: DataFrame, column: str) -> DataFrame:
+    """One row: all different values of a column in order, and how many there are; none for an empty table."""
+    return df.select(column).where(F.col(column).isNotNull()).distinct().agg(F.array_sort(F.collect_list(column)).alias("all"), F.count("*").alias("n"))
+
+
+def by_size(df: DataFrame, column: str, descending: bool = False) -> list[Column]:
+    """The order by an array's size: nulls are last ascending and first descending; an empty array has size 0."""
+    size = F.when(F.col(column).isNotNull(), F.size(column))
+    return [size.desc_nulls_first() if descending else size.asc_nulls_last()]
+
+
+def datetime_of(text: Column) -> Column:
+    """The moment that an ISO text names, in UTC unless it has an offset; null if it names none."""
+    return F.try_to_timestamp(text)

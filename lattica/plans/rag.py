@@ -12,6 +12,7 @@ from lattica import providers
 from lattica.functions.metrics import mcq_accuracy, mcq_choice, mcq_prompt, normalise_reply, parse_judge
 from lattica.functions.text import chunk, chunk_recursively, or_default, semantic_chunks, STRUCTURE_SEPARATORS
 from lattica.operators.graph import PropertyGraph, resolve, triplets_to_graph
+from lattica.operators.retrieval import normalised, top_k
 from lattica.plans.lineage import cut
 from lattica.session import ship
 from lattica.sources.readers import first_rows
@@ -42,10 +43,38 @@ def question_library(docs: DataFrame, writer: providers.Provider, kind: str = "t
     return rows.select(*QA_COLUMNS)
 
 
-def evaluate(questions: DataFrame, rag: providers.Provider, judge: providers.Provider) -> DataFrame:
-    """Each question (question, answer, and the columns of a question set) asked of a retrieval provider and judged."""
+def answer_questions(questions: DataFrame, chunks: DataFrame, embedder: providers.Provider, generator: providers.Provider, k: int = 5) -> DataFrame:
+    """(question, reply, latency_ms): each different question answered from the k chunks (chunk_key, chunk) that are nearest to it.
+
+    reply is a struct of contexts, best first, the generated answer, and counts of words as tokens. A question that no
+    chunk is near, such as one without words, is answered from no context.
+    """
     ship(questions.sparkSession)
-    asked = cut(questions.withColumn("reply", normalise_reply(providers.column(rag)(F.col("question")))).withColumn("latency_ms", F.lit(0.0)))
+    embed = providers.column(embedder)
+    asked = questions.select("question").distinct()
+    q = normalised(cut(asked.select(F.col("question").alias("query_id"), embed(F.col("question")).alias("e"))), "query_id", "e")
+    items = normalised(cut(chunks.select(F.col("chunk_key").alias("item_id"), embed(F.col("chunk")).alias("e"))), "item_id", "e")
+    hits = top_k(q, items, k).join(chunks.select(F.col("chunk_key").alias("item_id"), "chunk"), "item_id")
+    near = hits.groupBy(F.col("query_id").alias("question")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"]).alias("contexts"))
+    known = asked.join(near, "question", "left").select("question", F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"))
+    prompt = F.concat(F.lit("Question: "), "question", F.lit("\nContext: "), F.array_join("contexts", "\n"))
+    said = cut(known.withColumn("prompt", prompt).withColumn("said", providers.timed(generator)(F.col("prompt"))))
+    n = lambda c: F.size(F.split(F.trim(c), r"\s+")).cast("long")
+    reply = F.struct("contexts", F.col("said.reply").alias("answer"), n("prompt").alias("prompt_tokens"), n("said.reply").alias("completion_tokens"), (n("prompt") + n("said.reply")).alias("total_tokens"))
+    return said.select("question", reply.alias("reply"), "said.latency_ms")
+
+
+def evaluate(questions: DataFrame, rag: providers.Provider | DataFrame, judge: providers.Provider) -> DataFrame:
+    """Each question (question, answer, and the columns of a question set) answered and judged.
+
+    rag: a provider that replies in JSON, or the answers themselves (see `answer_questions`). A provider's time is measured.
+    """
+    ship(questions.sparkSession)
+    if isinstance(rag, DataFrame):
+        asked = questions.join(rag, "question")
+    else:
+        asked = questions.withColumn("said", providers.timed(rag)(F.col("question"))).withColumn("reply", normalise_reply(F.col("said.reply"))).withColumn("latency_ms", F.col("said.latency_ms"))
+    asked = cut(asked)
     said = asked.select("*", F.to_json(F.struct("question", F.col("answer").alias("truth"), F.col("reply.answer").alias("answer"), F.col("reply.contexts").alias("contexts"))).alias("prompt"))
     judged = cut(said.withColumn("j", parse_judge(providers.column(judge)(F.col("prompt")))))
     total = F.col("reply.prompt_tokens") + F.col("reply.completion_tokens")
@@ -107,12 +136,12 @@ def community_reports(graph: PropertyGraph, community: DataFrame, summarise: pro
     return done.select("community", "report", F.size(F.split("report", r"\s+")).alias("tokens"))
 
 
-def golden_set(docs: DataFrame, embedder: providers.Provider, writer: providers.Provider, size: int = 1024, per_context: int = 2, least: int = 5) -> DataFrame:
+def golden_set(docs: DataFrame, writer: providers.Provider, size: int = 1024, per_context: int = 2, least: int = 5) -> DataFrame:
     """Questions with expected answers from contexts that are long enough, at most `per_context` for each context."""
     ship(docs.sparkSession)
     contexts = chunk(docs, "token", size, 0).where(F.size(F.split("chunk", r"\s+")) >= least)
-    said = cut(contexts.withColumn("reply", providers.column(writer)(F.col("chunk"))).withColumn("vec", providers.column(embedder)(F.col("chunk"))))
-    rows = said.select("doc_id", "chunk_id", "chunk", "vec", F.posexplode(F.from_json("reply", _QA)["qa"]).alias("pos", "q"))
+    said = cut(contexts.withColumn("reply", providers.column(writer)(F.col("chunk"))))
+    rows = said.select("doc_id", "chunk_id", "chunk", F.posexplode(F.from_json("reply", _QA)["qa"]).alias("pos", "q"))
     return rows.where(F.col("pos") < per_context).select("doc_id", "chunk_id", F.col("chunk").alias("context"), F.col("q.question").alias("input"), F.col("q.answer").alias("expected_output"))
 
 

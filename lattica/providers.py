@@ -10,6 +10,7 @@ import hashlib
 import json
 import math
 import re
+import time
 from collections.abc import Callable
 from typing import Protocol
 
@@ -206,6 +207,19 @@ def get(name: str, **options) -> Provider:
     return _registry[name.lower()](**options)
 
 
+def timed(provider: Provider) -> Callable[[Column], Column]:
+    """Like `column`, with the time it took: struct<reply, latency_ms>; a batch's time is shared by its texts."""
+
+    @F.pandas_udf(f"reply {provider.returns}, latency_ms double")
+    def reply(texts: pd.Series) -> pd.DataFrame:
+        began = time.perf_counter()
+        said = provider.call([t if t is not None else "" for t in texts])
+        took = (time.perf_counter() - began) * 1000 / max(1, len(texts))
+        return pd.DataFrame({"reply": said, "latency_ms": took}, index=texts.index)
+
+    return reply
+
+
 def column(provider: Provider) -> Callable[[Column], Column]:
     """A function from a text column to the column of the provider's replies."""
 

@@ -103,6 +103,6 @@ def test_providers(spark):
     docs = spark.createDataFrame([(1, "Anna knows Bert. Bert likes green tea. Carl sleeps.")], "doc_id int, text string")
     g, bad = rag.knowledge_graph(docs, *map(providers.get, ("embed-offline", "propositions-offline", "triplets-offline")))
     assert {(r.src, r.type, r.dst) for r in g.edges.where("type <> 'MENTIONS'").collect()} == {("Anna", "KNOWS", "Bert"), ("Bert", "LIKES", "green tea")}
-    assert rag.golden_set(docs, providers.get("embed-offline"), providers.get("questions-offline", questions=5)).count() == 2
+    assert rag.golden_set(docs, providers.get("questions-offline", questions=5)).count() == 2
     community = g.nodes.where("name is not null").select("id", F.lit(1).alias("community"))
     assert rag.community_reports(g, community, providers.get("generate-offline")).count() == 1
