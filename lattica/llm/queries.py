@@ -76,7 +76,7 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.toxicity import fold
 
     scores = class_scores(read_table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0)
-    return scores.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scores.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
