@@ -8,6 +8,7 @@ bin the low eight bits are stored, packed as hexadecimal; likeness corrects for
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,10 +19,8 @@ WORDS = 5
 BINS = 128
 #: Stored bits of each bin.
 BITS = 8
-#: Rows of a bucket of neighbouring ids, about.
-BUCKET = 1024
-#: Rows of a table of bucket heads that is broadcast, at most (24 bytes each).
-HEADS = 100_000
+#: Rows of a bucket of neighbouring ids, about, and buckets, at most; a key in so many is sampled to set their borders.
+BUCKET, BUCKETS, SAMPLED = 1024, 10_000, 20
 #: Probes of an empty bin before all full bins are ranked.
 _PROBES = 24
 
@@ -78,30 +77,37 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), estimate))
 
 
-def with_next(docs: DataFrame, columns: list[str], bucket: int = BUCKET) -> DataFrame:
-    """docs (doc_id, text, more) with next_<c>: column c of the next row in descending doc_id, and for the last the first row's.
+def _borders(keys: DataFrame, buckets: int) -> DataFrame:
+    """One row (one, coarse, fine): sorted keys that part the keys (_key) into about so many equal buckets, in two levels."""
+    sample = keys.orderBy(F.xxhash64("_key")).limit(SAMPLED * buckets).agg(F.sort_array(F.collect_list("_key")).alias("s"))
+    side = max(1, round(buckets**0.5))
+    step = F.greatest(F.lit(1), F.floor(F.size("s") / buckets))
+    borders = sample.select(F.filter("s", lambda x, i: i % step == 0).alias("s"))
+    coarse = borders.select("s", F.filter("s", lambda x, i: i % side == 0).alias("coarse"))
+    return cut(coarse.select(F.lit(1).alias("_one"), "coarse", F.transform("coarse", lambda x, i: F.slice(F.col("s"), i * side + 1, F.lit(side))).alias("fine"), F.lit(side).alias("side")))
 
-    Rows are dealt by ranges of ids, so no task orders the whole table: each range also gets the first row of the range
-    that follows it. Rows of equal ids are ordered by text; a null id counts as less than all others.
+
+def with_next(docs: DataFrame, more: Callable[[DataFrame], DataFrame], columns: list[str], bucket: int = BUCKET) -> DataFrame:
+    """docs (doc_id, text) with what `more` adds and next_<c>: column c of the next row in descending doc_id, and for the last the first row's.
+
+    Rows are dealt by ranges of (doc_id, hash of text) that a sample parts evenly, whatever the ids' type and spread, so no
+    task orders the whole table: each range also gets the last row of the range before it. Rows of equal ids are in
+    descending order of their texts' hashes; of equal rows all but one are followed by a copy. A null id is less than all others.
     """
-    spread = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    low, high = (0, 0) if spread.lo is None else (spread.lo - 1, spread.hi)
-    width = max(1, -(-(high - low + 1) * bucket // max(1, spread.n)))
-    docs = docs.withColumn("_id", F.coalesce("doc_id", F.lit(low)))
-    of = F.floor((F.col("_id") - low) / width).cast("long")
-    heads = cut(docs.select("_id", of.alias("_bucket")).groupBy("_bucket").agg(F.max("_id").alias("_head")))
-    w = Window.orderBy(F.desc("_bucket"))
-    follows = heads.select("_head", F.lag("_bucket").over(w).alias("_for"), F.max("_bucket").over(Window.partitionBy()).alias("_top"), F.min("_bucket").over(Window.partitionBy()).alias("_low"))
-    follows = follows.select("_head", F.coalesce("_for", "_low").alias("_bucket"), F.col("_for").isNull().alias("_wraps"))
-    order = [F.desc("_sort"), F.desc("_id"), F.asc("text")]
-    # one head for about `bucket` rows: small tables of heads are broadcast, above HEADS they are joined by a shuffle
-    if heads.count() <= HEADS:
-        follows = F.broadcast(follows)
-    firsts = docs.join(follows, docs["_id"] == F.col("_head")).withColumn("_place", F.row_number().over(Window.partitionBy("_head").orderBy("text"))).where("_place = 1")
-    guests = firsts.select(*docs.columns, "_bucket", F.lit(0).alias("_sort"))
-    rows = docs.select("*", of.alias("_bucket"), F.lit(1).alias("_sort")).unionByName(guests)
-    w = Window.partitionBy("_bucket").orderBy(*order)
-    return rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).where("_sort = 1").drop("_bucket", "_sort", "_id")
+    docs = docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
+    buckets = max(1, min(BUCKETS, docs.count() // bucket))
+    borders = F.broadcast(_borders(docs.select("_key"), buckets))  # one row of at most BUCKETS keys
+    above = lambda keys: F.size(F.filter(keys, lambda x: x <= F.col("_key")))
+    dealt = docs.withColumn("_one", F.lit(1)).join(borders, "_one").withColumn("_c", above(F.col("coarse")))
+    dealt = dealt.withColumn("_bucket", F.when(F.col("_c") == 0, 0).otherwise((F.col("_c") - 1) * F.col("side") + above(F.get("fine", F.col("_c") - 1))))
+    dealt = dealt.select("doc_id", "text", "_key", "_bucket")
+    heads = cut(dealt.groupBy("_bucket").agg(F.max("_key").alias("_head")))
+    everything = Window.orderBy("_bucket")  # BUCKETS rows at most
+    follows = heads.select("_bucket", F.coalesce(F.lag("_head").over(everything), F.max("_head").over(Window.partitionBy())).alias("_head"))
+    guests = docs.join(F.broadcast(follows), docs["_key"] == F.col("_head")).groupBy("_bucket").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("_key").alias("_key"))
+    rows = more(dealt.withColumn("_sort", F.lit(1))).unionByName(more(guests.withColumn("_sort", F.lit(0))))
+    w = Window.partitionBy("_bucket").orderBy("_sort", "_key")
+    return rows.select("*", *[F.lag(c).over(w).alias(f"next_{c}") for c in columns]).where("_sort = 1").drop("_bucket", "_sort", "_key")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -111,9 +117,13 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text; see `fingerprint`, `edited` and `likeness` for each case. A null text is empty."""
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of docs (doc_id, text).
+
+    See `with_next`, `edited`, `fingerprint` and `likeness` for ties, null ids and repeated rows. A null text is empty, texts
+    of any length are read whole, an empty table gives an empty one, and other columns are not read.
+    """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(texts.withColumn("fingerprint", fingerprint(F.col("text"))), ["text", "fingerprint"])
+    rows = with_next(texts, lambda df: df.withColumn("fingerprint", fingerprint(F.col("text"))), ["text", "fingerprint"])
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", edited(F.col("text"), F.col("next_text")).alias("_edited"))
     rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("_edited")))
     return rows.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
