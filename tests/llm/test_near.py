@@ -62,7 +62,8 @@ def test_jaccard_like_brute_force(spark, seed):
 
 def test_jaccard_large_buckets(spark, monkeypatch):
     """Near copies beyond one small bucket and one block, and texts that only share a passage."""
-    monkeypatch.setattr("lattica.llm.chosen_path.BLOCK", 60)
+    for name, value in {"SMALL": 30, "BLOCK_SETS": 60, "ROWS": 16, "COLUMNS": 100}.items():
+        monkeypatch.setattr(f"lattica.llm.chosen_path.{name}", value)
     r = random.Random(9)
     word = lambda: f"w{r.randrange(3000)}"
     base, passage = [word() for _ in range(60)], [word() for _ in range(20)]
@@ -86,6 +87,20 @@ def test_jaccard_edges(spark):
     assert got == [("1", 1, 0), ("1", 1, 2), ("1", 1, 2), ("None", 1, 2)]
 
 
+def test_jaccard_many_rows_without_id(spark):
+    """3,000 rows without an id: texts of their own, copies, and near copies; each row has its own result."""
+    words = lambda k, n=30: [f"{k}w{i}" for i in range(n)]
+    own = [" ".join(words(k)) for k in range(1000)]
+    copies = [" ".join(words(-1))] * 1000
+    near = [" ".join(words(-2, 60 + k % 5)) for k in range(1000)]
+    rows = [(None, t) for t in own + copies + near] + [(7, " ".join(words(5)) + " end"), (8, "x" * 2_000_000), (9, "y " * 300_000)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert sorted(r.n_links for r in got) == sorted([0] * 999 + [1] * 2 + [999] * 2000 + [0, 0])
+    assert sorted(str(r.class_id) for r in got if r.n_links < 2) == sorted(["None"] * 999 + ["7", "7", "8", "9"])
+    assert sum(r.kept for r in got if r.n_links == 999) == 1000 + 200
+
+
 def test_vectors_like_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = []
@@ -114,7 +129,7 @@ def test_vectors_like_brute_force(spark):
 @pytest.mark.parametrize("block", [2048, 20])
 def test_vectors_of_few_directions(spark, monkeypatch, block):
     """Vectors of 64 components that lie in 4 dimensions: links point to the border of a list more than random ones do."""
-    monkeypatch.setattr("lattica.llm.vectors.BLOCK", block)
+    monkeypatch.setattr("lattica.llm.vectors.CELL", block)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1500, 4)) @ np.linalg.qr(rng.normal(size=(64, 4)))[0].T
     rows = [(i, [float(np.float32(v)) for v in row], i % 2) for i, row in enumerate(x)]
