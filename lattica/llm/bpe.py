@@ -59,8 +59,10 @@ def decode(ids: np.ndarray, ranks: str, pattern: str) -> bytes:
 def bpe_encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: str = "doc_id", ids: bool = True) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256, and ids as array<int> if asked for), one row for each row of docs.
 
-    A null or empty text has no tokens. Repeated rows are encoded each for itself; other columns are not read.
+    A null or empty text has no tokens. Repeated rows are encoded each for itself, and texts of any length whole; an empty
+    table gives an empty one. Other columns are not read. The rank file is sent to the executors.
     """
+    docs.sparkSession.sparkContext.addFile(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,10 +1,12 @@
 import json
 import random
+import struct
 
 import corpus_pipeline
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lattica.llm import queries
@@ -57,6 +59,14 @@ def test_mixing_budgets(spark):
         assert targets[s] == pytest.approx(min(2 * sizes[s], lo * weights[s]))
         assert taken[s] == int(targets[s] + 1e-9)
     assert sorted(map(str, got)) == sorted(map(str, mix_documents(docs.repartition(5)).collect()))
+    # what each row takes: in the order of its key, after all rows of its source with smaller ones
+    key = lambda i, n: xxhash.xxh64_intdigest(struct.pack("<q", n), seed=xxhash.xxh64_intdigest(struct.pack("<i", 0), seed=xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42)))
+    want, place = [], {}
+    for _, i, n, s in sorted((key(i, len(t.split())), i, len(t.split()), s or "") for i, t, _, s, _ in rows):
+        whole, goal = sizes[s or None], int(targets[s or None] + 1e-9)
+        want.append((i, s, n, goal // whole * n + max(0, min(n, goal % whole - place.get(s, 0)))))
+        place[s] = place.get(s, 0) + n
+    assert sorted((r.doc_id, r.source or "", r.size, r.taken) for r in got) == sorted(want)
     mixed = mixed_documents(docs)
     assert mixed.columns == docs.columns
     words = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), r"\s+"))).alias("n")).collect()}
