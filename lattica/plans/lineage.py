@@ -12,12 +12,15 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and written as a table into the folder in spark.checkpoint.dir, which all executors share.
 
     Readers don't depend on the executors that computed it. Like Spark's own checkpoints by default, the files stay
-    until the folder is cleaned. Without that setting, as in tests, a temporary folder is used.
+    until the folder is cleaned. Without that setting a temporary folder is used, in local mode only: elsewhere executors
+    wouldn't share it.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-checkpoint-"))
         folder = sc.getCheckpointDir()
     path = f"{folder.rstrip('/')}/lattica-{uuid.uuid4().hex}"
