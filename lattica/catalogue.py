@@ -370,23 +370,27 @@ def degree_undirected(t):
     return graph.undirected(e).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
 
 
-_PAIRS = "with q as (select distinct l_orderkey as o, l_partkey as p from lineitem where l_quantity >= 45), e as (select distinct a.p as src, b.p as dst from q a join q b on a.o = b.o and a.p < b.p) "
+_PAIRS = "with recursive q as (select distinct l_orderkey as o, l_partkey as p from lineitem), e as (select distinct a.p as src, b.p as dst from q a join q b on a.o = b.o and a.p < b.p) "
 
 
-def _co_bought(t) -> DataFrame:
-    q = t("lineitem").where("l_quantity >= 45").select("l_orderkey", F.col("l_partkey").alias("p")).distinct()
+def _co_bought(t, members: DataFrame | None = None) -> DataFrame:
+    """(src, dst): parts of one order, all of them or those among members (id), which are chosen before pairs are made."""
+    q = t("lineitem").select("l_orderkey", F.col("l_partkey").alias("p")).distinct()
+    if members is not None:
+        q = q.join(members, q["p"] == members["id"], "left_semi")
     return q.withColumnRenamed("p", "src").join(q.withColumnRenamed("p", "dst"), "l_orderkey").where("src < dst").select("src", "dst").distinct()
 
 
 @query(_PAIRS + ", m as (select distinct l_partkey as id from lineitem where l_suppkey = 3) select src, dst from e where src in (select id from m) and dst in (select id from m)")
 def disease_module(t):
-    return graph.induced(t("lineitem").where("l_suppkey = 3").select(F.col("l_partkey").alias("id")), _co_bought(t))
+    m = t("lineitem").where("l_suppkey = 3").select(F.col("l_partkey").alias("id")).distinct()
+    return graph.induced(m, _co_bought(t, m))
 
 
 @query(_PAIRS + ", m as (select distinct l_partkey as id from lineitem where l_suppkey = 3) select distinct m.id, e.dst as linked from m left join (select src, dst from e union all select dst, src from e) e on e.src = m.id and e.dst in (select id from m)")
 def optional_module(t):
     m = t("lineitem").where("l_suppkey = 3").select(F.col("l_partkey").alias("id")).distinct()
-    both = graph.undirected(graph.induced(m, _co_bought(t)))
+    both = graph.undirected(graph.induced(m, _co_bought(t, m)))
     return m.join(both, m["id"] == both["src"], "left").select("id", F.col("dst").alias("linked")).distinct()
 
 
@@ -415,13 +419,16 @@ def category_closure(t):
     return algorithms.in_category(start, _tree(t).where("not dst like 'o%'"), members)
 
 
-_WCC = _PAIRS.replace("with q", "with recursive q") + """, u as (select src, dst from e union select dst, src from e), n as (select distinct src as id from u),
-reach(id, seen) as (select id, id from n union select reach.id, u.dst from reach join u on u.src = reach.seen),
-wcc as (select id, min(seen) as component from reach group by 1) """
+_WCC = _PAIRS + """, u as (select src, dst from e union select dst, src from e), n as (select distinct src as id from u),
+wcc(id, component) using key (id) as (select id, id from n union
+(select u.src, min(w.component) from wcc w join u on u.dst = w.id join recurring.wcc r on r.id = u.src where w.component < r.component group by 1)) """
 
 
 def _components(t) -> DataFrame:
-    e = _co_bought(t)
+    # an order's least part joined to its others connects what all its pairs connect, in rows that grow with its parts only
+    q = t("lineitem").select("l_orderkey", F.col("l_partkey").alias("p")).distinct()
+    least = q.groupBy("l_orderkey").agg(F.min("p").alias("src"))
+    e = least.join(q.withColumnRenamed("p", "dst"), "l_orderkey").where("src < dst").select("src", "dst").distinct()
     nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
     return algorithms.components(nodes, e)
 
@@ -553,10 +560,19 @@ def transformed_graph(t):
     return rag.transformed_graph(t("benchmark").select(F.col("item_id").alias("doc_id"), "text"), providers.get("graph-offline")).edges
 
 
-@query()
+# a text's five parts are the options, the letter at the place of its length is right; the model says the prompt's first sentence
+@query(r"""with b as (select text, greatest((length(text) + 4) // 5, 1) as n from benchmark),
+p as (select text, regexp_replace(concat_ws(chr(10), text, 'A) ' || substring(text, 1, n), 'B) ' || substring(text, n + 1, n), 'C) ' || substring(text, 2 * n + 1, n), 'D) ' || substring(text, 3 * n + 1, n),
+case when substring(text, 4 * n + 1) <> '' then 'E) ' || substring(text, 4 * n + 1) end, 'Answer with one letter.'), '^\s+', '') as q from b),
+m as (select text, upper(case when regexp_matches(q, '(?s)[.?!]\s') then regexp_extract(q, '(?s)^(.*?[.?!])\s', 1) else q end) as a from p),
+c as (select 'ABCDE'[length(text) % 5 + 1] as key, case when a[1] in ('A', 'B', 'C', 'D', 'E') then a[1] when contains(a, 'A') then 'A' when contains(a, 'B') then 'B' when contains(a, 'C') then 'C' when contains(a, 'D') then 'D' when contains(a, 'E') then 'E' else 'INVALID' end as choice from m)
+select count(*) as total, sum((choice = key)::integer)::bigint as correct, 100.0::double * sum((choice = key)::integer) / count(*) as accuracy from c""")
 def mcq_benchmark(t):
-    options = F.create_map(*[x for k in "ABCDE" for x in (F.lit(k), F.substring("text", 1 + 5 * "ABCDE".index(k), 5))])
-    samples = t("benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"), options.alias("options"), F.lit("A").alias("correct"))
+    n, size = F.length("text"), F.greatest(F.ceil(F.length("text") / 5), F.lit(1)).cast("int")
+    part = lambda i: F.substring(F.col("text"), size * i + 1, size)
+    options = F.create_map(*[x for i, k in enumerate("ABCDE") for x in (F.lit(k), part(i))])
+    key = F.substring(F.lit("ABCDE"), n % 5 + 1, F.lit(1))
+    samples = t("benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"), options.alias("options"), key.alias("correct"))
     return rag.multiple_choice_benchmark(samples, providers.get("generate-offline"), None)[1]
 
 
@@ -622,7 +638,9 @@ def token_batches(t):
     return retrieval.token_batches(d, 8000, "doc_id", shards=8).select("doc_id", "shard", "batch")
 
 
-@query()
+@query(r"""with d as (select doc_id, text, len(list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '')) as tokens, len(regexp_extract_all(text, '\bthe\b')) as score from documents),
+r as (select doc_id as id, score, sum(tokens) over (order by score desc, doc_id rows unbounded preceding) as running from d where score > 0)
+select id, score, running::bigint as running from r where running <= 8000""")
 def global_search(t):
     d = t("documents").select(F.col("doc_id").alias("id"), "text", F.size(text.words(F.col("text"))).alias("tokens"))
     return retrieval.global_search(d, lambda c: F.regexp_count(c, F.lit(r"\bthe\b")), shards=8).select("id", "score", "running")

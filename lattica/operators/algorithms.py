@@ -82,17 +82,17 @@ def modularity(edges: DataFrame, community: DataFrame) -> float:
     return inside / total - ends.agg(F.sum((F.col("d") / (2 * total)) ** 2)).first()[0]
 
 
-def _move(edges: DataFrame, community: DataFrame, turn: int) -> DataFrame:
-    """One round of moves: nodes of one parity go to the neighbouring community that gains the most; ties go to the least."""
-    both = edges.where("src <> dst").select("src", "dst", "weight").union(edges.where("src <> dst").select("dst", "src", "weight"))
-    degree = edges.select(F.col("src").alias("id"), "weight").union(edges.select("dst", "weight")).groupBy("id").agg(F.sum("weight").alias("k"))
+def _move(both: DataFrame, degree: DataFrame, twice: float, community: DataFrame, turn: int) -> DataFrame:
+    """One round of moves: nodes of one parity go to the neighbouring community that gains the most; ties go to the least.
+
+    both: a level's edges between different nodes, either way; degree: (id, k), its nodes' weights, which add up to twice.
+    """
     known = community.join(degree, "id")
     total = known.groupBy("community").agg(F.sum("k").alias("total"))
-    twice = F.lit(degree.agg(F.sum("k")).first()[0] or 1.0)
     near = both.join(community.select(F.col("id").alias("dst"), F.col("community").alias("to")), "dst").groupBy("src", "to").agg(F.sum("weight").alias("w"))
     choice = known.select(F.col("id").alias("src"), "k", F.col("community").alias("own")).join(near, "src").join(total.withColumnsRenamed({"community": "to"}), "to")
     stay = F.col("to") == F.col("own")
-    gain = F.round(F.col("w") - F.col("k") * (F.col("total") - F.when(stay, F.col("k")).otherwise(0)) / twice, 9)
+    gain = F.round(F.col("w") - F.col("k") * (F.col("total") - F.when(stay, F.col("k")).otherwise(0)) / F.lit(twice), 9)
     choice = choice.select("src", "own", "to", gain.alias("gain"))
     best = choice.groupBy("src").agg(F.max_by(F.struct("to", "gain"), F.struct("gain", -F.col("to"))).alias("best"), F.max(F.when(stay, F.col("gain"))).alias("here"))
     rest = F.coalesce("here", F.lit(0.0))
@@ -115,8 +115,12 @@ def louvain(edges: DataFrame, levels: int = 10, rounds: int = 12) -> tuple[DataF
     scores: list[float] = []
     for _ in range(levels):
         community = level.select(F.col("src").alias("id")).union(level.select("dst")).distinct().withColumn("community", F.col("id"))
+        loose = level.where("src <> dst")
+        both = cut(loose.select("src", "dst", "weight").union(loose.select("dst", "src", "weight")))
+        degree = cut(level.select(F.col("src").alias("id"), "weight").union(level.select("dst", "weight")).groupBy("id").agg(F.sum("weight").alias("k")))
+        twice = degree.agg(F.sum("k")).first()[0] or 1.0
         for turn in range(rounds):
-            step = cut(_move(level, community, turn))
+            step = cut(_move(both, degree, twice, community, turn))
             community = step.select("id", "community")
             if turn % 2 and step.where("moved").isEmpty():
                 break
