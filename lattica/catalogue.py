@@ -747,7 +747,14 @@ def metric_experiment(t):
     return found.select("conv_id", "turn", F.col("experiment").alias("scored"), F.round("value", 6).alias("value"), "error")
 
 
-@query()
+# three questions for each chunk, about its sentences in turn
+@query(r"""with w as (select item_id, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') as t from benchmark),
+c as (select t, unnest(case when len(t) > 0 then range(0, greatest(len(t) - 50 - 1, 0) + 1, 250) else [] end) as s from w),
+k as (select s // 250 as chunk_id, array_to_string(list_slice(t, s + 1, s + 300), ' ') as chunk from c),
+l as (select *, list_filter(string_split(regexp_replace(chunk, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as said, unnest([0, 1, 2]) as m from k),
+q as (select *, said[m % len(said) + 1] as answer from l)
+select ['Global', 'Local Direct', 'One Fact'][m + 1] as question_type, 'offline' as source, 'What is said about ' || array_to_string(list_slice(string_split(answer, ' '), 1, 3), ' ') || '?' as question,
+answer, 'reader 1' as persona, 'task 1' as task, chunk_id::integer as chunk_id, chunk, null::varchar as file_path from q""")
 def qa_library(t):
     return rag.question_library(t("benchmark").select(F.col("item_id").alias("doc_id"), "text"), providers.get("questions-offline", questions=3)).drop("retrieved_contexts")
 

@@ -149,7 +149,7 @@ def semantic_chunks(docs: DataFrame, embed, percentile: float = 0.95, buffer: in
     near = F.concat_ws(" ", F.collect_list("sentence").over(w.rowsBetween(-buffer, buffer)))
     s = sentences(docs, key, text).withColumn("near", near).withColumn("vec", embed(F.col("near")))
     dot = F.aggregate(F.zip_with("vec", F.lag("vec").over(w), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
-    s = s.withColumn("distance", 1 - dot)
+    s = s.withColumn("distance", F.round(1 - dot, 9))  # equal distances stay equal in any order of sums
     s = s.withColumn("limit", F.percentile("distance", percentile).over(Window.partitionBy(key)))
     s = s.withColumn("chunk_id", F.sum(F.when(F.col("distance") > F.col("limit"), 1).otherwise(0)).over(w))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"])
