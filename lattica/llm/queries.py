@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import read_table
 from lattica.llm.lines import LINES_SQL
-from lattica.llm.oracles import JACCARD_SQL, REPEATS_SQL, VECTORS_SQL
+from lattica.llm.oracles import CHAT_SQL, DIVERGENCE_SQL, JACCARD_SQL, MANIFEST_SQL, REPEATS_SQL, VECTORS_SQL
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,25 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.divergence import divergence
+
+    return divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.chat import chat_digests
+
+    more = spark.sql("select cast(-1 as bigint) as conv_id, cast(turn as bigint) as turn, role, '</s>[INST] ok [/INST]' as text from values (0, 'user'), (1, 'assistant') as t(turn, role)")
+    return chat_digests(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.manifest import manifest
+
+    return manifest(read_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_vectors": op2_vectors,
@@ -90,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_class_lm": op8_class_lm,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_divergence": op11_divergence,
+    "op12_chat": op12_chat,
+    "op13_manifest": op13_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -97,4 +119,7 @@ ORACLES: dict[str, str] = {
     "op2_vectors": VECTORS_SQL,
     "op5_lines": LINES_SQL,
     "op6_jaccard": JACCARD_SQL,
+    "op11_divergence": DIVERGENCE_SQL,
+    "op12_chat": CHAT_SQL,
+    "op13_manifest": MANIFEST_SQL,
 }
