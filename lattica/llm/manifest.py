@@ -43,30 +43,26 @@ def digest(doc_id: str = "doc_id", source: str = "source", lang: str = "lang", n
 def ranked(rows: DataFrame, group: str, key: str, opened: int = OPENED) -> DataFrame:
     """rows with rank, from 0, in ascending byte order of a hexadecimal key inside their group, and n, the group's rows.
 
-    Keys are unique in a group, groups are not null. A round counts DIGITS more digits of the keys below prefixes of more
-    than `opened` rows; prefix sums run over the digits below one prefix only.
+    Keys are unique in a group and not empty, groups are not null. A round opens the prefixes of more than `opened` rows:
+    it skips the digits that all their keys share, and counts DIGITS more. Prefix sums run below one prefix only, over at
+    most 16 ** DIGITS counts, and rows are numbered inside a prefix of at most `opened` rows.
     """
-    level = cut(rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_c")).select("_g", F.lit("").alias("_p"), "_c", F.lit(0).cast("long").alias("_start"), F.col("_c").alias("n")))
-    found, opens, depth = [level], [], 0
+    here = ["_g", "_p"]
+    placed = rows.withColumns({"_g": F.col(group), "_p": F.lit("")})
+    level = cut(placed.groupBy(*here).agg(F.count("*").alias("_c")).select(*here, "_c", F.lit(0).cast("long").alias("_start"), F.col("_c").alias("n")))
+    starts = level.where(F.col("_c") <= opened)
     while not (wide := level.where(F.col("_c") > opened)).isEmpty():
-        opens.append(wide.select(F.col("_g").alias("_og"), F.col("_p").alias("_op")))
-        above = wide.select("_g", "_p", F.col("_start").alias("_base"), "n")
-        inside = rows.select(F.col(group).alias("_g"), F.substring(key, 1, depth).alias("_p"), F.substring(key, 1, depth + DIGITS).alias("_child")).join(above, ["_g", "_p"], "left_semi")
-        depth += DIGITS
-        counts = inside.groupBy("_g", "_p", "_child").agg(F.count("*").alias("_c")).join(above, ["_g", "_p"])
-        before = F.sum("_c").over(Window.partitionBy("_g", "_p").orderBy("_child").rowsBetween(Window.unboundedPreceding, -1))
+        ends = placed.join(wide.select(*here), here, "left_semi").groupBy(*here).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+        shared = F.size(F.filter(F.sequence(F.lit(1), F.length("lo")), lambda i: F.substring("lo", F.lit(1), i) == F.substring("hi", F.lit(1), i)))
+        opens = cut(wide.join(ends, here).select(*here, F.col("_start").alias("_base"), "n", (shared + DIGITS).alias("_to")))
+        deeper = F.substring(F.col(key), F.lit(1), F.col("_to"))
+        counts = placed.join(opens, here).groupBy(*here, "_base", "n", deeper.alias("_child")).agg(F.count("*").alias("_c"))
+        before = F.sum("_c").over(Window.partitionBy(*here).orderBy("_child").rowsBetween(Window.unboundedPreceding, -1))
         level = cut(counts.select("_g", F.col("_child").alias("_p"), "_c", (F.col("_base") + F.coalesce(before, F.lit(0))).alias("_start"), "n"))
-        found.append(level)
-    placed = rows.withColumn("_depth", F.lit(0))
-    for i, wide in enumerate(opens):  # a row goes on as long as its prefix is an opened one
-        hit = (F.col(group) == F.col("_og")) & (F.col("_depth") == i * DIGITS) & (F.substring(key, 1, i * DIGITS) == F.col("_op"))
-        placed = placed.join(wide, hit, "left").withColumn("_depth", F.col("_depth") + F.when(F.col("_og").isNotNull(), F.lit(DIGITS)).otherwise(F.lit(0))).drop("_og", "_op")
-    placed = placed.withColumn("_p", F.expr(f"substring(`{key}`, 1, _depth)")).withColumn("_g", F.col(group))
-    placed = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_g", "_p").orderBy(key)) - 1)
-    starts = found[0].where(F.col("_c") <= opened)
-    for level in found[1:]:
         starts = starts.unionByName(level.where(F.col("_c") <= opened))
-    return placed.join(starts.select("_g", "_p", "_start", "n"), ["_g", "_p"]).select(*rows.columns, (F.col("_start") + F.col("_place")).alias("rank"), "n")
+        placed = placed.join(opens.select(*here, "_to"), here, "left").withColumn("_p", F.when(F.col("_to").isNull(), F.col("_p")).otherwise(deeper)).drop("_to")
+    place = F.row_number().over(Window.partitionBy(*here).orderBy(key)) - 1
+    return placed.withColumn("_place", place).join(starts.select(*here, "_start", "n"), here).select(*rows.columns, (F.col("_start") + F.col("_place")).alias("rank"), "n")
 
 
 def _h(parts: Iterable[str]) -> str:
@@ -195,10 +191,8 @@ def manifest(docs: DataFrame, tampered: Column | None = None, fanned: int = OPEN
     tree = F.coalesce(F.concat(F.lit("1"), F.col("source").cast("string")), F.lit("0"))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tree.alias("tree"), leaf.alias("digest"), F.when(F.lit(False) if tampered is None else tampered, changed).alias("changed"))
     given = cut(given.withColumn("_n", F.monotonically_increasing_id()))  # written, so that the numbers of equal rows stay
-    low, high = given.agg(F.min("doc_id"), F.max("doc_id")).first()
-    wide = 16 if low is None or low < 0 else max(1, len(f"{high:x}"))
-    digits = F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63))) if wide == 16 else F.col("doc_id"))
-    key = F.concat(F.coalesce(F.lpad(digits, wide, "0"), F.lit("~")), "digest", F.lpad(F.hex("_n"), 16, "0"))
+    digits = F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")  # the sign turned, so that they order as numbers
+    key = F.concat(F.coalesce(digits, F.lit("~")), "digest", F.lpad(F.hex("_n"), 16, "0"))
     leaves = ranked(given.withColumn("_key", key), "tree", "_key", fanned)
     leaves = cut(leaves.select("tree", "rank", height(F.col("n")).alias("height"), "doc_id", "digest", F.coalesce("changed", "digest").alias("claim")))
 
