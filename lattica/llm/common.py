@@ -64,12 +64,33 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+#: Values that one polynomial covers. Modulo 2 ** 64 some sequences of 1,024 or more values collide under every base.
+_BLOCK = 64
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE2) -> np.ndarray:
-    """One 64-bit hash of values[s:e] for every pair of starts and ends; equal sequences have equal hashes wherever they stand."""
+    """One 64-bit hash of values[s:e] for every pair of starts and ends; equal sequences have equal hashes wherever they stand.
+
+    A longer sequence is hashed in blocks from its own start, and the blocks' mixed hashes in blocks again, until one is left.
+    """
     up, down = powers(len(values) + 1, base)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+    sizes = ends - starts
+
+    def polynomial(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix64((total[ends] - total[starts]) * down[starts] ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+
+    long = np.flatnonzero(sizes > _BLOCK)
+    if not len(long):
+        return polynomial(starts, ends)
+    out = polynomial(starts, np.minimum(ends, starts + _BLOCK))
+    blocks = -(-sizes[long] // _BLOCK)
+    first = np.cumsum(blocks) - blocks
+    at = np.repeat(starts[long], blocks) + _BLOCK * (np.arange(first[-1] + blocks[-1]) - np.repeat(first, blocks))
+    parts = polynomial(at, np.minimum(at + _BLOCK, np.repeat(ends[long], blocks)))
+    out[long] = mix64(span_hashes(parts, first, first + blocks, base) ^ mix64(sizes[long].astype(np.uint64)))
+    return out
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
