@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.graph import undirected
+from lattica.operators.vector_index import VectorIndex
 from lattica.plans.lineage import cut
 
 
@@ -19,50 +20,22 @@ def normalised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.where(F.col(vector).isNotNull()).select(F.col(key), v.alias("vec"), n.alias("n")).where("n > 0").select(key, F.transform("vec", lambda x: x / F.col("n")).alias("vec"))
 
 
-#: Queries up to which they are sent to every task; above, blocks of queries meet blocks of vectors by a join.
-BROADCAST_QUERIES = 2000
-
-
-#: Items of a block, about.
-BLOCK_ITEMS = 20_000
-
-
-def top_k(queries: DataFrame, items: DataFrame, k: int = 5, blocks: int | None = None) -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, k: int = 5, **options) -> DataFrame:
     """(query_id, item_id, score, rank) of queries (query_id, vec) against items (item_id, vec) by cosine, exactly.
 
-    Vectors are normalised. Scores are rounded to six digits and ties go to the smaller item_id. A query's hits of each
-    block of items are cut to k before they are exchanged; without a number of blocks it follows from the number of items.
+    Vectors are normalised. Scores are rounded to six digits and ties go to the smaller item_id. An index of the items
+    is written first; to search one several times, or faster and not exactly, use `VectorIndex` itself.
     """
-    blocks = blocks or max(16, -(-items.count() // BLOCK_ITEMS))
-    dot = F.aggregate(F.zip_with("q", "vec", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
-    q = queries.select("query_id", F.col("vec").alias("q"))
-    block = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")
-    i = items.select("item_id", "vec", block.alias("block"))
-    if q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        pairs = i.join(F.broadcast(q.withColumn("all", F.sequence(F.lit(0), F.lit(blocks - 1))).select("query_id", "q", F.explode("all").alias("block"))), "block")
-    else:
-        pairs = i.join(q.select("query_id", "q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")), "block")
-    scored = pairs.select("query_id", "item_id", "block", F.round(dot, 6).alias("score"))
-    order = [F.desc("score"), F.asc("item_id")]
-    some = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).where(F.col("r") <= k)
-    return some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "item_id", "score", "rank")
-
-
-def similar_pairs(vectors: DataFrame, least: float, same: str, cells: int = 3) -> DataFrame:
+    return VectorIndex.build(items, **options).search(queries, k, exact=True)
+
+
+def similar_pairs(vectors: DataFrame, least: float, same: str, **options) -> DataFrame:
     """(a, b, score) with a < b of vectors (id, vec of length one, and a column `same`) whose cosine is at least `least`.
 
-    Only rows with equal `same` are compared. Vectors that are near in cosine are near in each component, so they are
-    joined by the cells of a grid over the first components; one side is copied to the neighbouring cells.
+    Only rows with equal `same`, null aside, are compared, and of those only the ones that their angles to the centres
+    of a `VectorIndex` don't rule out.
     """
-    reach = (2 - 2 * least) ** 0.5 + 1e-9
-    cell = lambda k: F.floor(F.coalesce(F.get("vec", k), F.lit(0.0)) / reach).cast("int")
-    a = vectors.select(F.col("id").alias("a"), F.col("vec").alias("v"), F.col(same).alias("_s"), *[cell(k).alias(f"c{k}") for k in range(cells)])
-    b = vectors.select(F.col("id").alias("b"), F.col("vec").alias("w"), F.col(same).alias("_s"), *[cell(k).alias(f"c{k}") for k in range(cells)])
-    for k in range(cells):
-        b = b.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + d for d in (-1, 0, 1)])))
-    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    met = a.join(b, ["_s", *[f"c{k}" for k in range(cells)]]).where("a < b")
-    return met.select("a", "b", F.round(dot, 6).alias("score")).where(F.col("score") >= least)
+    return VectorIndex.build(vectors.select(F.col("id").alias("item_id"), "vec", F.col(same).alias("same")), **options).pairs(least)
 
 
 def merge_similar(vectors: DataFrame, least: float, same: str) -> DataFrame:

@@ -5,17 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and written as a table into the folder in spark.checkpoint.dir, which all executors share.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder in spark.checkpoint.dir, which all executors share.
 
-    Readers don't depend on the executors that computed it. Like Spark's own checkpoints by default, the files stay
-    until the folder is cleaned. Without that setting a temporary folder is used, in local mode only: elsewhere executors
-    wouldn't share it.
+    Without that setting it is in a temporary folder, in local mode only: elsewhere executors wouldn't share it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
@@ -23,6 +20,15 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-checkpoint-"))
         folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/lattica-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/lattica-{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and written as a table into the shared folder (see `shared_path`).
+
+    Readers don't depend on the executors that computed it. Like Spark's own checkpoints by default, the files stay
+    until the folder is cleaned.
+    """
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
