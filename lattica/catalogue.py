@@ -455,8 +455,19 @@ def louvain(t):
 
 @query()
 def leiden_communities(t):
-    e = _co_bought(t)
-    return algorithms.refined(e, algorithms.louvain(e, levels=3)[0].select("id", "community"))
+    return algorithms.leiden(_co_bought(t))[0].select("id", F.size("levels").alias("depth"), "community")
+
+
+def _customer_tree(t) -> tuple[DataFrame, DataFrame]:
+    """(id, text) of customers, and their (id, levels): nation, region, all."""
+    c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    texts = c.select(F.col("c_custkey").alias("id"), F.concat_ws(" ", "c_name", "c_mktsegment", F.lit("of"), "n_name").alias("text"))
+    return texts, c.select(F.col("c_custkey").alias("id"), F.array("n_nationkey", F.col("n_regionkey") + 100, F.lit(1000)).alias("levels"))
+
+
+@query()
+def community_report_levels(t):
+    return rag.hierarchy_reports(*_customer_tree(t), providers.get("generate-offline"), 500)
 
 
 @query("select n_regionkey as region, n_nationkey as nation, count(*) as members from customer join nation on c_nationkey = n_nationkey group by rollup (n_regionkey, n_nationkey)")

@@ -101,29 +101,86 @@ def _move(both: DataFrame, degree: DataFrame, twice: float, community: DataFrame
     return community.join(moved, "id", "left").select("id", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved"))
 
 
-def louvain(edges: DataFrame, levels: int = 10, rounds: int = 12) -> tuple[DataFrame, list[float]]:
-    """(id, levels array<long>, community) by Louvain on undirected edges (src, dst[, weight]), and each level's modularity.
+def _settled(both: DataFrame, degree: DataFrame, twice: float, community: DataFrame, rounds: int) -> DataFrame:
+    """community after rounds of moves, until none of a second round's nodes gains by moving."""
+    for turn in range(rounds):
+        step = cut(_move(both, degree, twice, community, turn))
+        community = step.select("id", "community")
+        if turn % 2 and step.where("moved").isEmpty():
+            break
+    return community
+
 
-    In a level nodes move for some rounds, half of them at a time (so neighbours don't swap for ever), then communities
-    become the next level's nodes. A level that doesn't raise modularity ends it. Ids are whole numbers.
+def _refine(both: DataFrame, degree: DataFrame, twice: float, community: DataFrame, rounds: int) -> DataFrame:
+    """(id, sub, community): communities taken apart into single nodes, which merge again inside their community only.
+
+    A node that is still alone and well connected to its community (by at least what chance gives) joins the group there
+    that gains the most, if that is well connected too. In a round half of the lone nodes may join, and only groups that
+    none of these leaves, so a group is connected by the edges over which its nodes came; ties go to the least name.
     """
+    c = community.select(F.col("id").alias("v"), F.col("community").alias("c"))
+    inside = both.join(c.withColumnsRenamed({"v": "src", "c": "a"}), "src").join(c.withColumnsRenamed({"v": "dst", "c": "b"}), "dst")
+    inside = cut(inside.where("a = b").select("src", "dst", "weight"))
+    within = community.join(degree, "id")
+    within = within.join(within.groupBy("community").agg(F.sum("k").alias("all")), "community").join(inside.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("w")), "id", "left")
+    chance = F.col("k") * (F.col("all") - F.col("k")) / F.lit(twice)
+    state = cut(within.select("id", F.col("id").alias("sub"), "community", "k", "all", (F.coalesce("w", F.lit(0.0)) >= chance - 1e-9).alias("well")))
+    for turn in range(rounds):
+        at = state.select(F.col("id").alias("v"), F.col("sub").alias("s"))
+        ends = inside.join(at.withColumnsRenamed({"v": "src", "s": "from"}), "src").join(at.withColumnsRenamed({"v": "dst", "s": "to"}), "dst").where("from <> to")
+        leaving = ends.groupBy(F.col("from").alias("sub")).agg(F.sum("weight").alias("cut"))
+        groups = state.groupBy("sub").agg(F.count("*").alias("n"), F.sum("k").alias("total"), F.first("all").alias("all"), F.first("well").alias("well")).join(leaving, "sub", "left")
+        open_ = F.coalesce("cut", F.lit(0.0)) >= F.col("total") * (F.col("all") - F.col("total")) / F.lit(twice) - 1e-9
+        moves = (F.col("n") == 1) & F.col("well") & (F.pmod(F.xxhash64("sub", F.lit(turn)), F.lit(2)) == 0)
+        groups = groups.select("sub", "total", moves.alias("moves"), open_.alias("open"))
+        near = ends.groupBy("from", "to").agg(F.sum("weight").alias("w"))
+        near = near.join(groups.where("moves").select(F.col("sub").alias("from"), F.col("total").alias("k")), "from").join(groups.where("not moves and open").select(F.col("sub").alias("to"), "total"), "to")
+        gain = F.round(F.col("w") - F.col("k") * F.col("total") / F.lit(twice), 9)
+        best = near.withColumn("gain", gain).where("gain > 0").groupBy(F.col("from").alias("id")).agg(F.max_by("to", F.struct("gain", -F.col("to"))).alias("to"))
+        state = cut(state.join(best, "id", "left").withColumn("sub", F.coalesce("to", "sub")).withColumn("joined", F.col("to").isNotNull()).drop("to"))
+        if turn % 2 and state.where("joined").isEmpty():
+            break
+        state = state.drop("joined")
+    return state.select("id", "sub", "community")
+
+
+class _Level:
+    """A level's weighted edges, and what moves and refinements need of them."""
+
+    def __init__(self, edges: DataFrame):
+        self.edges = edges
+        self.ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+        loose = edges.where("src <> dst")
+        self.both = cut(loose.select("src", "dst", "weight").union(loose.select("dst", "src", "weight")))
+        self.degree = cut(edges.select(F.col("src").alias("id"), "weight").union(edges.select("dst", "weight")).groupBy("id").agg(F.sum("weight").alias("k")))
+        self.twice = self.degree.agg(F.sum("k")).first()[0] or 1.0
+
+    def contracted(self, named: DataFrame) -> DataFrame:
+        """Edges between the groups of named (id, group)."""
+        a, b = (named.select(F.col("id").alias(end), F.col("group").alias(c)) for end, c in (("src", "a"), ("dst", "b")))
+        return cut(self.edges.join(a, "src").join(b, "dst").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight")))
+
+
+def _weighted(edges: DataFrame) -> DataFrame:
+    """Undirected edges (src, dst, weight), each once, with src <= dst."""
     if "weight" not in edges.columns:
         edges = edges.withColumn("weight", F.lit(1.0))
-    first = cut(edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").cast("double").alias("weight")))
-    level = first
-    members = cut(level.select(F.col("src").alias("id")).union(level.select("dst")).distinct().select("id", F.col("id").alias("community"), F.array().cast("array<bigint>").alias("levels")))
+    return cut(edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").cast("double").alias("weight")))
+
+
+def louvain(edges: DataFrame, levels: int = 10, rounds: int = 12) -> tuple[DataFrame, list[float]]:
+    """(id, levels array<long>, community) by Louvain on undirected edges (src, dst[, weight]), and each level's modularity.
+
+    In a level nodes move for at most `rounds` rounds, half of them at a time (so neighbours don't swap for ever), then
+    communities become the next level's nodes. A level that doesn't raise modularity ends it, or the last of `levels`:
+    both bounds only end the search for better communities. Ids are whole numbers.
+    """
+    first = _weighted(edges)
+    level = _Level(first)
+    members = cut(level.ids.select("id", F.col("id").alias("community"), F.array().cast("array<bigint>").alias("levels")))
     scores: list[float] = []
     for _ in range(levels):
-        community = level.select(F.col("src").alias("id")).union(level.select("dst")).distinct().withColumn("community", F.col("id"))
-        loose = level.where("src <> dst")
-        both = cut(loose.select("src", "dst", "weight").union(loose.select("dst", "src", "weight")))
-        degree = cut(level.select(F.col("src").alias("id"), "weight").union(level.select("dst", "weight")).groupBy("id").agg(F.sum("weight").alias("k")))
-        twice = degree.agg(F.sum("k")).first()[0] or 1.0
-        for turn in range(rounds):
-            step = cut(_move(both, degree, twice, community, turn))
-            community = step.select("id", "community")
-            if turn % 2 and step.where("moved").isEmpty():
-                break
+        community = _settled(level.both, level.degree, level.twice, level.ids.withColumn("community", F.col("id")), rounds)
         named = community.select(F.col("id").alias("v"), F.col("community").alias("n"))
         after = members.join(named, F.col("community") == F.col("v"), "left").select("id", F.coalesce("n", "community").alias("community"), F.array_append("levels", F.coalesce("n", "community").cast("long")).alias("levels"))
         after = cut(after)
@@ -132,14 +189,48 @@ def louvain(edges: DataFrame, levels: int = 10, rounds: int = 12) -> tuple[DataF
             break
         scores.append(score)
         members = after
-        a = named.withColumnsRenamed({"v": "src", "n": "a"})
-        b = named.withColumnsRenamed({"v": "dst", "n": "b"})
-        level = cut(level.join(a, "src").join(b, "dst").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight")))
+        level = _Level(level.contracted(community.withColumnRenamed("community", "group")))
     return members.select("id", "levels", "community"), scores
 
 
+def leiden(edges: DataFrame, levels: int = 10, rounds: int = 12, passes: int = 2) -> tuple[DataFrame, list[float]]:
+    """(id, levels array<long>, community) by Leiden on undirected edges (src, dst[, weight]), and each pass's modularity.
+
+    A level moves nodes as Louvain does, refines the communities (see `_refine`), and contracts the refined groups; the
+    communities found so far are where the next level starts from. A pass ends when no groups merge any more, and the
+    next one starts from its communities, until modularity stays or `passes` are done. levels has each level's refined
+    groups, from fine to coarse, and the community last: every one is connected and lies within the next. Communities are
+    named by their least ids, which are whole numbers.
+    """
+    first = _weighted(edges)
+    scores: list[float] = []
+    best = start = None
+    for _ in range(passes):
+        level = _Level(first)
+        found = start
+        members = level.ids.select("id", F.col("id").alias("node"), F.array().cast("array<bigint>").alias("levels"))
+        for _ in range(levels):
+            community = level.ids.withColumn("community", F.col("id")) if found is None else found
+            refined_ = cut(_refine(level.both, level.degree, level.twice, _settled(level.both, level.degree, level.twice, community, rounds), rounds))
+            named = refined_.select(F.col("id").alias("node"), "sub", "community")
+            members = cut(members.drop("community").join(named, "node").select("id", F.col("sub").alias("node"), F.array_append("levels", F.col("sub").cast("long")).alias("levels"), "community"))
+            found = refined_.select(F.col("sub").alias("id"), "community").distinct()
+            if found.count() == refined_.count():
+                break
+            level = _Level(level.contracted(refined_.select("id", F.col("sub").alias("group"))))
+        # a community that lost the nodes that held it together is as many communities as it has parts
+        whole = cut(refined(first, members.select("id", "community")))
+        score = modularity(first, whole)
+        if scores and score <= scores[-1] + 1e-9:
+            break
+        scores.append(score)
+        start = whole
+        best = cut(members.drop("community").join(whole, "id").select("id", F.array_append("levels", F.col("community").cast("long")).alias("levels"), "community"))
+    return best, scores
+
+
 def refined(edges: DataFrame, community: DataFrame) -> DataFrame:
-    """(id, community): each community split into its connected parts, named by their least ids, as Leiden's refinement does."""
+    """(id, community): each community split into its connected parts, named by their least ids."""
     c = community.select(F.col("id").alias("v"), "community")
     inside = edges.join(c.withColumnsRenamed({"v": "src", "community": "a"}), "src").join(c.withColumnsRenamed({"v": "dst", "community": "b"}), "dst").where("a = b")
     return components(community, inside).select("id", F.col("component").alias("community"))

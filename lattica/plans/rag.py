@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica import providers
 from lattica.functions.metrics import mcq_accuracy, mcq_choice, mcq_prompt, normalise_reply, parse_judge
-from lattica.functions.text import chunk, chunk_recursively, or_default, semantic_chunks, STRUCTURE_SEPARATORS
+from lattica.functions.text import STRUCTURE_SEPARATORS, chunk, chunk_recursively, or_default, semantic_chunks, words
 from lattica.operators.graph import PropertyGraph, resolve, triplets_to_graph
 from lattica.operators.retrieval import normalised, top_k
 from lattica.plans.lineage import cut
@@ -136,6 +136,59 @@ def community_reports(graph: PropertyGraph, community: DataFrame, summarise: pro
     return done.select("community", "report", F.size(F.split("report", r"\s+")).alias("tokens"))
 
 
+def _tokens(c: Column | str) -> Column:
+    return F.size(words(F.col(c) if isinstance(c, str) else c)).cast("long")
+
+
+def _to_budget(parts: DataFrame, budget: int, *order: Column) -> DataFrame:
+    """(community, text): each community's parts (community, text, tokens) in order, joined while their tokens are within the budget.
+
+    What a community takes, each of its shares of rows takes too, so shares are cut first: no task gets a whole large community.
+    """
+    upto = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shares = parts.withColumn("_share", F.spark_partition_id())
+    some = shares.withColumn("_sum", F.sum("tokens").over(upto("community", "_share"))).where(F.col("_sum") <= budget)
+    whole = some.withColumns({"_sum": F.sum("tokens").over(upto("community")), "_at": F.row_number().over(Window.partitionBy("community").orderBy(*order))}).where(F.col("_sum") <= budget)
+    return whole.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
+def hierarchy_reports(texts: DataFrame, members: DataFrame, summarise: providers.Provider, budget: int = 8000) -> DataFrame:
+    """(level, community, report, tokens, full_tokens, replaced): reports for the communities of every level, from the finest up.
+
+    texts: (id, text) of the graph's elements; members: (id, levels), each element's community on every level, which lie
+    within each other. A community of the first level is described by its elements, longest first, as far as the budget
+    of words goes. Above, a community's text is its subcommunities' texts; while that is above the budget, the longest is
+    replaced by its report, and what is then still above the budget is left out, shortest last. Reports are cut at the
+    budget too. Nulls are empty texts; ties go to the smaller id.
+    """
+    ship(texts.sparkSession)
+    known = cut(members.join(texts, "id", "left").select("id", "levels", F.coalesce("text", F.lit("")).alias("text")).withColumn("tokens", _tokens("text")))
+    depth = known.agg(F.max(F.size("levels"))).first()[0] or 0
+    reports = below = None
+    for k in range(depth):
+        at = known.select(F.get("levels", k).alias("community"), *([] if k == 0 else [F.get("levels", k - 1).alias("child")]), "id", "text", "tokens")
+        full = at.groupBy("community").agg(F.sum("tokens").alias("full_tokens"))
+        if k == 0:
+            context = _to_budget(at, budget, F.desc("tokens"), F.asc("id"))
+            stated = full.join(context, "community", "left").select("community", "full_tokens", F.coalesce("text", F.lit("")).alias("context"), F.lit(0).cast("long").alias("replaced"))
+            stated = stated.withColumn("whole", F.when(F.col("full_tokens") <= budget, F.col("context")))
+        else:
+            children = at.select("community", "child").distinct().join(below.select(F.col("community").alias("child"), F.col("full_tokens").alias("n"), "whole", "report", F.col("tokens").alias("m")), "child").join(full, "community")
+            order = [F.desc("n"), F.asc("child")]
+            saved = F.coalesce(F.sum(F.col("n") - F.col("m")).over(Window.partitionBy("community").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            children = cut(children.withColumn("gone", F.col("full_tokens") - saved > budget).withColumn("text", F.when(F.col("gone"), F.col("report")).otherwise(F.col("whole"))).withColumn("tokens", F.when(F.col("gone"), F.col("m")).otherwise(F.col("n"))))
+            whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "child", F.when(F.col("full_tokens") <= budget, F.col("whole")).alias("whole")))), lambda x: x["whole"]), " ")
+            stated = children.groupBy("community", "full_tokens").agg(F.sum(F.col("gone").cast("long")).alias("replaced"), whole.alias("whole"))
+            stated = stated.join(_to_budget(children.select("community", "text", "tokens", "n", "child"), budget, *order), "community", "left")
+            stated = stated.select("community", "full_tokens", F.coalesce("text", F.lit("")).alias("context"), "replaced", F.when(F.col("full_tokens") <= budget, F.col("whole")).alias("whole"))
+        said = cut(stated.withColumn("report", providers.column(summarise)(F.concat(F.lit("Context: "), "context"))))
+        said = said.withColumn("report", F.array_join(F.slice(words(F.coalesce("report", F.lit(""))), 1, budget), " ")).withColumn("tokens", _tokens("report"))
+        below = cut(said)
+        level = below.select(F.lit(k).alias("level"), "community", "report", "tokens", "full_tokens", "replaced")
+        reports = level if reports is None else reports.unionByName(level)
+    return reports
+
+
 def golden_set(docs: DataFrame, writer: providers.Provider, size: int = 1024, per_context: int = 2, least: int = 5) -> DataFrame:
     """Questions with expected answers from contexts that are long enough, at most `per_context` for each context."""
     ship(docs.sparkSession)

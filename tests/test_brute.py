@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica import catalogue, providers
 from lattica.operators import algorithms, retrieval
+from lattica.plans import rag
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
@@ -60,10 +61,81 @@ def test_louvain_and_refined_communities(spark):
     assert set(community) == nodes and scores == sorted(scores)
     assert modularity(pairs, community) == pytest.approx(scores[-1])
     assert scores[-1] > max(0.0, modularity(pairs, {n: n for n in nodes}))
-    refined = {r.id: r.community for r in catalogue.QUERIES["leiden_communities"](spark, SF).collect()}
-    louvain = {r.id: r.community for r in catalogue.QUERIES["louvain"](spark, SF).collect()}
-    assert set(refined) == set(louvain) == nodes
-    assert refined == parts_of(nodes, [(a, b) for a, b in pairs if refined[a] == refined[b]])
+    members, better = algorithms.leiden(spark.createDataFrame(sorted(pairs), "src long, dst long"))
+    rows = {r.id: [*r.levels] for r in members.collect()}
+    assert set(rows) == nodes and better == sorted(better) and better[-1] >= scores[-1]
+    assert modularity(pairs, {n: v[-1] for n, v in rows.items()}) == pytest.approx(better[-1])
+    for k in range(len(next(iter(rows.values())))):
+        group = {n: v[k] for n, v in rows.items()}
+        parts = parts_of(nodes, [(a, b) for a, b in pairs if group[a] == group[b]])
+        assert len(set(parts.values())) == len(set(group.values()))  # every group of every level is connected
+        if k:
+            assert len({(v[k - 1], v[k]) for v in rows.values()}) == len({v[k - 1] for v in rows.values()})  # and lies within one of the next
+    assert {r.id: r.community for r in members.collect()} == {n: v[-1] for n, v in rows.items()}
+
+
+def test_leiden_takes_a_loose_community_apart(spark):
+    """Two cliques that only one node held together, given as one community, are two after it has left."""
+    clique = lambda ids: [(a, b) for a in ids for b in ids if a < b]
+    e = spark.createDataFrame(clique(range(5)) + clique(range(10, 15)) + clique(range(20, 26)) + [(0, 20), (10, 21)], "src long, dst long")
+    level = algorithms._Level(algorithms._weighted(e))
+    loose = level.ids.withColumn("community", F.when(F.col("id") < 20, 0).otherwise(20).cast("long"))
+    assert {r.id: r.community for r in algorithms.refined(e, loose).collect()} == {**{i: 0 for i in range(5)}, **{i: 10 for i in range(10, 15)}, **{i: 20 for i in range(20, 26)}}
+    sub = {r["id"]: r["sub"] for r in algorithms._refine(level.both, level.degree, level.twice, loose, 12).collect()}
+    assert not {sub[i] for i in range(5)} & {sub[i] for i in range(10, 15)}
+    found = algorithms.leiden(e)[0].select("id", "community").collect()
+    assert {r.id: r.community for r in found} == {**{i: 0 for i in range(5)}, **{i: 10 for i in range(10, 15)}, **{i: 20 for i in range(20, 26)}}
+
+
+def test_community_reports_bottom_up(spark):
+    """By the definition, over all customers: nations, regions, all; with a budget that only some levels fit in."""
+    given = catalogue._customer_tree(lambda n: spark.read.parquet(f"{SF}/{n}.parquet"))
+    texts, levels = {r.id: r.text for r in given[0].collect()}, {r.id: [*r.levels] for r in given[1].collect()}
+    summary = lambda text: providers.get("generate-offline").call(["Context: " + text])[0]
+    size = lambda t: len(t.split())
+    for budget in (12, 90, 100_000):
+        want, below = {}, None
+        for k in range(3):
+            groups = defaultdict(list)
+            for i, v in levels.items():
+                groups[v[k]].append(i)
+            now = {}
+            for g, ids in groups.items():
+                full = sum(size(texts[i]) for i in ids)
+                if k == 0:
+                    parts, total = [], 0
+                    for i in sorted(ids, key=lambda i: (-size(texts[i]), i)):
+                        total += size(texts[i])
+                        if total > budget:
+                            break
+                        parts.append(texts[i])
+                    replaced, words = 0, " ".join(sorted(parts, key=parts.index))
+                    whole = words if full <= budget else None
+                else:
+                    children = sorted({levels[i][k - 1] for i in ids}, key=lambda c: (-below[c][0], c))
+                    left, chosen, replaced = full, [], 0
+                    for c in children:
+                        if left > budget:
+                            left -= below[c][0] - size(below[c][2])
+                            chosen.append(below[c][2])
+                            replaced += 1
+                        else:
+                            chosen.append(below[c][1])
+                    parts, total = [], 0
+                    for t in chosen:
+                        total += size(t)
+                        if total > budget:
+                            break
+                        parts.append(t)
+                    words = " ".join(parts)
+                    whole = " ".join(below[c][1] for c in children) if full <= budget else None
+                now[g] = (full, whole, " ".join(summary(words).split()[:budget]))
+                want[k, g] = (now[g][2], size(now[g][2]), full, replaced)
+            below = now
+        got = rag.hierarchy_reports(*given, providers.get("generate-offline"), budget)
+        assert {(r.level, r.community): (r.report, r.tokens, r.full_tokens, r.replaced) for r in got.collect()} == want
+        assert all(t <= budget for _, t, _, _ in want.values())
+        assert any(r for _, _, _, r in want.values()) == (budget < 1000)
 
 
 def test_token_batches(spark):
