@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lattica import providers
 from lattica.functions import metrics, text
 from lattica.operators import algorithms, graph, retrieval, tabular
-from lattica.plans import rag
+from lattica.plans import rag, testsets
 from lattica.session import ship
 from lattica.sources import readers
 from lattica.streaming.ingest import windowed_counts
@@ -86,9 +86,7 @@ def in_list_props(t):
 with e as (select l_suppkey as src, l_partkey as dst, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) as eid from lineitem)
 select a.src as p, b.src as q, count(*) as parts from e a join e b on a.dst = b.dst and a.eid <> b.eid group by 1, 2""")
 def co_occurrence(t):
-    # any edge id that tells rows apart gives the same counts
-    e = t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.monotonically_increasing_id().alias("eid"))
-    return graph.co_occurrence(e, e).groupBy("p", "q").agg(F.count("*").alias("parts"))
+    return graph.co_occurrence_counts(t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))).withColumnRenamed("n", "parts")
 
 
 @query("""select distinct o_custkey from orders o where o_orderstatus = 'P' and not exists (select 1 from orders x where x.o_custkey = o.o_custkey and x.o_orderstatus = 'F')""")
@@ -279,6 +277,26 @@ def schema_graph(t):
     return graph.PropertyGraph(nodes, g.edges.select(F.concat(F.lit("c"), "src").alias("src"), F.concat(F.lit("o"), "dst").alias("dst"), "type")).schema_graph()
 
 
+@query("""select c_custkey as id, concat_ws(',', case when c_acctbal >= 0 then 'balance' end, 'name', case when c_nationkey % 2 = 0 then 'nation' end, 'segment') as keys from customer
+union all select -1 - s_suppkey, concat_ws(',', 'name', case when s_nationkey > 3 then 'nation' end) from supplier""")
+def node_keys(t):
+    optional = lambda value, given: F.when(given, value.cast("string"))
+    c = t("customer").select(F.col("c_custkey").alias("id"), F.array(F.lit("Customer")).alias("labels"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"), F.create_map(F.lit("segment"), "c_mktsegment", F.lit("nation"), optional(F.col("c_nationkey"), F.col("c_nationkey") % 2 == 0)).alias("properties"))
+    s = t("supplier").select((-1 - F.col("s_suppkey")).alias("id"), F.array(F.lit("Supplier")).alias("labels"), F.col("s_name").alias("name"), F.create_map(F.lit("nation"), optional(F.col("s_nationkey"), F.col("s_nationkey") > 3)).alias("properties"))
+    g = graph.PropertyGraph(c.unionByName(s, allowMissingColumns=True), t("orders"))
+    return g.node_keys("properties").select("id", F.array_join("keys", ",").alias("keys"))
+
+
+@query("""with e as (select o_custkey as person, o_orderpriority as kind, min(o_orderkey) as id from orders where o_orderstatus = 'F' group by all),
+n as (select o_custkey as person, o_orderpriority as kind, min(o_orderkey) as id from orders group by all)
+select person, kind, coalesce(e.id, n.id) as id, e.id is null as created from n left join e using (person, kind)""")
+def constraint_merge(t):
+    rows = t("orders").select(F.col("o_custkey").alias("person"), F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("id"), "o_orderstatus")
+    old = rows.where("o_orderstatus = 'F'").groupBy("person", "kind").agg(F.min("id").alias("id")).withColumn("created", F.lit(False))
+    declared = graph.Catalogue().declare("Habit", "person", "kind", required=True)
+    return declared.merge("Habit", old, rows.select("person", "kind", "id", F.lit(True).alias("created"), F.col("id").alias("o")), "o")
+
+
 @query("select * from (values ('name'), ('balance')) v(key)")
 def property_keys(t):
     nodes = t("customer").select(F.col("c_custkey").alias("id"), F.array(F.lit("Customer")).alias("labels"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.lit(None).cast("string").alias("never"))
@@ -306,7 +324,7 @@ def emptiness_probe(t):
     return o.sparkSession.createDataFrame(rows, "name string, empty boolean")
 
 
-@query("select c_custkey as id from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'P')")
+@query("select c_custkey as id from customer join orders on o_custkey = c_custkey where o_orderstatus = 'P'")
 def any_endpoint(t):
     e = t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
     return graph.connected(t("customer").select(F.col("c_custkey").alias("id")), e, "out")
@@ -493,6 +511,47 @@ def chunk_token(t):
     return text.chunk(t("documents"), "token", 40, 10)
 
 
+@query(_CHUNKS + "select doc_id, (s / 30)::integer as chunk_id, array_to_string(list_slice(t, s + 1, s + 40), ' ') as chunk from c")
+def chunk_udtf(t):
+    """The splitter as a table function of SQL."""
+    d = t("documents")
+    text.register_split_function(d.sparkSession)
+    return d.sparkSession.sql("select doc_id, chunk_id, chunk from {docs}, lateral split_text(text, 'token', 40, 10)", docs=d)
+
+
+@query()
+def headline_chunks(t):
+    return text.chunk_by_headlines(t("documents")).select("doc_id", "chunk_id", "headline", F.xxhash64("chunk").alias("chunk_hash"), "tokens")
+
+
+_TERMS = r"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z\x{df}-\x{ff}]{4,}')) as term from documents),
+f as (select doc_id, term, count(*) as tf from w group by all), d as (select term, count(*) as df from f group by all),
+x as (select doc_id, term, df, round(tf * ln((1.0 + (select count(*) from documents)) / (1.0 + df)), 6) as weight from f join d using (term)),
+k as (select *, row_number() over (partition by doc_id order by weight desc, term) as rank from x) """
+
+
+@query(_TERMS + "select doc_id, rank::integer as rank, term, weight from k where rank <= 5")
+def keyphrases(t):
+    return text.keyphrases(t("documents")).select("doc_id", "rank", "term", "weight")
+
+
+def _chunk_links(t) -> tuple[DataFrame, DataFrame]:
+    chunks = t("documents").select(F.col("doc_id").alias("id"), "text")
+    return chunks, testsets.shared_links(chunks, text.keyphrases(chunks, 8, "id").select("id", "term"))
+
+
+@query()
+def linked_chunks(t):
+    return _chunk_links(t)[1]
+
+
+@query()
+def multi_hop_questions(t):
+    chunks, links = _chunk_links(t)
+    rows = testsets.question_set(chunks, testsets.multi_hop_groups(links), providers.get("questions-offline", questions=3), providers.get("judge-offline"))
+    return rows.withColumn("split", testsets.split_of(F.array_join("contexts", ","))).groupBy("hops", "split").agg(F.count("*").alias("n"))
+
+
 @query(r"""with c as (select doc_id, text, unnest(case when length(text) > 0 then range(0, greatest(length(text) - 50 - 1, 0) + 1, 250) else [] end) as s from documents)
 select doc_id, (s / 250)::integer as chunk_id, regexp_replace(substring(text, s + 1, 300), '^\s+|\s+$', '', 'g') as chunk from c where regexp_replace(substring(text, s + 1, 300), '^\s+|\s+$', '', 'g') <> ''""")
 def chunk_char(t):
@@ -646,15 +705,31 @@ def budget_take(t):
 @query()
 def token_batches(t):
     d = t("documents").select("doc_id", F.size(text.words(F.col("text"))).alias("tokens"))
-    return retrieval.token_batches(d, 8000, "doc_id", shards=8).select("doc_id", "shard", "batch")
+    return retrieval.token_batches(d, 8000, "doc_id").select("doc_id", "shard", "batch")
 
 
-@query(r"""with d as (select doc_id, text, len(list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '')) as tokens, len(regexp_extract_all(text, '\bthe\b')) as score from documents),
-r as (select doc_id as id, score, sum(tokens) over (order by score desc, doc_id rows unbounded preceding) as running from d where score > 0)
-select id, score, running::bigint as running from r where running <= 8000""")
+@query(r"""with d as (select doc_id as id, unnest(string_split(regexp_replace(text, '([.?!])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1))) as point, generate_subscripts(string_split(regexp_replace(text, '([.?!])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), 1) - 1 as pos from documents),
+p as (select *, len(list_filter(regexp_split_to_array(point, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) as tokens, len(regexp_extract_all(point, '\bthe\b')) as score from d),
+r as (select id, pos, score, point, sum(tokens) over (order by score desc, id, pos rows unbounded preceding) as running from p where score > 0)
+select id, pos::integer as pos, score::integer as score, point, running::bigint as running from r where running <= 8000""")
 def global_search(t):
     d = t("documents").select(F.col("doc_id").alias("id"), "text", F.size(text.words(F.col("text"))).alias("tokens"))
-    return retrieval.global_search(d, lambda c: F.regexp_count(c, F.lit(r"\bthe\b")), shards=8).select("id", "score", "running")
+    return retrieval.global_search(d, lambda c: F.regexp_count(c, F.lit(r"\bthe\b"))).select("id", "pos", "score", "point", "running")
+
+
+@query(_FRIENDS + """, u as (select src, dst from f union all select dst, src from f), c as (select distinct user_id as id, user_id % 7 as community from events),
+f0 as (select 7 as id), n1 as (select dst as id, count(*) as n from u where src in (select id from f0) group by 1), f1 as (select id from n1 where id not in (select id from f0) order by n desc, id limit 5),
+v1 as (select id from f0 union all select id from f1), n2 as (select dst as id, count(*) as n from u where src in (select id from f1) group by 1), f2 as (select id from n2 where id not in (select id from v1) order by n desc, id limit 5),
+s as (select 0 as step, id from f0 union all select 1, id from f1 union all select 2, id from f2)
+select step, 'chunk' as kind, event_type as key, count(*) as hits from s join events on user_id = s.id group by all
+union all select step, 'report', 'report ' || community, count(*) from s join c using (id) group by all""")
+def drift_search(t):
+    events = t("events")
+    community = events.select(F.col("user_id").alias("id"), (F.col("user_id") % 7).alias("community")).distinct()
+    reports = community.select("community", F.concat(F.lit("report "), "community").alias("report")).distinct()
+    start = events.where("user_id = 7").select(F.col("user_id").alias("id")).distinct()
+    mentions = events.select(F.col("event_type").alias("chunk_id"), F.col("user_id").alias("entity"))
+    return retrieval.drift_search(start, _friends(t), mentions, community, reports, 2, 5)
 
 
 @query(_FRIENDS + ", u as (select src, dst from f union all select dst, src from f), near as (select 7 as id union select dst from u where src = 7) select event_type as chunk_id, count(*) as hits from events where user_id in (select id from near) group by 1")

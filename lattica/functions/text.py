@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.plans.lineage import cut
 from lattica.session import ship
 
 #: Separators of sentence splitting and of structural splitting, in order of preference (fixed values).
@@ -156,12 +157,114 @@ def semantic_chunks(docs: DataFrame, embed, percentile: float = 0.95, buffer: in
     return s.groupBy(key, "chunk_id").agg(F.array_join(parts, " ").alias("chunk"))
 
 
+#: A line that is a headline: marked as one, or short and without a sign that ends or divides a sentence.
+HEADLINE = r"^#{1,6}\s|^[^.!?:;,]{1,60}$"
+
+
 def headlines(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 500) -> DataFrame:
     """(key, section, headline, body, too_long): sections under headlines, which are '#' lines or short lines without an end mark."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    head = F.col("line").rlike(r"^#{1,6}\s|^[^.!?:;,]{1,60}$") & (trim_white(F.col("line")) != "")
+    head = F.col("line").rlike(HEADLINE) & (trim_white(F.col("line")) != "")
     w = Window.partitionBy(key).orderBy("pos")
     lines = lines.withColumn("head", head).withColumn("section", F.sum(F.col("head").cast("int")).over(w))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
     out = lines.groupBy(key, "section").agg(F.max(F.when(F.col("head"), F.col("line"))).alias("headline"), body.alias("body"))
     return out.withColumn("too_long", F.size(words(F.col("body"))) > most)
+
+
+def pack_sections(text: str, least: int = 100, most: int = 500) -> list[tuple[str | None, str, int]]:
+    """(headline, chunk, words) of a text: its sections packed in order, so that all but the last have least to most words.
+
+    A section begins with its headline. A chunk takes sections until it has `least` words; one that would then be above
+    `most` is cut there, and its rest goes on. A last chunk that is short joins the one before, if both fit. The headline
+    is that of the section the chunk begins in, null before the first.
+    """
+    out: list[tuple[str | None, list[str]]] = []
+    head, held, named = None, [], None
+
+    def close() -> None:
+        if held:
+            out.append((named, held[:]))
+            held.clear()
+
+    section: list[str] = []
+    sections: list[tuple[str | None, list[str]]] = []
+    for line in (text or "").split("\n"):
+        if line.strip() and re.match(HEADLINE, line):
+            sections.append((head, section))
+            head, section = line.strip(), []
+        section += [w for w in re.split(r"[ \t\n\x0B\f\r]+", line) if w]
+    for head, section in [*sections, (head, section)]:
+        at = 0
+        while at < len(section):
+            if not held:
+                named = head
+            took = section[at : at + most - len(held)]
+            held += took
+            at += len(took)
+            if len(held) == most:
+                close()
+        if len(held) >= least:
+            close()
+    close()
+    if len(out) > 1 and len(out[-1][1]) < least and len(out[-2][1]) + len(out[-1][1]) <= most:
+        out[-2:] = [(out[-2][0], out[-2][1] + out[-1][1])]
+    return [(h, " ".join(w), len(w)) for h, w in out]
+
+
+def chunk_by_headlines(docs: DataFrame, least: int = 100, most: int = 500, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, chunk_id, headline, chunk, tokens) by `pack_sections`, in Arrow batches."""
+    if not 0 < least <= most:
+        raise ValueError(f"least {least} must be positive and not above most {most}")
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("array<struct<headline: string, chunk: string, tokens: int>>")
+    def packs(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"headline": h, "chunk": c, "tokens": n} for h, c, n in pack_sections(t, least, most)])
+
+    return docs.select(key, F.posexplode(packs(F.col(text))).alias("chunk_id", "p")).select(key, "chunk_id", "p.headline", "p.chunk", "p.tokens")
+
+
+def term_weights(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = r"[a-z\x{df}-\x{ff}]{4,}") -> DataFrame:
+    """(key, term, tf, df, weight): tf * ln((1 + docs) / (1 + df)) of each term of each row, rounded to six digits.
+
+    Terms are matches in lower case. Each row is a document; a null or empty text has no terms. Document frequencies are
+    summed from the rows' own counts and joined back by term.
+    """
+    total = docs.count()
+    own = cut(docs.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
+    df = own.groupBy("term").agg(F.count("*").alias("df"))
+    return own.join(df, "term").select(key, "term", "tf", "df", F.round(F.col("tf") * F.log(F.lit(1.0 + total) / (1.0 + F.col("df"))), 6).alias("weight"))
+
+
+def keyphrases(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, rank, term, weight, df): the k terms of the largest weights; ties go to the first term."""
+    ranked = term_weights(docs, key, text).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("weight"), "term")))
+    return ranked.where(F.col("rank") <= k).select(key, "rank", "term", "weight", "df")
+
+
+def split_pieces(text: str | None, kind: str, size: int, overlap: int) -> list[str]:
+    """The pieces of one text by a splitter's kind, as the splitters of whole tables give them."""
+    _check(size, overlap)
+    if not text:
+        return []
+    if kind == "token":
+        w = [x for x in re.split(r"[ \t\n\x0B\f\r]+", text) if x]
+        return [" ".join(w[s : s + size]) for s in range(0, max(len(w) - overlap - 1, 0) + 1, size - overlap)] if w else []
+    if kind in ("sentence", "structure"):
+        return split_recursively(text, size, overlap, SENTENCE_SEPARATORS if kind == "sentence" else STRUCTURE_SEPARATORS)
+    if kind == "headline":
+        return [c for _, c, _ in pack_sections(text, max(1, overlap), size)]
+    raise ValueError(f"unknown splitter {kind!r}")
+
+
+def register_split_function(spark, name: str = "split_text", pieces: Callable[[str | None, str, int, int], list[str]] = split_pieces) -> None:
+    """Makes a splitter a table function of SQL: lateral split_text(text, kind, size, overlap) as (chunk_id, chunk)."""
+    ship(spark)
+
+    @F.udtf(returnType="chunk_id: int, chunk: string")
+    class Split:
+        def eval(self, text: str, kind: str, size: int, overlap: int):
+            yield from enumerate(pieces(text, kind.lower(), size, overlap))
+
+    spark.udtf.register(name, Split)

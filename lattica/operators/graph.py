@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,18 @@ class PropertyGraph:
         pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("n")) for c in names])).alias("p")
         return counts.select(pairs).where("p.n > 0").select("p.key")
 
+    def node_keys(self, properties: str | None = None) -> DataFrame:
+        """(id, keys): for each node the sorted names of the properties that are set on it.
+
+        These are the property columns that aren't null, and the keys with values of a map column `properties`.
+        """
+        names = [c for c in self.nodes.columns if c not in ("id", "labels", properties)]
+        keys = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in names])) if names else F.array().cast("array<string>")
+        if properties:
+            more = F.map_keys(F.map_filter(properties, lambda k, v: v.isNotNull()))
+            keys = F.concat(keys, F.coalesce(more, F.array().cast("array<string>")))
+        return self.nodes.select("id", F.array_sort(F.array_distinct(keys)).alias("keys"))
+
     def delete(self, ids: DataFrame, detach: bool = True) -> PropertyGraph:
         """Without the nodes in ids (id), and with detach without their edges; else edges that would dangle are an error."""
         gone = ids.select("id").distinct()
@@ -64,6 +76,62 @@ def merge_nodes(existing: DataFrame, new: DataFrame, keys: Sequence[str], order:
     return existing.unionByName(first.join(existing, list(keys), "left_anti"), allowMissingColumns=True)
 
 
+@dataclass(frozen=True)
+class Constraint:
+    """A key that is unique among the nodes of a label, if none of its properties is null; required: none may be null."""
+
+    label: str
+    keys: tuple[str, ...]
+    required: bool = False
+
+    def _checked(self, rows: DataFrame, single: Column) -> DataFrame:
+        """rows, or an error that names the key where single doesn't hold, as part of the plan that uses them."""
+        key = F.to_json(F.struct(*self.keys), {"ignoreNullFields": "false"})
+        null = reduce(Column.__or__, [F.col(k).isNull() for k in self.keys])
+        said = lambda what: F.raise_error(F.concat(F.lit(f"{self.label}({', '.join(self.keys)}) {what}: "), key)).cast("boolean")
+        fine = F.when(null, said("has a null") if self.required else F.lit(True)).when(single, F.lit(True)).otherwise(said("is not unique"))
+        return rows.where(fine)
+
+    def enforced(self, rows: DataFrame) -> DataFrame:
+        """rows, which fail to be computed if they break the constraint; one shuffle by the key, no second scan."""
+        place = F.row_number().over(Window.partitionBy(*self.keys).orderBy(F.lit(1)))
+        return self._checked(rows.withColumn("_place", place), F.col("_place") == 1).drop("_place")
+
+    def merge(self, existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
+        """`merge_nodes` by the key, which fails if existing nodes share one; old and new rows meet in one shuffle.
+
+        Nodes whose key has a null match nothing and stay, each by itself, unless the key is required.
+        """
+        null = reduce(Column.__or__, [F.col(k).isNull() for k in self.keys])
+        both = existing.withColumns({"_new": F.lit(False), "_order": F.lit(None).cast(new.schema[order].dataType)}).unionByName(new.withColumnRenamed(order, "_order").withColumn("_new", F.lit(True)), allowMissingColumns=True)
+        both = both.withColumn("_alone", F.when(null, F.monotonically_increasing_id()))
+        others = [c for c in both.columns if c not in (*self.keys, "_new", "_order", "_alone")]
+        first = [F.min_by(F.struct(*others), F.struct("_new", "_order")).alias("_first")] if others else []
+        merged = both.groupBy(*self.keys, "_alone").agg(F.count_if(~F.col("_new")).alias("_old"), *first)
+        return self._checked(merged, F.col("_old") <= 1).select(*[F.col(f"_first.{c}") if c in others else F.col(c) for c in both.columns if c not in ("_new", "_order", "_alone")])
+
+
+@dataclass(frozen=True)
+class Catalogue:
+    """The constraints that are declared for a graph, and merges and writes that keep them."""
+
+    constraints: tuple[Constraint, ...] = ()
+
+    def declare(self, label: str, *keys: str, required: bool = False) -> Catalogue:
+        return Catalogue((*self.constraints, Constraint(label, keys, required)))
+
+    def of(self, label: str) -> list[Constraint]:
+        return [c for c in self.constraints if c.label == label]
+
+    def merge(self, label: str, existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
+        """Nodes of a label merged by its first declared key; its other keys hold for what comes out."""
+        first, *others = self.of(label)
+        return reduce(lambda df, c: c.enforced(df), others, first.merge(existing, new, order))
+
+    def enforced(self, label: str, rows: DataFrame) -> DataFrame:
+        return reduce(lambda df, c: c.enforced(df), self.of(label), rows)
+
+
 def merge_with_actions(existing: DataFrame, new: DataFrame, key: str, on_create: dict[str, Column], on_match: dict[str, Column], always: dict[str, Column]) -> DataFrame:
     """Upsert by key: on_create columns for new keys, on_match ones for keys that were there, always for both; new is unique by key."""
     both = existing.withColumn("_had", F.lit(True)).join(new.select(key).distinct().withColumn("_came", F.lit(True)), key, "full_outer")
@@ -123,10 +191,9 @@ def create_nodes(existing: DataFrame | None, new: DataFrame) -> DataFrame:
 
 
 def connected(nodes: DataFrame, edges: DataFrame, direction: str = "any") -> DataFrame:
-    """nodes with an edge to whatever node: out, in, or any."""
-    ends = {"out": ["src"], "in": ["dst"], "any": ["src", "dst"]}[direction]
-    ids = [edges.select(F.col(c).alias("id")) for c in ends]
-    return nodes.join(ids[0].unionByName(ids[-1]), "id", "left_semi")
+    """(n)-[]-(): a row of nodes for each edge that it has to whatever node: out, in, or any, where a loop counts once."""
+    ends = {"out": edges.select(F.col("src").alias("id")), "in": edges.select(F.col("dst").alias("id")), "any": undirected(edges.select("src", "dst")).select(F.col("src").alias("id"))}
+    return nodes.join(ends[direction], "id")
 
 
 def pattern_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -167,6 +234,19 @@ def co_occurrence(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.join(b, "m").where("e1 <> e2").select("p", "m", "q")
 
 
+def co_occurrence_counts(edges: DataFrame) -> DataFrame:
+    """(p, q, n): how many pairs of different edges lead from p and from q to the same node, for all p and q.
+
+    Parallel edges are counted first, and each pair of nodes is met once; the other way round has the same count.
+    """
+    n = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    a, b = (n.select(F.col("src").alias(c), "dst", F.col("n").alias(f"n_{c}")) for c in "pq")
+    # of the n * n pairs of one node's edges n are an edge with itself
+    met = a.join(b, "dst").where("p <= q").groupBy("p", "q").agg(F.sum(F.col("n_p") * F.col("n_q") - F.when(F.col("p") == F.col("q"), F.col("n_p")).otherwise(0)).alias("n")).where("n > 0")
+    both = F.when(F.col("p") == F.col("q"), F.array(F.struct("p", "q"))).otherwise(F.array(F.struct("p", "q"), F.struct(F.col("q").alias("p"), F.col("p").alias("q"))))
+    return met.select(F.explode(both).alias("x"), "n").select("x.p", "x.q", "n")
+
+
 def paths(start: DataFrame, edges: DataFrame, least: int = 1, most: int = 3) -> DataFrame:
     """(start, finish, depth, edges): one row for each trail of least to most edges from start (id); no edge twice in one."""
     e = edges.select("src", "dst", "eid")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -72,11 +73,17 @@ def take_to_budget(rows: DataFrame, budget: int, by: Sequence[Column], tokens: s
     return dealt.join(F.broadcast(sums), "_range").withColumn("running", running).where(F.col("running") <= budget).drop("_range", "_before")
 
 
-def token_batches(rows: DataFrame, budget: int, key: str, tokens: str = "tokens", seed: int = 86, shards: int = 1) -> DataFrame:
+#: Rows that a shard of `token_batches` aims at.
+SHARD_ROWS = 100_000
+
+
+def token_batches(rows: DataFrame, budget: int, key: str, tokens: str = "tokens", seed: int = 86, shards: int | None = None) -> DataFrame:
     """rows with shard and batch: shuffled by a seeded hash, then packed greedily until the next row would exceed the budget.
 
-    Greedy packing is sequential, so each shard is packed by itself, in one pass over its sorted rows; more shards pack in parallel.
+    Greedy packing is sequential, so each shard is packed by itself, in one pass over its sorted rows; there are as many
+    shards as rows call for, or as are given.
     """
+    shards = shards or max(1, -(-rows.count() // SHARD_ROWS))
     shard = F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(shards)).cast("int")
     shuffled = rows.withColumn("shard", shard).withColumn("_o", F.xxhash64(key, F.lit(seed))).repartition("shard").sortWithinPartitions("shard", "_o", key)
 
@@ -99,11 +106,26 @@ def token_batches(rows: DataFrame, budget: int, key: str, tokens: str = "tokens"
     return shuffled.mapInArrow(pack, f"{fields}, batch int")
 
 
-def global_search(reports: DataFrame, rate: Callable[[Column], Column], map_budget: int = 8000, reduce_budget: int = 8000, shards: int = 1) -> DataFrame:
-    """The points that answer a question best: reports (id, text, tokens) are batched and rated, those above 0 sorted and taken to a budget."""
+def global_search(reports: DataFrame, rate: Callable[[Column], Column], map_budget: int = 8000, reduce_budget: int = 8000, shards: int | None = None) -> DataFrame:
+    """(id, pos, point, score, tokens, batch, running): the points that answer a question best, as far as a budget of tokens goes.
+
+    Map: reports (id, text, tokens) are put into batches of at most map_budget tokens, and each batch says its points, the
+    sentences of its reports with a rating above 0. Reduce: points of all batches in order of score, then id and place.
+    """
     batched = token_batches(reports, map_budget, "id", shards=shards)
-    rated = batched.withColumn("score", rate(F.col("text"))).where("score > 0")
-    return take_to_budget(rated, reduce_budget, [F.desc("score"), F.asc("id")])
+    batch = F.concat_ws("/", "shard", "batch").alias("batch")
+    said = batched.select("id", batch, F.posexplode(F.split("text", r"(?<=[.?!])\s+")).alias("pos", "point"))
+    points = said.withColumn("score", rate(F.col("point"))).where("score > 0").withColumn("tokens", F.size(F.filter(F.split("point", r"[ \t\n\x0B\f\r]+"), lambda w: w != "")).cast("long"))
+    return take_to_budget(points, reduce_budget, [F.desc("score"), F.asc("id"), F.asc("pos")])
+
+
+def reduced(points: DataFrame) -> DataFrame:
+    """One row with the context of a reduced answer: the points that `global_search` took, best first, one a line.
+
+    They are within its budget, so they fit into one row.
+    """
+    lines = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "pos", "point"))), lambda x: x["point"])
+    return points.agg(F.array_join(lines, "\n").alias("context"), F.count("*").alias("points"))
 
 
 def local_search(entities: DataFrame, edges: DataFrame, mentions: DataFrame, hops: int = 1) -> DataFrame:
@@ -115,8 +137,26 @@ def local_search(entities: DataFrame, edges: DataFrame, mentions: DataFrame, hop
     return mentions.join(near, mentions["entity"] == near["id"]).groupBy("chunk_id").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "chunk_id")
 
 
-def drift_search(entities: DataFrame, edges: DataFrame, mentions: DataFrame, community: DataFrame, reports: DataFrame, hops: int = 1) -> DataFrame:
-    """(kind, key, hits): local search's chunks, and the reports (community, report) of the communities that entities are in."""
-    local = local_search(entities, edges, mentions, hops).select(F.lit("chunk").alias("kind"), F.col("chunk_id").cast("string").alias("key"), "hits")
-    near = entities.select("id").join(community, "id").groupBy("community").agg(F.count("*").alias("hits")).join(reports, "community")
-    return local.unionByName(near.select(F.lit("report").alias("kind"), F.col("report").alias("key"), "hits"))
+def drift_search(entities: DataFrame, edges: DataFrame, mentions: DataFrame, community: DataFrame, reports: DataFrame, steps: int = 2, breadth: int = 10) -> DataFrame:
+    """(step, kind, key, hits): what a search finds that drifts along the graph from entities (id).
+
+    Each step counts the chunks that its frontier is mentioned in (mentions: chunk_id, entity) and the reports (community,
+    report) of its communities (id, community). Then it follows edges either way: the `breadth` entities not yet visited
+    that most edges of the frontier lead to, ties to the smaller id, are the next frontier. It ends after `steps`
+    follow-ups, or when nothing new is reached.
+    """
+    both = undirected(edges.select("src", "dst"))
+    frontier = cut(entities.select("id").distinct())
+    visited, found = frontier, []
+    for step in range(steps + 1):
+        chunks = mentions.join(frontier, mentions["entity"] == frontier["id"], "left_semi").groupBy(F.col("chunk_id").cast("string").alias("key")).agg(F.count("*").alias("hits"))
+        near = frontier.join(community, "id").groupBy("community").agg(F.count("*").alias("hits")).join(reports, "community")
+        found += [chunks.select(F.lit(step).alias("step"), F.lit("chunk").alias("kind"), "key", "hits"), near.select(F.lit(step), F.lit("report"), F.col("report").cast("string"), "hits")]
+        if step == steps:
+            break
+        reached = both.join(frontier, both["src"] == frontier["id"], "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+        frontier = cut(reached.join(visited, "id", "left_anti").orderBy(F.desc("n"), "id").limit(breadth).select("id"))
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier)
+    return reduce(DataFrame.unionByName, [f.toDF("step", "kind", "key", "hits") for f in found])

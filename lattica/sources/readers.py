@@ -12,10 +12,11 @@ from dataclasses import dataclass, fields
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.plans.lineage import cut
 from lattica.session import ship
 
 #: Columns of a disease-to-phenotype annotation file (a fixed format); all are text.
@@ -93,13 +94,26 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str, sep:
     return spark.read.schema(schema).option("header", header).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ord, line): the lines of text files, numbered from 0 by their place in their file.
+
+    Files are read in splits. A split's lines are counted, and prefix sums of the counts give each split its first
+    number, so no task reads a whole file that can be split. What is read is written once, so that splits stay.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    lines = cut(text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", r"\r$", "").alias("line")))
+    splits = lines.groupBy("path", "start").agg(F.count("*").alias("lines"), F.min("n").alias("first"))
+    before = F.sum("lines").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.withColumn("before", F.coalesce(before, F.lit(0)))
+    return lines.join(splits, ["path", "start"]).select("path", (F.col("before") + F.col("n") - F.col("first")).alias("ord"), "line")
+
+
 def read_headerless(spark: SparkSession, path: str, columns: Sequence[str], skip: int, sep: str = "\t") -> DataFrame:
-    """Text columns of a file without header after `skip` leading lines, with ord, the line's number.
+    """Text columns of files without header after `skip` leading lines, with ord, the line's number in its file (see `numbered_lines`).
 
-    Lines are numbered by their place in the file, not by the order in which tasks read them.
+    Empty lines count but give no row; empty fields and those that a line lacks are null.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line"))
-    parts = lines.where((F.col("ord") >= skip) & (F.col("line") != "")).select("ord", F.split("line", re.escape(sep)).alias("f"))
+    parts = numbered_lines(spark, path).where((F.col("ord") >= skip) & (F.col("line") != "")).select("ord", F.split("line", re.escape(sep)).alias("f"))
     return parts.select("ord", *[F.nullif(F.get("f", i), F.lit("")).alias(c) for i, c in enumerate(columns)])
 
 
@@ -126,6 +140,11 @@ def first_rows(df: DataFrame, n: int | None, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n) if n else df
 
 
+def load_if_empty(existing: DataFrame, load: Callable[[], DataFrame]) -> DataFrame:
+    """existing if it has rows, else what load gives; nothing is read from the source while there are rows."""
+    return load() if existing.isEmpty() else existing
+
+
 def count_lines(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).count()
 

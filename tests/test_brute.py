@@ -138,7 +138,8 @@ def test_community_reports_bottom_up(spark):
         assert any(r for _, _, _, r in want.values()) == (budget < 1000)
 
 
-def test_token_batches(spark):
+def test_token_batches(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SHARD_ROWS", 30)
     rows = catalogue.QUERIES["token_batches"](spark, SF).withColumn("o", F.xxhash64("doc_id", F.lit(86))).collect()
     tokens = {d: len([w for w in re.split(r"[ \t\n\x0b\f\r]+", t or "") if w]) for d, t in table(spark, "documents", "doc_id", "text")}
     assert sorted(r.doc_id for r in rows) == sorted(tokens)

@@ -4,9 +4,10 @@ import zipfile
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.operators.graph import PropertyGraph
-from lattica.sources import readers, sinks
+from lattica.sources import importers, readers, sinks
 from lattica.streaming.ingest import merge_stream, stream_table, windowed_counts
 
 
@@ -40,6 +41,86 @@ def test_delimited_and_annotations(spark, tmp_path):
     assert readers.first_rows(spark.range(5), 0, "id").count() == 5 and readers.first_rows(spark.range(5), 2, "id").count() == 2
 
 
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    files = {}
+    for name, end, n in (("a", "\n", 3000), ("b", "\r\n", 2000), ("one", "\n", 1)):
+        files[name] = [rng.choice(["", "é" * rng.randrange(9), "x\ty" * rng.randrange(1, 40)]) + str(i) * (i % 3) for i in range(n)]
+        (tmp_path / f"{name}.tsv").write_bytes((end.join(files[name]) + (end if name == "a" else "")).encode())
+    (tmp_path / "none.tsv").write_bytes(b"")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = readers.numbered_lines(spark, str(tmp_path))
+        found = {name: sorted((r["ord"], r["line"]) for r in got.where(F.col("path").endswith(f"/{name}.tsv")).collect()) for name in files}
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        skipped = readers.read_headerless(spark, f"{tmp_path}/a.tsv", ["p", "q"], 5).orderBy("ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for name, lines in files.items():
+        lines = lines[:-1] if lines[-1] == "" else lines  # a file doesn't tell an empty last line
+        assert found[name] == list(enumerate(lines))
+    want = [(i, *(v or None for v in [*line.split("\t"), ""][:2])) for i, line in enumerate(files["a"]) if i >= 5 and line]
+    assert [tuple(r) for r in skipped] == want
+
+
+_TWICE = """
+import sys
+from dataclasses import dataclass
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+from lattica.sources import importers
+
+@dataclass(frozen=True)
+class Fails(importers.FolderStore):
+    always: bool = False
+
+    def stage(self, attempt, number, rows):
+        super().stage(attempt, number, rows)
+        context = TaskContext.get()
+        if context.partitionId() == 1 and number == 1 and (self.always or context.attemptNumber() == 0):
+            raise RuntimeError("lost after the second batch")
+
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[1] + "/cp").getOrCreate()
+df = spark.range(0, 95, 1, 4).selectExpr("id", "'é' as name")
+importers.register_importer("fails", Fails)
+to = importers.import_rows(df, "FAILS", batch=10, run="one", folder=sys.argv[1] + "/a")
+rows = [line for f in to.files() for line in open(f, encoding="utf-8")]
+assert len(rows) == len(set(rows)) == 95, len(rows)
+staged = sum(len(files) for _, _, files in __import__("os").walk(sys.argv[1] + "/a/staged"))
+assert staged > len(to.files())  # what the failed attempt wrote is there, and not published
+importers.import_rows(df.limit(0), "folder", folder=sys.argv[1] + "/a", run="none")
+assert len(to.files()) == len([f for f in to.files()]) and len([line for f in to.files() for line in open(f)]) == 95
+try:
+    importers.import_rows(df, "fails", batch=10, folder=sys.argv[1] + "/b", always=True)
+    raise SystemExit("must fail")
+except Exception as e:
+    assert "lost after" in str(e), e
+assert importers.FolderStore(sys.argv[1] + "/b").files() == []
+one = importers.import_rows(df.limit(3), "folder", "transaction", folder=sys.argv[1] + "/c")
+assert len(one.files()) == 3
+"""
+
+
+def test_a_retried_task_writes_once(tmp_path):
+    subprocess.run([sys.executable, "-c", _TWICE, str(tmp_path)], cwd=Path(__file__).parents[1], check=True, timeout=200)
+
+
+def test_importers(spark, tmp_path):
+    with pytest.raises(ValueError):
+        importers.import_rows(spark.range(1), "none")
+    with pytest.raises(ValueError):
+        importers.import_rows(spark.range(1), "folder", "other", folder=str(tmp_path))
+    g = PropertyGraph(spark.createDataFrame([(1, ["A"]), (2, ["B"])], "id int, labels array<string>"), spark.createDataFrame([(1, 2, "T")], "src int, dst int, type string"))
+    done = importers.import_graph(g, "folder", lambda part: {"folder": f"{tmp_path}/{part}"})
+    assert [len([line for f in s.files() for line in Path(f).read_text().splitlines()]) for s in done.values()] == [2, 1]
+    loaded = []
+    assert readers.load_if_empty(spark.range(3), lambda: loaded.append(1)).count() == 3 and not loaded
+    assert readers.load_if_empty(spark.range(0), lambda: spark.range(2)).count() == 2
+
+
 def test_ontology(spark, tmp_path):
     (tmp_path / "o.owl").write_text("""<rdf:RDF xmlns:rdf="r" xmlns:rdfs="s" xmlns:owl="o">
 <owl:Class rdf:about="http://x/obo/HP_1"><rdfs:label>Root</rdfs:label></owl:Class>
@@ -74,9 +155,6 @@ def test_sinks(spark, tmp_path):
     assert readers.load_run_table(spark, f"{tmp_path}/run", "t").count() == 1
     with pytest.raises(FileNotFoundError):
         readers.load_run_table(spark, f"{tmp_path}/run", "none")
-    assert sinks.store(spark.range(25), lambda rows: None, batch=10) == 25
-    with pytest.raises(ValueError):
-        sinks.store(spark.range(1), lambda rows: None, "other")
 
 
 def test_stream_merges_once(spark, tmp_path):
