@@ -618,6 +618,13 @@ def prune_edges(t):
     return g.edges.groupBy("type").agg(F.count("*").alias("n"))
 
 
+@query("select 'c:' || o_custkey as id, string_agg(distinct o_orderstatus, ' ' order by o_orderstatus) as description from orders group by o_custkey")
+def merge_subgraph_nodes(t):
+    nodes = t("orders").select(F.col("o_custkey").cast("string").alias("name"), F.lit("c").alias("kind"), F.col("o_orderstatus").alias("description"))
+    edges = t("orders").select(F.col("o_custkey").alias("src"), F.col("o_orderstatus").alias("type"), F.col("o_orderpriority").alias("dst"))
+    return graph.merge_subgraphs(nodes, edges).nodes.select("id", "description")
+
+
 @query("select o_custkey as src, o_orderstatus as type, o_orderpriority as dst, count(*) as weight from orders group by all")
 def merge_subgraphs(t):
     nodes = t("orders").select(F.col("o_custkey").cast("string").alias("name"), F.lit("c").alias("kind"), F.col("o_orderstatus").alias("description"))
@@ -834,25 +841,66 @@ def metric_experiment(t):
 
 
 # three questions for each chunk, about its sentences in turn
-@query(r"""with w as (select item_id, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') as t from benchmark),
+_QUESTIONS = r"""with w as (select item_id, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') as t from benchmark),
 c as (select t, unnest(case when len(t) > 0 then range(0, greatest(len(t) - 50 - 1, 0) + 1, 250) else [] end) as s from w),
 k as (select s // 250 as chunk_id, array_to_string(list_slice(t, s + 1, s + 300), ' ') as chunk from c),
 l as (select *, list_filter(string_split(regexp_replace(chunk, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as said, unnest([0, 1, 2]) as m from k),
 q as (select *, said[m % len(said) + 1] as answer from l)
 select ['Global', 'Local Direct', 'One Fact'][m + 1] as question_type, 'offline' as source, 'What is said about ' || array_to_string(list_slice(string_split(answer, ' '), 1, 3), ' ') || '?' as question,
-answer, 'reader 1' as persona, 'task 1' as task, chunk_id::integer as chunk_id, chunk, null::varchar as file_path from q""")
+answer, 'reader 1' as persona, 'task 1' as task, chunk_id::integer as chunk_id, chunk, null::varchar as file_path from q"""
+
+
+@query(_QUESTIONS)
 def qa_library(t):
     return rag.question_library(t("benchmark").select(F.col("item_id").alias("doc_id"), "text"), providers.get("questions-offline", questions=3)).drop("retrieved_contexts")
 
 
-@query("select 'Human' as question_type, case when item_id % 2 = 0 then 'human' else 'expert' end as source, text as question from benchmark")
+@query("select question_type, source, question from (" + _QUESTIONS + ") union all select 'Human', case when item_id % 2 = 0 then 'human' else 'expert' end, text from benchmark")
 def qa_union_human(t):
     b = t("benchmark")
     human = b.select(F.lit("Human").alias("question_type"), F.when(F.col("item_id") % 2 == 0, "").otherwise("expert").alias("source"), F.col("text").alias("question"))
-    rows = rag.question_library(b.select(F.col("item_id").alias("doc_id"), "text").limit(0), providers.get("questions-offline"), human=human)
+    rows = rag.question_library(b.select(F.col("item_id").alias("doc_id"), "text"), providers.get("questions-offline", questions=3), human=human)
     return rows.select("question_type", "source", "question")
 
 
+@query("""select o_custkey::varchar as subject, o_orderstatus as claim, o_orderkey as doc_id, o_orderdate::date as since, case when o_orderstatus = 'F' then o_orderdate::date end as until from orders""")
+def claims(t):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    said = F.struct(F.col("o_custkey").cast("string").alias("subject"), F.col("o_orderstatus").alias("claim"), day.alias("since"), F.when(F.col("o_orderstatus") == "F", day).otherwise("still open").alias("until"))
+    return rag.claims(t("orders").select(F.col("o_orderkey").alias("doc_id"), F.to_json(F.struct(F.array(said).alias("claims"))).alias("reply")))
+
+
+@query("""with p as (select a.vec_id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as c, string_split(lower(x.p_name), ' ') as s, string_split(lower(y.p_name), ' ') as r
+from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 join part x on x.p_partkey = a.vec_id join part y on y.p_partkey = b.vec_id),
+f as (select vec_id, c, 2.0::double * list_sum(list_transform(list_distinct(s), lambda w: least(len(list_filter(s, lambda v: v = w)), len(list_filter(r, lambda v: v = w))))) / (len(s) + len(r)) as f1 from p)
+select vec_id, round(0.75 * f1 + 0.25 * c, 6) as value from f""")
+def answer_correctness(t):
+    v, p = t("embeddings").select("vec_id", "embedding"), t("part").select("p_partkey", "p_name")
+    pairs = v.withColumnRenamed("embedding", "a").join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    named = pairs.join(p.select(F.col("p_partkey").alias("vec_id"), F.col("p_name").alias("answer")), "vec_id").join(p.select((F.col("p_partkey") - 1).alias("vec_id"), F.col("p_name").alias("reference")), "vec_id")
+    return named.select("vec_id", F.round(metrics.answer_correctness(F.col("answer"), F.col("reference"), F.col("a"), F.col("b")), 6).alias("value"))
+
+
+@query(r"""with t as (select conv_id, turn, role, text, lead(text) over (partition by conv_id order by turn) as after from conversations)
+select conv_id, turn, 'Question: ' || text || chr(10) || 'Expected: ' || role || chr(10) || 'Answer: ' || coalesce(after, '') || chr(10) || 'Contexts:' || chr(10) || case when after is null then '(no contexts retrieved)' else text || chr(10) || '---' || chr(10) || after end as prompt from t""")
+def judge_prompts(t):
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = t("conversations").select("conv_id", "turn", "role", "text", after.alias("after"))
+    contexts = F.when(F.col("after").isNull(), F.array().cast("array<string>")).otherwise(F.array("text", "after"))
+    return rows.select("conv_id", "turn", rag.judge_prompt(F.col("text"), F.col("role"), F.coalesce("after", F.lit("")), contexts).alias("prompt"))
+
+
+@query(r"""with s as (select conv_id, turn, text, lead(text) over (partition by conv_id order by turn) as after from conversations),
+x as (select conv_id, turn, after, unnest(list_filter(string_split(regexp_replace(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '([.?!])\s+', '' || chr(1), 'g'), chr(1)), lambda w: w <> '')) as said from s where after is not null),
+w as (select conv_id, turn, list_distinct(regexp_extract_all(lower(said), '[\p{L}\p{N}_]+')) as need, regexp_extract_all(lower(after), '[\p{L}\p{N}_]+') as have from x)
+select conv_id, turn, round(avg((len(need) > 0 and 2 * len(list_filter(need, lambda v: list_contains(have, v))) > len(need))::integer::double), 6) as value from w group by all""")
+def judged_faithfulness(t):
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = t("conversations").select("conv_id", "turn", F.col("role").alias("user_input"), F.col("text").alias("response"), F.array_compact(F.array(after)).alias("retrieved_contexts"))
+    found = rag.judged_faithfulness(rows, providers.get("propositions-offline"), providers.get("verdict-offline"))
+    return found.where("error is null").select("conv_id", "turn", F.round("value", 6).alias("value"))
+
+
 @query()
 def rag_evaluation(t):
     docs = t("benchmark").select(F.col("item_id").alias("doc_id"), "text")

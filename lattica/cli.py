@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica import providers
 from lattica.functions.metrics import evaluation_summary
-from lattica.plans import rag
+from lattica.plans import rag, testsets
 from lattica.sources import readers, sinks
 
 
@@ -30,6 +30,7 @@ def main(words: Sequence[str] | None = None, spark: SparkSession | None = None)
     choose.add_argument("path")
     choose.add_argument("--sample", type=int, default=10)
     choose.add_argument("--model", default="generate-offline")
+    choose.add_argument("--split", choices=["train", "test", "validation"], help="rows of one split, by a column split or else by a hash of id")
     for p in (ask, judge, choose):
         p.add_argument("--run", required=True, help="the run's folder")
     a = parser.parse_args(words)
@@ -44,7 +45,10 @@ def main(words: Sequence[str] | None = None, spark: SparkSession | None = None)
         run.log_table("evaluation", rows)
         run.log_metrics(evaluation_summary(rows).first().asDict())
     else:
-        results, accuracy = rag.multiple_choice_benchmark(spark.read.parquet(a.path), providers.get(a.model), a.sample)
+        samples = spark.read.parquet(a.path)
+        if a.split:
+            samples = samples.where((F.col("split") if "split" in samples.columns else testsets.split_of(F.col("id"))) == a.split)
+        results, accuracy = rag.multiple_choice_benchmark(samples, providers.get(a.model), a.sample)
         run.log_table("answers", results)
         run.log_metrics(accuracy.first().asDict())
     run.end()

@@ -58,7 +58,6 @@ def answer_correctness(answer: Column, reference: Column, a_vec: Column, r_vec:
     return f1_weight * token_f1(answer, reference) + (1 - f1_weight) * F.coalesce(cosine(a_vec, r_vec), F.lit(0.0))
 
 
-
 def parse_judge(reply: Column) -> Column:
     """A struct of two scores and reasons from a judge's JSON; what is missing or malformed is null."""
     part = lambda k, f: F.get_json_object(reply, f"$.{k}.{f}")
@@ -71,11 +70,15 @@ def parse_judge(reply: Column) -> Column:
 def normalise_reply(payload: Column) -> Column:
     """contexts (array<string>), answer and token counts of a retrieval endpoint's JSON.
 
-    Contexts are the first of contexts, documents, results that is there, or the payload itself if it is a list; an
-    item is its content, else its text, else itself. Without an answer the first context is it, or ''.
+    Contexts are the first of contexts, documents, results whose key is there, even with null, or the payload itself if
+    it is a list; an item is its content, else its text, else itself. Without an answer the first context is it, or ''.
+    Anything else than JSON is an empty answer (see `plain_as_json` for models that reply in plain text).
     """
     field = lambda k: F.get_json_object(payload, f"$.{k}")
-    raw = F.coalesce(field("contexts"), field("documents"), field("results"), F.when(payload.rlike(r"^\s*\["), payload), F.lit("[]"))
+    keys, listed = F.json_object_keys(payload), payload.rlike(r"^\s*\[")
+    raw = F.when(listed, payload)
+    for k in ("contexts", "documents", "results"):
+        raw = raw.when(F.array_contains(keys, k), field(k))
     items = F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>"))
     text = F.transform(items, lambda x: F.coalesce(F.nullif(F.get_json_object(x, "$.content"), F.lit("")), F.nullif(F.get_json_object(x, "$.text"), F.lit("")), x))
     count = lambda k: F.coalesce(F.get_json_object(payload, f"$.token_usage.{k}").try_cast("long"), F.lit(0)).alias(k)
@@ -83,6 +86,11 @@ def normalise_reply(payload: Column) -> Column:
     return F.struct(text.alias("contexts"), answer.alias("answer"), count("prompt_tokens"), count("completion_tokens"), count("total_tokens"))
 
 
+def plain_as_json(reply: Column) -> Column:
+    """A reply that is no JSON object or list as the answer of one."""
+    return F.when(F.json_object_keys(reply).isNull() & ~reply.rlike(r"^\s*\["), F.to_json(F.struct(reply.alias("answer")))).otherwise(reply)
+
+
 def mcq_prompt(question: Column, options: Column) -> Column:
     """The question and its lettered options; E only where it isn't empty."""
     lines = [F.when(F.coalesce(options[k], F.lit("")) != "", F.concat(F.lit(f"{k}) "), options[k])) if k == "E" else F.concat(F.lit(f"{k}) "), F.coalesce(options[k], F.lit(""))) for k in CHOICES]
@@ -143,3 +151,18 @@ def validated(*required: Column) -> Column:
     for c in reversed(required):
         out = F.when(c.isNull() | (F.length(c.cast("string")) == 0), F.lit("missing input")).otherwise(out)
     return out
+
+
+def input_error(*required: str) -> Column:
+    """'<column> is missing' for the first of the required text or array columns that is null or empty; null if all are there."""
+    out = F.lit(None).cast("string")
+    for c in reversed(required):
+        given = F.col(c)
+        out = F.when(given.isNull() | (F.length(given.cast("string")) == 0) | (given.cast("string") == "[]"), F.lit(f"{c} is missing")).otherwise(out)
+    return out
+
+
+def verdict(reply: Column) -> Column:
+    """1 or 0 of a judge's reply {"verdict": ...}; one that can't be read, or says something else, is 0."""
+    said = F.lower(F.get_json_object(reply, "$.verdict"))
+    return F.when(said.isin("1", "1.0", "true", "yes"), 1).otherwise(0)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica import providers
-from lattica.functions.metrics import mcq_accuracy, mcq_choice, mcq_prompt, normalise_reply, parse_judge
+from lattica.functions.metrics import context_precision, faithfulness, input_error, mcq_accuracy, mcq_choice, mcq_prompt, normalise_reply, parse_judge, plain_as_json, verdict
 from lattica.functions.text import STRUCTURE_SEPARATORS, chunk, chunk_recursively, or_default, semantic_chunks, words
 from lattica.operators.graph import PropertyGraph, resolve, triplets_to_graph
 from lattica.operators.retrieval import normalised, top_k
@@ -64,18 +64,20 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, embedder: provider
     return said.select("question", reply.alias("reply"), "said.latency_ms")
 
 
-def evaluate(questions: DataFrame, rag: providers.Provider | DataFrame, judge: providers.Provider) -> DataFrame:
+def evaluate(questions: DataFrame, rag: providers.Provider | DataFrame, judge: providers.Provider, worded: bool = False) -> DataFrame:
     """Each question (question, answer, and the columns of a question set) answered and judged.
 
-    rag: a provider that replies in JSON, or the answers themselves (see `answer_questions`). A provider's time is measured.
+    rag: a provider that replies in JSON or with a plain answer, or the answers themselves (see `answer_questions`). A
+    provider's time is measured. The judge is asked in JSON, or, if worded, by `judge_prompt`.
     """
     ship(questions.sparkSession)
     if isinstance(rag, DataFrame):
         asked = questions.join(rag, "question")
     else:
-        asked = questions.withColumn("said", providers.timed(rag)(F.col("question"))).withColumn("reply", normalise_reply(F.col("said.reply"))).withColumn("latency_ms", F.col("said.latency_ms"))
+        asked = questions.withColumn("said", providers.timed(rag)(F.col("question"))).withColumn("reply", normalise_reply(plain_as_json(F.col("said.reply")))).withColumn("latency_ms", F.col("said.latency_ms"))
     asked = cut(asked)
-    said = asked.select("*", F.to_json(F.struct("question", F.col("answer").alias("truth"), F.col("reply.answer").alias("answer"), F.col("reply.contexts").alias("contexts"))).alias("prompt"))
+    data = F.to_json(F.struct("question", F.col("answer").alias("truth"), F.col("reply.answer").alias("answer"), F.col("reply.contexts").alias("contexts")))
+    said = asked.withColumn("prompt", judge_prompt(F.col("question"), F.col("answer"), F.col("reply.answer"), F.col("reply.contexts")) if worded else data)
     judged = cut(said.withColumn("j", parse_judge(providers.column(judge)(F.col("prompt")))))
     total = F.col("reply.prompt_tokens") + F.col("reply.completion_tokens")
     return judged.select(
@@ -91,6 +93,41 @@ def judge_prompt(question: Column, truth: Column, answer: Column, contexts: Colu
     return F.concat(F.lit("Question: "), question, F.lit("\nExpected: "), truth, F.lit("\nAnswer: "), answer, F.lit("\nContexts:\n"), joined)
 
 
+def _judged(parts: DataFrame, judge: providers.Provider, statement: str, context: Column) -> DataFrame:
+    """(row, verdicts): the verdicts of each row's parts (row, pos, statement), in order."""
+    asked = F.to_json(F.struct(F.col(statement).alias("statement"), context.alias("context")))
+    said = cut(parts.withColumn("reply", providers.column(judge)(asked)))
+    order = F.array_sort(F.collect_list(F.struct("pos", verdict(F.col("reply")).alias("v"))))
+    return said.groupBy("row").agg(F.transform(order, lambda x: x["v"]).alias("verdicts"))
+
+
+def judged_context_precision(rows: DataFrame, judge: providers.Provider) -> DataFrame:
+    """rows (user_input, reference, retrieved_contexts, ...) with verdicts, value and error.
+
+    A judge says of each context, by itself, whether it helps to arrive at the reference. A row that lacks one of the
+    three inputs has the error that names the first and no value.
+    """
+    ship(rows.sparkSession)
+    known = cut(rows.withColumns({"row": F.monotonically_increasing_id(), "error": input_error("user_input", "reference", "retrieved_contexts")}))
+    parts = known.where("error is null").select("row", "reference", F.posexplode("retrieved_contexts").alias("pos", "context"))
+    out = known.join(_judged(parts, judge, "reference", F.col("context")), "row", "left").withColumn("value", F.when(F.col("error").isNull(), context_precision(F.col("verdicts"))))
+    return out.select(*rows.columns, "verdicts", "value", "error")
+
+
+def judged_faithfulness(rows: DataFrame, statements: providers.Provider, judge: providers.Provider) -> DataFrame:
+    """rows (user_input, response, retrieved_contexts, ...) with statements, verdicts, value and error.
+
+    A response is taken apart into statements, and a judge says of each whether the contexts support it. Without
+    statements the value is NaN; a row that lacks one of the three inputs has the error that names the first and no value.
+    """
+    ship(rows.sparkSession)
+    known = rows.withColumns({"row": F.monotonically_increasing_id(), "error": input_error("user_input", "response", "retrieved_contexts")})
+    known = cut(known.withColumn("statements", F.when(F.col("error").isNull(), F.coalesce(F.from_json(providers.column(statements)(F.col("response")), "struct<propositions: array<string>>")["propositions"], F.array().cast("array<string>")))))
+    parts = known.select("row", "retrieved_contexts", F.posexplode("statements").alias("pos", "statement"))
+    judged = known.join(_judged(parts, judge, "statement", F.array_join("retrieved_contexts", "\n")), "row", "left").withColumn("verdicts", F.when(F.col("error").isNull(), F.coalesce("verdicts", F.array().cast("array<int>"))))
+    return judged.withColumn("value", F.when(F.col("error").isNull(), faithfulness(F.col("verdicts")))).select(*rows.columns, "statements", "verdicts", "value", "error")
+
+
 def discrete_metric(rows: DataFrame, judge: providers.Provider, allowed: tuple[str, ...] = ("pass", "fail")) -> DataFrame:
     """rows (answer, reference, ...) with score, null where a judge says what isn't allowed."""
     ship(rows.sparkSession)
@@ -108,6 +145,34 @@ def lexical_graph(docs: DataFrame, chunks: DataFrame) -> PropertyGraph:
     return PropertyGraph(nodes, edges.unionByName(c.where("next is not null").select(F.col("id").alias("src"), F.lit("NEXT_CHUNK").alias("type"), F.col("next").alias("dst"))))
 
 
+def listed_propositions(chunks: DataFrame, propositions: providers.Provider) -> DataFrame:
+    """(doc_id, segment, pos, proposition): what a provider takes from chunks (doc_id, chunk_id, chunk), with their places; replies that can't be read give none."""
+    ship(chunks.sparkSession)
+    said = cut(chunks.withColumn("reply", providers.column(propositions)(F.col("chunk"))))
+    return said.select("doc_id", F.col("chunk_id").alias("segment"), F.posexplode(F.from_json("reply", "struct<propositions: array<string>>")["propositions"]).alias("pos", "proposition"))
+
+
+def kg_pipeline(docs: DataFrame, embedder: providers.Provider, triplets: providers.Provider, types: tuple[str, ...] | None = None, size: int = 200, overlap: int = 20) -> PropertyGraph:
+    """The lexical graph of docs (doc_id, text) with embeddings on its chunks, and the entities found in them.
+
+    Documents and chunks are linked by FROM_DOCUMENT and NEXT_CHUNK, entities to their chunks by FROM_CHUNK. types: a
+    schema's relationship types; others are pruned, and entities that only they named. Entities of one name are one.
+    """
+    ship(docs.sparkSession)
+    chunks = cut(chunk(docs, "token", size, overlap).withColumns({"embedding": providers.column(embedder)(F.col("chunk")), "reply": providers.column(triplets)(F.col("chunk"))}))
+    lexical = lexical_graph(docs, chunks)
+    chunk_id = F.concat_ws("#", "doc_id", "chunk_id")
+    told = chunks.select(chunk_id.alias("chunk"), F.explode(F.from_json("reply", "struct<triplets: array<array<string>>>")["triplets"]).alias("triplet")).where(F.size("triplet") == 3)
+    if types is not None:
+        told = told.where(F.upper(F.replace(F.get("triplet", 1), F.lit(" "), F.lit("_"))).isin(*types))
+    told = cut(told)
+    entities, _ = triplets_to_graph(told)
+    entities = resolve(entities, ["name"])
+    came = told.select(F.explode(F.array(F.get("triplet", 0), F.get("triplet", 2))).alias("src"), F.lit("FROM_CHUNK").alias("type"), F.col("chunk").alias("dst")).distinct()
+    nodes = lexical.nodes.join(chunks.select(chunk_id.alias("id"), "embedding"), "id", "left")
+    return PropertyGraph(nodes.unionByName(entities.nodes, allowMissingColumns=True), lexical.edges.unionByName(entities.edges).unionByName(came))
+
+
 def knowledge_graph(docs: DataFrame, embedder: providers.Provider, propositions: providers.Provider, triplets: providers.Provider, size: int = 2000, overlap: int = 200) -> tuple[PropertyGraph, DataFrame]:
     """The resolved entity graph of docs (doc_id, text), with MENTIONS edges from chunks, and the replies that couldn't be read.
 
@@ -115,9 +180,10 @@ def knowledge_graph(docs: DataFrame, embedder: providers.Provider, propositions:
     """
     ship(docs.sparkSession)
     chunks = chunk_recursively(docs, size, overlap, STRUCTURE_SEPARATORS)
-    said = cut(chunks.withColumn("reply", providers.column(propositions)(F.col("chunk"))))
-    listed = said.select(F.concat_ws("#", "doc_id", "chunk_id").alias("doc_id"), F.array_join(F.from_json("reply", "struct<propositions: array<string>>")["propositions"], " ").alias("text"))
-    groups = semantic_chunks(listed.where("text <> ''"), providers.column(embedder))
+    listed = listed_propositions(chunks, propositions)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "proposition"))), lambda x: x["proposition"])
+    joined = listed.groupBy(F.concat_ws("#", "doc_id", "segment").alias("doc_id")).agg(F.array_join(ordered, " ").alias("text"))
+    groups = semantic_chunks(joined.where("text <> ''"), providers.column(embedder))
     told = cut(groups.withColumn("reply", providers.column(triplets)(F.col("chunk"))).withColumn("t", F.from_json("reply", "struct<triplets: array<array<string>>>")["triplets"]))
     rows = told.where("t is not null").select("doc_id", F.explode("t").alias("triplet"))
     graph, bad = triplets_to_graph(rows)

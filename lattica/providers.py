@@ -135,6 +135,20 @@ class PassFailJudge:
         return out
 
 
+class VerdictJudge:
+    """JSON {"verdict": 1} if a context has most of the words of a statement, else 0; takes JSON with statement and context."""
+
+    returns = "string"
+
+    def call(self, texts: list[str]) -> list[str]:
+        out = []
+        for t in texts:
+            x = json.loads(t)
+            need, have = (set(re.findall(r"\w+", str(x.get(k) or "").lower())) for k in ("statement", "context"))
+            out.append(json.dumps({"verdict": int(bool(need) and 2 * len(need & have) > len(need))}))
+        return out
+
+
 class GraphTransformer:
     """JSON {"nodes": [...], "relationships": [[s, type, o], ...]} of a text, from its triplets."""
 
@@ -192,6 +206,7 @@ _registry: dict[str, Callable[..., Provider]] = {
     "questions-offline": QuestionWriter,
     "judge-offline": OverlapJudge,
     "passfail-offline": PassFailJudge,
+    "verdict-offline": VerdictJudge,
     "graph-offline": GraphTransformer,
     "http": HttpRetriever,
 }

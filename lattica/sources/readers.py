@@ -6,6 +6,7 @@ import configparser
 import io
 import os
 import re
+import sys
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, fields
@@ -188,3 +189,15 @@ class Settings:
                 raise ValueError(f"unknown option {word!r}")
             found[m[1]] = m[2]
         return cls(**{f.name: int(found[f.name] or 0) if f.name == "encrypted" else found[f.name] for f in fields(cls) if f.name in found})
+
+    @classmethod
+    def from_command_line(cls, words: Sequence[str], environment: dict[str, str] | None = None, ini: str = "") -> Settings:
+        """`load` for a program: -h or --help says what there is and exits with 0, an unknown option exits with 2; no words, no parsing."""
+        if any(w in ("-h", "--help") for w in words):
+            print("options: " + " ".join(f"--{f.name}=VALUE" for f in fields(cls)))
+            raise SystemExit(0)
+        try:
+            return cls.load(words, environment, ini)
+        except ValueError as e:
+            print(e, file=sys.stderr)
+            raise SystemExit(2) from e

@@ -2,6 +2,8 @@ import http.server
 import json
 import threading
 
+import pytest
+
 from lattica import providers
 from lattica.cli import main
 from lattica.plans import rag
@@ -16,6 +18,14 @@ def test_runs(spark, tmp_path):
     spark.createDataFrame([(1, "Context: B", {"A": "x", "B": "y"}, "B")], "id int, question string, options map<string,string>, correct string").write.parquet(f"{tmp_path}/mcq")
     main(["benchmark", f"{tmp_path}/mcq", "--run", f"{tmp_path}/run"], spark)
     assert load_run_table(spark, f"{tmp_path}/run", "answers").count() == 1
+    judged = load_run_table(spark, f"{tmp_path}/run", "evaluation").first()
+    assert judged.rag_answer != "" and judged.answer_correctness_score > 0  # a plain reply is an answer
+    spark.createDataFrame([(i, "Context: B", {"A": "x", "B": "y"}, "B", ["train", "test", "test"][i % 3]) for i in range(9)], "id int, question string, options map<string,string>, correct string, split string").write.parquet(f"{tmp_path}/splits")
+    main(["benchmark", f"{tmp_path}/splits", "--run", f"{tmp_path}/test", "--split", "test", "--sample", "0"], spark)
+    assert load_run_table(spark, f"{tmp_path}/test", "answers").count() == 6
+    with pytest.raises(SystemExit) as e:
+        main(["benchmark", "x", "--run", "y", "--split", "other"], spark)
+    assert e.value.code == 2
 
 
 def test_http_retriever():

@@ -136,6 +136,11 @@ def test_settings():
     assert got == readers.Settings("cli", "env", "", 1)
     with pytest.raises(ValueError):
         readers.Settings.load(["--what=1"])
+    for words, code in ((["-h"], 0), (["--uri=x", "--help"], 0), (["--what=1"], 2), (["word"], 2)):
+        with pytest.raises(SystemExit) as e:
+            readers.Settings.from_command_line(words)
+        assert e.value.code == code
+    assert readers.Settings.from_command_line([]) == readers.Settings()
 
 
 def test_sinks(spark, tmp_path):

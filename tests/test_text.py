@@ -106,3 +106,40 @@ def test_providers(spark):
     assert rag.golden_set(docs, providers.get("questions-offline", questions=5)).count() == 2
     community = g.nodes.where("name is not null").select("id", F.lit(1).alias("community"))
     assert rag.community_reports(g, community, providers.get("generate-offline")).count() == 1
+
+
+def test_verdicts_and_errors(spark):
+    kind = "user_input string, reference string, response string, retrieved_contexts array<string>"
+    rows = [("q", "tea is hot", "Tea is hot. Ice is red.", ["tea is very hot", "cold", "no"]), (None, "r", "r", ["c"]), ("q", "", "", ["c"]), ("q", "r", "r", []), ("q", "none such words", " ", ["a"])]
+    df = spark.createDataFrame(rows, kind)
+    got = rag.judged_context_precision(df, providers.get("verdict-offline")).collect()
+    assert {(r.error, tuple(r.verdicts or ()), r.value) for r in got} == {(None, (1, 0, 0), 0.9999999999), ("user_input is missing", (), None), ("reference is missing", (), None), ("retrieved_contexts is missing", (), None), (None, (0,), 0.0)}
+    got = {(r.error, tuple(r.statements or ()), tuple(r.verdicts or ()), str(r.value)) for r in rag.judged_faithfulness(df, providers.get("propositions-offline"), providers.get("verdict-offline")).collect()}
+    assert got == {(None, ("Tea is hot.", "Ice is red."), (1, 0), "0.5"), ("user_input is missing", (), (), "None"), ("response is missing", (), (), "None"), ("retrieved_contexts is missing", (), (), "None"), (None, (), (), "nan")}
+
+
+def test_endpoint_keys_decide_by_presence(spark):
+    said = ['{"contexts": null, "documents": ["d"]}', '{"documents": ["d"], "results": ["r"]}', '{"results": [{"content": "", "text": "t"}]}', '["x"]', "plain words", '{"answer": "a"}', None]
+    got = [tuple(r.r)[:2] for r in spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").select("i", metrics.normalise_reply(F.col("s")).alias("r")).orderBy("i").collect()]
+    assert got == [([], ""), (["d"], "d"), (["t"], "t"), (["x"], "x"), ([], ""), ([], "a"), ([], "")]
+
+
+def test_propositions_keep_their_places(spark):
+    chunks = spark.createDataFrame([(1, 0, "A b c. D e f."), (1, 1, "G h i."), (2, 0, "")], "doc_id int, chunk_id int, chunk string")
+    assert sorted(map(tuple, rag.listed_propositions(chunks, providers.get("propositions-offline")).collect())) == [(1, 0, 0, "A b c."), (1, 0, 1, "D e f."), (1, 1, 0, "G h i.")]
+
+
+def test_kg_pipeline(spark):
+    docs = spark.createDataFrame([(1, "Anna knows Bert. Bert likes tea."), (2, "Anna likes tea.")], "doc_id int, text string")
+    make = lambda **o: rag.kg_pipeline(docs, *map(providers.get, ("embed-offline", "triplets-offline")), size=3, overlap=0, **o)
+    edges = {tuple(r) for r in make().edges.collect()}
+    assert edges == {
+        ("1#0", "FROM_DOCUMENT", "1"), ("1#1", "FROM_DOCUMENT", "1"), ("2#0", "FROM_DOCUMENT", "2"), ("1#0", "NEXT_CHUNK", "1#1"),
+        ("Anna", "KNOWS", "Bert"), ("Bert", "LIKES", "tea"), ("Anna", "LIKES", "tea"),
+        ("Anna", "FROM_CHUNK", "1#0"), ("Bert", "FROM_CHUNK", "1#0"), ("Bert", "FROM_CHUNK", "1#1"), ("tea", "FROM_CHUNK", "1#1"), ("Anna", "FROM_CHUNK", "2#0"), ("tea", "FROM_CHUNK", "2#0"),
+    }
+    g = make(types=("KNOWS",))
+    assert {(r.src, r.dst) for r in g.of_type("KNOWS", "LIKES").collect()} == {("Anna", "Bert")}
+    assert {r.id: r.embedding is not None for r in g.nodes.collect()} == {"1": False, "2": False, "1#0": True, "1#1": True, "2#0": True, "Anna": False, "Bert": False}
+    worded = rag.evaluate(spark.createDataFrame([("q", "a", "t", "s", "p", "k", "1")], "question string, answer string, question_type string, source string, persona string, task string, chunk_id string"), providers.get("generate-offline"), providers.get("generate-offline"), worded=True).first()
+    assert worded.rag_answer == "q" and worded.answer_correctness_score is None
