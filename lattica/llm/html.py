@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,7 +40,8 @@ PARTS = frozenset("ul ol dl table figure blockquote details".split())
 NAMED = ("article", "main")
 BLOCKS = CONTAINERS | frozenset("body p h1 h2 h3 h4 h5 h6 br hr li dt dd tr td th caption thead tbody tfoot pre address figcaption summary option html head title legend".split())
 ASIDE = frozenset("nav footer aside form menu dialog".split())
-SILENT = frozenset("script style noscript template textarea iframe svg select button head title object canvas audio video map datalist".split())
+RAW = frozenset("script style noscript template textarea iframe svg title".split())
+SILENT = RAW | frozenset("select button object canvas audio video map datalist".split())
 MARKS = frozenset(
     """ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner cookie cookies consent
     gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar sidebars side
@@ -51,19 +53,76 @@ NEUTRAL = frozenset("area articles bar block body box button buttons container c
 HEADS = frozenset("header masthead topbar banner head".split())
 COMMENTS = frozenset("comment comments reply replies respond responses disqus discussion".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|noscript|iframe|template|svg)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<[!?/][^>]*+>|</?[a-zA-Z][^>]*+>",
-    re.S | re.I,
-)
+_SPECIAL, _TAG = re.compile(r"[>\"']"), re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_ENDS = {t: re.compile(rf"</{t}\s*>" if t in RAW else rf"<(/?){t}(?=[\s/>])", re.I) for t in SILENT}
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"[^\s.#/]+")
 
 
+def markup(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, whether it ends one, attributes) of each piece of markup; tag is '' for comments and the like.
+
+    A silent element is one piece, if it ends; one that has no end tag, or another of its kind before that, is its tag
+    only (script and style go to the end of the page). Each place is looked at a bounded number of times, whatever a page
+    leaves open: what was found not to end is kept.
+    """
+    special = [m.start() for m in _SPECIAL.finditer(source)]
+    last = {q: source.rfind(q) for q in "\"'"}
+    dead: set[int] = set()  # quotes from which no end of a tag is reached
+    endless: set[str] = set()
+
+    def closed(at: int) -> int:
+        """The place of the '>' that ends a tag, where quotes hide it; if they are left open, the next one; -1 without any."""
+        i, passed = bisect_left(special, at), []
+        while i < len(special):
+            p = special[i]
+            if source[p] == ">":
+                return p
+            passed.append(p)
+            if p in dead or last[source[p]] == p:
+                break
+            i = bisect_left(special, source.find(source[p], p + 1) + 1)
+        dead.update(passed)
+        return source.find(">", at)
+
+    def silenced(tag: str, at: int) -> int:
+        """Where a silent element ends whose tag ends at `at`."""
+        end = None if tag in endless else _ENDS[tag].search(source, at)
+        if end is None:
+            endless.add(tag)
+            return len(source) if tag in ("script", "style") else at
+        if tag in RAW:
+            return end.end()
+        return source.find(">", end.end()) + 1 or len(source) if end[1] else at
+
+    at = source.find("<")
+    while at >= 0:
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            end = len(source) if end < 0 else end + 3
+            yield at, end, "", False, ""
+        elif m := _TAG.match(source, at):
+            stop = closed(m.end())
+            if stop < 0:  # no tag ends any more
+                return
+            end, tag, attrs = stop + 1, m[2].lower(), source[m.end() : stop]
+            if tag in SILENT:
+                if not m[1] and not (tag == "svg" and attrs.endswith("/")):
+                    end = silenced(tag, end)
+                tag = "hr"  # sets what stands around it apart
+            yield at, end, tag, bool(m[1]), attrs
+        elif source.startswith(("<!", "<?", "</"), at):
+            end = source.find(">", at) + 1
+            if not end:
+                return
+            yield at, end, "", False, ""
+        else:
+            end = at + 1
+        at = source.find("<", end)
+
+
 def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(text)} if text.strip() else {}
 
@@ -98,8 +157,6 @@ class Page:
         stack = [("", 0, False)]  # tag, container, set aside
         opened: Counter[str] = Counter()
         piece: list[str] = []
-        quiet = 0  # depth in silent elements that may nest
-
         def end() -> None:
             if piece:
                 text = " ".join(html.unescape("".join(piece)).split())
@@ -108,31 +165,22 @@ class Page:
                     self.blocks.append((text, stack[-1][1]))
 
         at = 0
-        for m in _TOKEN.finditer(source):
-            if m.start() > at and not quiet:
-                piece.append(source[at : m.start()])
-            at = m.end()
-            if not (tag := m["tag"]):
-                continue
-            tag = tag.lower()
-            if tag in SILENT:
-                end()
-                quiet = max(0, quiet - 1) if m["end"] else quiet + (not m["attrs"].endswith("/"))
-                continue
-            if tag == "body":
-                quiet = 0
+        for start, stop, tag, ends, said in markup(source):
+            if start > at:
+                piece.append(source[at:start])
+            at = stop
             if tag not in BLOCKS:
                 continue
             end()
             if tag not in CONTAINERS:
                 continue
-            if m["end"]:
+            if ends:
                 if opened[tag]:
                     while (last := stack.pop()[0]) != tag:
                         opened[last] -= 1
                     opened[tag] -= 1
             else:
-                attrs = attributes(m["attrs"])
+                attrs = attributes(said)
                 _, parent, aside = stack[-1]
                 names = sorted({_DIGITS.sub("#", x) for k in ("class", "id") for x in _NAME.findall(attrs.get(k, ""))})
                 self.paths.append(path_of(self.paths[parent], ".".join([tag, *names])))
@@ -142,8 +190,7 @@ class Page:
                 opened[tag] += 1
                 away = aside or set_aside(tag, attrs, self.named[parent]) or self.paths[-1] in static and not self.named[-1]
                 stack.append((tag, len(self.paths) - 1, away))
-        if not quiet:
-            piece.append(source[at:])
+        piece.append(source[at:])
         end()
 
     def summed(self, of) -> list[int]:
