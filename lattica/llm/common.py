@@ -35,6 +35,13 @@ def row_key(key: str, text: str) -> Column:
     return F.struct(F.col(key).isNull().alias("none"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
 
 
+def hash_sample(rows: DataFrame, order: Column, size: int, n: int) -> DataFrame:
+    """The `size` rows with the smallest 64-bit hash `order`, of about n; hashes far above what so many have are left out before the sort."""
+    share = (2 * size + 200) / max(n, 1)
+    some = rows if share >= 1 else rows.where(order < F.lit(-(1 << 63) + int(share * 2**64)))
+    return some.orderBy(order).limit(size)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, so that every bit of a 64-bit name depends on every bit of the input."""
     x = x ^ (x >> np.uint64(30))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.chosen_path import Forest
 from lattica.operators.algorithms import components
+from lattica.llm.common import hash_sample
 from lattica.plans.lineage import cut
 
 COSINE = 0.93
@@ -38,11 +39,12 @@ _ROUNDING = 1e-5
 
 @dataclass
 class Index:
-    """centres: of the lists; words[s]: the codewords of subspace s; cuts: where subspaces begin and end."""
+    """centres: of the lists; words[s]: the codewords of subspace s; cuts: where subspaces begin and end; gaps: distances between centres."""
 
     centres: np.ndarray
     words: list[np.ndarray]
     cuts: np.ndarray
+    gaps: np.ndarray
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -63,7 +65,7 @@ def fit(vectors: np.ndarray, n: int, subspaces: int = SUBSPACES, codewords: int
     centres = k_means(vectors, lists)
     left = vectors - centres[nearest(vectors, centres)[0]]
     cuts = np.linspace(0, vectors.shape[1], min(subspaces, vectors.shape[1]) + 1).astype(int)
-    return Index(centres, [k_means(left[:, a:z], codewords) for a, z in zip(cuts[:-1], cuts[1:])], cuts)
+    return Index(centres, [k_means(left[:, a:z], codewords) for a, z in zip(cuts[:-1], cuts[1:])], cuts, np.sqrt(nearest(centres, centres)[1]))
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +85,7 @@ def encode(index: Index, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.
 def probes(index: Index, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """Which lists can hold a vector within reach of each query: those whose border with the query's own list is as near; and all squared distances."""
     own, d = nearest(x, index.centres)
-    gap = np.sqrt(np.maximum(0, ((index.centres[:, None] - index.centres[None]) ** 2).sum(2)))
-    return d - d[np.arange(len(x)), own][:, None] <= 2 * (reach + _ROUNDING) * gap[own] + _ROUNDING, d
+    return d - d[np.arange(len(x)), own][:, None] <= 2 * (reach + _ROUNDING) * index.gaps[own] + _ROUNDING, d
 
 
 def lookup_tables(index: Index, queries: np.ndarray) -> list[np.ndarray]:
@@ -138,7 +139,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, sample: int = SAMPLE)
     classes = cut(good.groupBy(*key).agg(F.min("v").alias("r"), F.count("*").alias("weight"), F.xxhash64("label", "e").alias("h")))
     indexes: dict[int, Index] = {}
     for dim, n in classes.groupBy("dim").count().collect():
-        some = classes.where(F.col("dim") == dim).select("h", "e").orderBy("h").limit(sample).toArrow()
+        some = hash_sample(classes.where(F.col("dim") == dim).select("h", "e"), F.col("h"), sample, n).toArrow()
         indexes[dim] = fit(_unit(_matrix(some["e"], dim)), n)
     shared = spark.sparkContext.broadcast(indexes)
     reach = math.sqrt(2 - 2 * cosine)
