@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.llm.common import hash_sample
 from lattica.plans.lineage import cut
 
 WORDS = 5
@@ -77,9 +78,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), estimate))
 
 
-def _borders(keys: DataFrame, buckets: int) -> DataFrame:
-    """One row (one, coarse, fine): sorted keys that part the keys (_key) into about so many equal buckets, in two levels."""
-    sample = keys.orderBy(F.xxhash64("_key")).limit(SAMPLED * buckets).agg(F.sort_array(F.collect_list("_key")).alias("s"))
+def _borders(keys: DataFrame, buckets: int, n: int) -> DataFrame:
+    """One row (one, coarse, fine): sorted keys that part the n keys (_key) into about so many equal buckets, in two levels."""
+    sample = hash_sample(keys, F.xxhash64("_key"), SAMPLED * buckets, n).agg(F.sort_array(F.collect_list("_key")).alias("s"))
     side = max(1, round(buckets**0.5))
     step = F.greatest(F.lit(1), F.floor(F.size("s") / buckets))
     borders = sample.select(F.filter("s", lambda x, i: i % step == 0).alias("s"))
@@ -95,8 +96,9 @@ def with_next(docs: DataFrame, more: Callable[[DataFrame], DataFrame], columns:
     descending order of their texts' hashes; of equal rows all but one are followed by a copy. A null id is less than all others.
     """
     docs = docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
-    buckets = max(1, min(BUCKETS, docs.count() // bucket))
-    borders = F.broadcast(_borders(docs.select("_key"), buckets))  # one row of at most BUCKETS keys
+    n = docs.count()
+    buckets = max(1, min(BUCKETS, n // bucket))
+    borders = F.broadcast(_borders(docs.select("_key"), buckets, n))  # one row of at most BUCKETS keys
     above = lambda keys: F.size(F.filter(keys, lambda x: x <= F.col("_key")))
     dealt = docs.withColumn("_one", F.lit(1)).join(borders, "_one").withColumn("_c", above(F.col("coarse")))
     dealt = dealt.withColumn("_bucket", F.when(F.col("_c") == 0, 0).otherwise((F.col("_c") - 1) * F.col("side") + above(F.get("fine", F.col("_c") - 1))))
