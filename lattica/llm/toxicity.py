@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import CHUNK_BYTES, lower_ascii, string_buffers
+from lattica.llm.common import CHUNK_BYTES, hash_sample, lower_ascii, string_buffers
+from lattica.plans.lineage import cut
 
 #: Labelled rows that the classifier is fitted on, at most; they are chosen by a hash of their ids.
 LABELLED = 60_000
@@ -253,8 +254,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, labelled: int = L
     of an id the highest counts, for all its rows, and each repeated row is a text. Without any label, as with empty tables,
     every text has the score 0.5 or less.
     """
-    sample = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = {r[0]: r[1] for r in sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()}
+    told_of = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    told_of = cut(told_of)
+    known = {r[0]: r[1] for r in hash_sample(told_of, F.xxhash64("doc_id"), labelled, told_of.count()).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def told(batch: pa.RecordBatch, kind: int) -> Iterator[dict[str, int]]:
