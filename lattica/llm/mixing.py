@@ -55,15 +55,17 @@ def water_fill(sources: DataFrame, share: float = 1.5, most: float = 2.0) -> Dat
     return s.select("source", "source_size", "weight", F.least("full", F.coalesce(F.col("level") * F.col("weight"), F.col("full"))).alias("target"))
 
 
-def mix(sized: DataFrame, weights=cycle_weights, share: float = 1.5, most: float = 2.0, seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
+def mix(sized: DataFrame, weights=cycle_weights, share: float = 1.5, most: float = 2.0, seed: int = 0, buckets: int = BUCKETS, tie: str | None = None) -> DataFrame:
     """sized (doc_id, source, size, and any more columns) with source_size, target and taken.
 
     weights: adds a column weight to a table of sources. taken counts the words that the mix takes of a row, repeats
     counted: size times the whole epochs of its source, and in the last epoch size, a part of it, or 0. Sources' sums
     of taken are their targets, rounded down. Sizes of 0 take 0; a null source is a source like the others; equal rows
-    take as many words as their places in the order give, in any order among themselves. Column names of sized stay.
+    take as many words as their places in the order give, in any order among themselves. Column names of sized stay, but for `tie`, a
+    column that tells rows of one doc_id (or none) and size apart.
     """
-    order = F.xxhash64(F.col("doc_id"), F.lit(seed), F.col("size"))
+    more = [tie] if tie else []
+    order = F.xxhash64(F.col("doc_id"), F.lit(seed), F.col("size"), *more)
     keyed = sized.withColumn("_key", order).withColumn("_bucket", F.shiftrightunsigned(F.col("_key"), 64 - (buckets - 1).bit_length()).cast("int"))
     parts = keyed.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
     sources = water_fill(weights(parts.groupBy("source").agg(F.sum("_words").alias("source_size"))), share, most)
@@ -71,17 +73,17 @@ def mix(sized: DataFrame, weights=cycle_weights, share: float = 1.5, most: float
     starts = parts.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_start"))
     starts = starts.join(sources.withColumnRenamed("source", "_s2"), F.col("_s").eqNullSafe(F.col("_s2")))
     rows = keyed.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
     place = F.col("_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     epochs = F.coalesce(F.try_divide(F.floor("target"), F.col("source_size")).cast("long"), F.lit(0))
     rest = F.floor("target").cast("long") - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - place))
-    return rows.withColumn("taken", taken.cast("long")).select(*sized.columns, "source_size", "target", "taken")
+    return rows.withColumn("taken", taken.cast("long")).select(*[c for c in sized.columns if c != tie], "source_size", "target", "taken")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of docs (doc_id, source, text); sizes are computed once."""
-    return mix(cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))), **options)
+    return mix(cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"))), tie="_tie", **options)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -90,8 +92,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A text without words is in no epoch. Columns and their names stay those of docs; only the text of a row at a cut is
     shorter (and n_chars, if docs has it, is the length of what is left).
     """
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = mix(sized, **options)
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = mix(sized, tie="_tie", **options)
     takes = F.transform(F.sequence(F.lit(1), F.ceil(F.try_divide("taken", "size")).cast("int")), lambda i: F.least(F.col("size"), F.col("taken") - (i - 1) * F.col("size")))
     rows = rows.where("taken > 0").select("row", "size", F.explode(takes).alias("words"))
     first = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
