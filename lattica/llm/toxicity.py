@@ -52,7 +52,7 @@ _DOUBLE = re.compile(r"(.)\1")
 _EDGE_LETTER = re.compile(r"[$@](?![$@])\w|.*\w[$@]$")
 #: Signs of a token that are decoded together; a longer one is split at signs, and what has none into overlapping parts.
 _TOGETHER = 40
-#: Letters that a word has at least to be found inside such a part.
+#: Letters that a word has at least to be found inside what a suspicious token was restored to, however long that is.
 _INSIDE = 6
 _WILD = "*#%"
 _SPLIT = re.compile(r"[^\w@$!|+*#%€£¡]+|_+")
@@ -167,6 +167,8 @@ class Model:
     def __post_init__(self) -> None:
         # a feature of a word begins with the word's first letters, so most words need no look at all
         self.heads = {f.lstrip("=")[: PREFIXES[0]] for f in self.weights}
+        # decoding may take a doubled letter for noise
+        self.within = [(_DOUBLE.sub(r"\1", f[1:]), w) for f, w in self.weights.items() if f[0] == "=" and len(f) > _INSIDE]
 
     def best(self, word: str) -> float:
         if word[: PREFIXES[0]] not in self.heads:
@@ -177,7 +179,9 @@ class Model:
         return [x for x in prefixes(word) if x in self.stems] if word[: PREFIXES[0]] in self.heads else []
 
     def inside(self, letters: str) -> float:
-        return max((w for f, w in self.weights.items() if f[0] == "=" and len(f) > _INSIDE and f[1:] in letters), default=0.0)
+        """The largest weight of a word in the letters that a token was restored to; doubled letters count as one."""
+        single = _DOUBLE.sub(r"\1", letters)
+        return max((w for word, w in self.within if word in single), default=0.0)
 
     def weigh(self, token: str) -> tuple[float, str, list[str]]:
         """The weight of a token's telling feature, 0 if it has none, its word, and the word's stems; suspicious tokens are restored first."""
@@ -196,7 +200,7 @@ class Model:
                     found = max(found, self.best(part), self.best(_DOUBLE.sub(r"\1", part)))
                 if 2 < len(part) and any(map(str.isalpha, part)) and (not part.isalpha() or _LONG_RUN.search(part) or len(form) > _TOGETHER):
                     letters = restore(part, self.characters, self.table)
-                    found = max(found, self.best(letters), self.inside(letters) if len(part) == _TOGETHER < len(form) else 0.0)
+                    found = max(found, self.best(letters), self.inside(letters))
                     if some := self.stems_of(letters):
                         word, stems = letters, some
         return found, word, stems

@@ -1,5 +1,6 @@
 """What a task or a call may take: malformed pages, distances of centres, samples, ties of the mix."""
 
+import os
 import time
 import tracemalloc
 
@@ -73,3 +74,23 @@ def test_mix_of_texts_without_ids_does_not_depend_on_partitions(spark):
     runs = [sorted(map(str, mixed_documents(docs.repartition(n, order)).collect())) for n, order in ((1, "text"), (7, "n_chars"), (5, "source"))]
     assert runs[0] == runs[1] == runs[2]
     assert mix_documents(docs).columns == ["doc_id", "source", "size", "source_size", "target", "taken"]
+
+
+def test_pipeline_stage_keeps_a_clashing_column(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 11, "mine"), (2, "a b c d e f", "en", "s", 11, "too"), (3, None, "en", "s", 0, "none")], "doc_id long, text string, lang string, source string, n_chars long, _row string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and sorted((r.doc_id, r._row) for r in kept.collect()) == [(1, "mine"), (3, "none")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_a_disguised_word_is_found_inside_tokens_of_any_length(spark):
+    from lattica.llm import toxicity
+
+    sf = "/root/testdata/sf0.01"
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    word = max((f[1:] for f in model.weights if f[0] == "=" and len(f) > 8), key=lambda w: model.weights["=" + w])
+    disguised = word.replace("a", "4").replace("e", "3").replace("i", "1").replace("o", "0").replace("s", "$")
+    scores = [model.score("zq" * n + disguised + "qz" * n) for n in (1, 4, 9, 14, 30)]
+    assert disguised != word and min(scores) > 0.5 and max(scores) - min(scores) < 1e-9
