@@ -26,7 +26,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without the runs of lines that occur earlier; n_chars is that of the new text."""
+    """All rows, without the runs of lines that occur earlier; n_chars is that of the new text.
+
+    Earlier is a smaller doc_id (null last), of equal ids a smaller hash of the text. Null and empty texts stay what they
+    are, an empty table stays empty, and repeated rows are all kept, with equal texts.
+    """
     return deduplicated(docs)
 
 
@@ -36,18 +40,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of a group's rows that share the smallest doc_id one stays, by a hash; a null doc_id counts as larger than all others.
     """
     # the number of a row tells equal rows apart; it is written, so that all readers have the same
-    rows = cut(docs.withColumn("_row", F.struct(row_key("doc_id", "text").alias("key"), F.monotonically_increasing_id().alias("n"))))
-    kept = similar(rows.select(F.col("_row").alias("d"), "text")).where("d = class_id").select("d")
-    return rows.join(kept, rows["_row"] == kept["d"], "left_semi").select(*docs.columns)
+    name = "_row" + "_" * max(map(len, docs.columns))  # no column of docs has so long a name
+    rows = cut(docs.withColumn(name, F.struct(row_key("doc_id", "text").alias("key"), F.monotonically_increasing_id().alias("n"))))
+    kept = similar(rows.select(F.col(name).alias("d"), "text")).where("d = class_id").select("d")
+    return rows.join(kept, rows[name] == kept["d"], "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources at their target weights; a row of a second epoch is a row again."""
+    """The mix of sources at their target weights; a row of a second epoch is a row again.
+
+    The order is by hashes of doc_id, number of words and text, so that rows that share an id, or have none, are mixed
+    alike in every run. Null sources are one source; null and empty texts, without words, are in no epoch. An empty table
+    stays empty.
+    """
     return mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): the token ids of each text and the digest of their decoding."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): the token ids of each text and the digest of their decoding.
+
+    One row for each row, whatever ids or texts repeat. A null or empty text has no tokens; texts of any length are
+    encoded whole, and an empty table gives an empty one.
+    """
     import public_tokenizers
 
     return bpe_encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
