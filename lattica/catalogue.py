@@ -263,10 +263,9 @@ def detach_delete(t):
     return left.of_type("F", "O").groupBy("src").agg(F.count("*").alias("n"))
 
 
-@query("select c_custkey as id from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey as id from customer where not exists (select 1 from events where user_id = c_custkey)")
 def unused_nodes(t):
-    g = _people(t)
-    used = graph.add_label(g.nodes, g.edges.select(F.col("src").alias("id")), "Used")
+    used = graph.add_label(_people(t).nodes, t("events").select(F.col("user_id").alias("id")), "Used")
     return used.where(~F.array_contains("labels", "Used") & F.array_contains("labels", "Customer")).select("id")
 
 
@@ -297,10 +296,11 @@ def constraint_merge(t):
     return declared.merge("Habit", old, rows.select("person", "kind", "id", F.lit(True).alias("created"), F.col("id").alias("o")), "o")
 
 
-@query("select * from (values ('name'), ('balance')) v(key)")
+@query("""select key from (select unnest(['name', 'balance', 'debt', 'never']) as key, unnest([count(c_name), count(c_acctbal), count(case when c_acctbal < -1000000 then 1 end), 0]) as n from customer) where n > 0""")
 def property_keys(t):
-    nodes = t("customer").select(F.col("c_custkey").alias("id"), F.array(F.lit("Customer")).alias("labels"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.lit(None).cast("string").alias("never"))
-    return graph.PropertyGraph(nodes, t("orders").limit(0)).property_keys()
+    debt = F.when(F.col("c_acctbal") < -1_000_000, F.col("c_acctbal")).alias("debt")
+    nodes = t("customer").select(F.col("c_custkey").alias("id"), F.array(F.lit("Customer")).alias("labels"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), debt, F.lit(None).cast("string").alias("never"))
+    return graph.PropertyGraph(nodes, t("orders")).property_keys()
 
 
 @query("select c_custkey as id, case when c_mktsegment = 'MACHINERY' then null else c_name end as name, case when c_acctbal > 5000 then 'rich' end as tier from customer")
@@ -319,9 +319,8 @@ def write_back_counts(t):
 
 @query("select 'orders' as name, count(*) = 0 as empty from orders union all select 'urgent returns', count(*) = 0 from orders where o_orderpriority = 'none of these'")
 def emptiness_probe(t):
-    o = t("orders")
-    rows = [("orders", graph.is_empty(o)), ("urgent returns", graph.is_empty(o.where("o_orderpriority = 'none of these'")))]
-    return o.sparkSession.createDataFrame(rows, "name string, empty boolean")
+    probe = lambda name, rows: rows.limit(1).agg((F.count("*") == 0).alias("empty")).select(F.lit(name).alias("name"), "empty")
+    return probe("orders", t("orders")).unionByName(probe("urgent returns", t("orders").where("o_orderpriority = 'none of these'")))
 
 
 @query("select c_custkey as id from customer join orders on o_custkey = c_custkey where o_orderstatus = 'P'")
@@ -688,18 +687,18 @@ def vector_graph_expand(t):
 
 
 @query("""with v as (select vec_id, label, embedding::double[] as e from embeddings)
-select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 6) as score from v a join v b on a.label = b.label and a.vec_id < b.vec_id where round(list_cosine_similarity(a.e, b.e), 6) >= 0.9""")
+select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 6) as score from v a join v b on a.label = b.label and a.vec_id < b.vec_id where round(list_cosine_similarity(a.e, b.e), 6) >= 0.35""")
 def near_dup_pairs(t):
     v = retrieval.normalised(t("embeddings"), "vec_id", "embedding").join(t("embeddings").select("vec_id", "label"), "vec_id")
-    return retrieval.similar_pairs(v.withColumnRenamed("vec_id", "id"), 0.9, "label")
+    return retrieval.similar_pairs(v.withColumnRenamed("vec_id", "id"), 0.35, "label")
 
 
-@query("""with recursive v as (select vec_id, label, embedding::double[] as e from embeddings), p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where round(list_cosine_similarity(a.e, b.e), 6) >= 0.9),
+@query("""with recursive v as (select vec_id, label, embedding::double[] as e from embeddings), p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where round(list_cosine_similarity(a.e, b.e), 6) >= 0.35),
 reach(id, seen) as (select vec_id, vec_id from v union select reach.id, p.b from reach join p on p.a = reach.seen)
 select id, min(seen) as representative from reach group by 1""")
 def similarity_resolution(t):
     v = retrieval.normalised(t("embeddings"), "vec_id", "embedding").join(t("embeddings").select("vec_id", "label"), "vec_id")
-    return retrieval.merge_similar(v.withColumnRenamed("vec_id", "id"), 0.9, "label")
+    return retrieval.merge_similar(v.withColumnRenamed("vec_id", "id"), 0.35, "label")
 
 
 @query("""with d as (select doc_id, n_chars, (doc_id * 7) % 10 as score, sum(n_chars) over (order by (doc_id * 7) % 10 desc, doc_id rows unbounded preceding) as running from documents where (doc_id * 7) % 10 > 0)
