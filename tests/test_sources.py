@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.operators.graph import PropertyGraph
-from lattica.sources import importers, readers, sinks
+from lattica.sources import formats, importers, readers, sinks
 from lattica.streaming.ingest import merge_stream, stream_table, windowed_counts
 
 
@@ -31,6 +31,29 @@ def test_readers_by_extension(spark, tmp_path):
     assert readers.count_lines(spark, f"{tmp_path}/a.TXT") == 2
 
 
+def test_documents_as_a_data_source(spark, tmp_path, monkeypatch):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.TXT").write_text("héllo\nworld")
+    (tmp_path / "sub/n.note").write_bytes(b"upper")
+    (tmp_path / "x.bin").write_bytes(b"\x00")
+    with zipfile.ZipFile(tmp_path / "sub/d.docx", "w") as z:
+        w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+        z.writestr("word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>One</w:t></w:r></w:p><w:p><w:r><w:t>Two</w:t></w:r></w:p></w:body></w:document>")
+    monkeypatch.setattr(formats, "TASK_BYTES", 10)
+    formats.register_formats(spark, more={".NOTE": lambda content, joiner: content.decode().upper()})
+    read = spark.read.format("lattica_files")
+    got = read.load(str(tmp_path))
+    assert {(r.filename, r.text) for r in got.collect()} == {("a.TXT", "héllo\nworld"), ("n.note", "UPPER"), ("d.docx", "One\nTwo")}
+    parts = formats._Reader(str(tmp_path), "*", "", formats.FORMATS).partitions()
+    assert [len(x.names) for x in parts] == [1, 1]  # ten bytes are a task's share here
+    spark.sql(f"create or replace temporary view notes using lattica_files options (path '{tmp_path}', pattern '*.docx', joiner ' / ')")
+    assert [r.text for r in spark.sql("select text from notes").collect()] == ["One / Two"]
+    assert [r.text for r in read.load(f"{tmp_path}/a.TXT").collect()] == ["héllo\nworld"]
+    assert read.load(str(tmp_path / "sub"), pattern="none*").count() == 0
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        read.load(f"{tmp_path}/none").collect()
+
+
 def test_delimited_and_annotations(spark, tmp_path):
     (tmp_path / "t.csv").write_text('id,note\n007,"two\nlines, ""quoted"""\n')
     assert tuple(readers.read_table(spark, f"{tmp_path}/t.csv", "id string, note string").first()) == ("007", 'two\nlines, "quoted"')
