@@ -122,6 +122,20 @@ def chunk(docs: DataFrame, kind: str, size: int = 300, overlap: int = 50, **name
     return SPLITTERS[kind.lower()](docs, size, overlap, **names)
 
 
+#: Words of a chunk, and of its overlap, by purpose: reports on communities, and expected answers.
+PRESETS = {"report": (600, 0), "golden": (1024, 0)}
+
+
+def chunk_preset(docs: DataFrame, purpose: str, **names) -> DataFrame:
+    """Chunks of words of a size by purpose (see `PRESETS`)."""
+    return chunk_tokens(docs, *PRESETS[purpose], **names)
+
+
+def first_words(c: Column, n: int) -> Column:
+    """The first n words of a text, joined by spaces; all of a shorter one."""
+    return F.array_join(F.slice(words(c), 1, n), " ")
+
+
 #: Splitters by kind: functions (docs, size, overlap, **names) -> chunks.
 SPLITTERS: dict[str, Callable[..., DataFrame]] = {
     "token": chunk_tokens,

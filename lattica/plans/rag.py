@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica import providers
 from lattica.functions.metrics import context_precision, faithfulness, input_error, mcq_accuracy, mcq_choice, mcq_prompt, normalise_reply, parse_judge, plain_as_json, verdict
-from lattica.functions.text import STRUCTURE_SEPARATORS, chunk, chunk_recursively, or_default, semantic_chunks, words
+from lattica.functions.text import STRUCTURE_SEPARATORS, chunk, chunk_recursively, first_words, or_default, semantic_chunks, trim_white, words
 from lattica.operators.graph import PropertyGraph, resolve, triplets_to_graph
 from lattica.operators.retrieval import normalised, top_k
 from lattica.plans.lineage import cut
@@ -135,6 +135,36 @@ def discrete_metric(rows: DataFrame, judge: providers.Provider, allowed: tuple[s
     return cut(rows.withColumn("score", said)).withColumn("score", F.when(F.col("score").isin(*allowed), F.col("score")))
 
 
+#: Instructions of a pass-or-fail judge, by the name of the prompt.
+DISCRETE_PROMPTS = {
+    "strict": "Say pass if the answer agrees with the reference in every point, else fail.",
+    "lenient": "Say pass if the answer holds what matters most in the reference, else fail.",
+    "reasoned": "Compare the answer with the reference point by point, then say pass or fail.",
+}
+
+
+def discrete_experiments(rows: DataFrame, judge: providers.Provider, prompts: dict[str, str] | None = None, allowed: tuple[str, ...] = ("pass", "fail")) -> DataFrame:
+    """rows (answer, reference, ...) once for each prompt, with prompt, score and raw; score is null where a judge says what isn't allowed."""
+    ship(rows.sparkSession)
+    prompts = prompts or DISCRETE_PROMPTS
+    each = rows.withColumn("prompt", F.explode(F.array(*map(F.lit, prompts))))
+    told = F.create_map(*[F.lit(x) for item in prompts.items() for x in item])[F.col("prompt")]
+    said = cut(each.withColumn("raw", providers.column(judge)(F.to_json(F.struct(told.alias("instruction"), "answer", "reference")))))
+    plain = F.lower(trim_white(F.col("raw")))
+    return said.withColumn("score", F.when(plain.isin(*allowed), plain))
+
+
+#: What is extracted from a text, and how many of its words an extractor sees at most.
+EXTRACTED = {"headline": 300, "summary": 300, "keyphrases": 2000}
+
+
+def extracted(docs: DataFrame, extractors: dict[str, providers.Provider], caps: dict[str, int] | None = None) -> DataFrame:
+    """docs (doc_id, text, ...) with a column for each extractor, which sees the first words of a text up to its cap (see `EXTRACTED`)."""
+    ship(docs.sparkSession)
+    caps = {**EXTRACTED, **(caps or {})}
+    return cut(docs.withColumns({name: providers.column(p)(F.concat(F.lit("Context: "), first_words(F.coalesce("text", F.lit("")), caps[name]))) for name, p in extractors.items()}))
+
+
 def lexical_graph(docs: DataFrame, chunks: DataFrame) -> PropertyGraph:
     """Document and Chunk nodes with FROM_DOCUMENT edges and NEXT_CHUNK edges between neighbours."""
     node = lambda df, label, text: df.select("id", F.array(F.lit(label)).alias("labels"), text.alias("text"))

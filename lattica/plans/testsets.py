@@ -51,11 +51,12 @@ def multi_hop_groups(links: DataFrame, per_context: int = 2, seed: int = 11) ->
     return numbered.join(stay, ["a", "b"], "left_semi").drop("_o")
 
 
-def question_set(chunks: DataFrame, groups: DataFrame, writer: providers.Provider, critic: providers.Provider | None = None, passing: float = 5.0, per_context: int = 2, style: str = "") -> DataFrame:
+def question_set(chunks: DataFrame, groups: DataFrame, writer: providers.Provider, critic: providers.Provider | None = None, passing: float = 5.0, per_context: int = 2, style: str = "", size: int | None = None, seed: int = 11) -> DataFrame:
     """(hops, contexts, input, expected_output): questions about single chunks (id, text) and about groups (a, b) of two.
 
     A context gives at most `per_context` questions by itself, and is in the groups that are given. critic: a judge that
-    replies in JSON, whose score of correctness must reach `passing`; a reply that can't be read fails.
+    replies in JSON, whose score of correctness must reach `passing`; a reply that can't be read fails. size: how many
+    questions there are at most, the first in an order by a seeded hash; all without it.
     """
     from lattica.functions.metrics import parse_judge
 
@@ -71,7 +72,8 @@ def question_set(chunks: DataFrame, groups: DataFrame, writer: providers.Provide
     if critic is not None:
         asked = F.to_json(F.struct(F.col("input").alias("question"), F.col("text").alias("truth"), F.col("expected_output").alias("answer"), F.array("text").alias("contexts")))
         rows = cut(rows.withColumn("verdict", parse_judge(providers.column(critic)(asked)))).where(F.coalesce(F.col("verdict.answer_correctness_score"), F.lit(0.0)) >= passing)
-    return rows.select("hops", "contexts", "input", "expected_output")
+    rows = rows.select("hops", "contexts", "input", "expected_output")
+    return rows if size is None else rows.orderBy(F.xxhash64("contexts", "input", F.lit(seed)), "contexts", "input").limit(size)
 
 
 def split_of(key: Column, train: float = 0.8, test: float = 0.1, seed: int = 11) -> Column:

@@ -37,8 +37,18 @@ def write_evaluation(df: DataFrame, path: str, mode: str = "errorifexists") -> N
     write_csv(_flat(df, EVALUATION_COLUMNS), path, mode)
 
 
-def write_graph(graph: PropertyGraph, path: str, mode: str = "errorifexists") -> None:
-    """nodes, and edges in a folder for each type, so that a scan of one type reads only that."""
+def write_experiment(df: DataFrame, folder: str, prefix: str, run_id: str) -> str:
+    """Writes an experiment's rows as CSV, arrays and structs as JSON, under a prefix and its run's id; a run that is there already is an error. The path."""
+    path = f"{folder.rstrip('/')}/{prefix}{run_id}"
+    flat = [F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in df.dtypes]
+    write_csv(df.select(*flat), path)
+    return path
+
+
+def write_graph(graph: PropertyGraph, path: str, mode: str = "errorifexists", quarantine: DataFrame | None = None) -> None:
+    """nodes, and edges in a folder for each type, so that a scan of one type reads only that; and the replies that couldn't be read."""
+    if quarantine is not None:
+        quarantine.write.mode(mode).parquet(f"{path}/quarantine")
     graph.nodes.write.mode(mode).parquet(f"{path}/nodes")
     graph.edges.write.mode(mode).partitionBy("type").parquet(f"{path}/edges")
 

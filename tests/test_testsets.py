@@ -106,6 +106,8 @@ def test_linked_chunks(spark, monkeypatch):
             if verdict["answer_correctness"]["score"] >= 8.0:
                 want[len(ids), tuple(map(str, ids)), q["question"], q["answer"]] += 1
     assert Counter((r.hops, tuple(r.contexts), r.input, r.expected_output) for r in made) == want
+    few = testsets.question_set(docs, spark.createDataFrame(groups, "a long, b long"), writer, judge, 8.0, size=8).collect()
+    assert len(few) == min(8, len(made)) and set(map(str, few)) <= set(map(str, made))
 
 
 def test_similar_links_and_splits(spark):

@@ -143,3 +143,33 @@ def test_kg_pipeline(spark):
     assert {r.id: r.embedding is not None for r in g.nodes.collect()} == {"1": False, "2": False, "1#0": True, "1#1": True, "2#0": True, "Anna": False, "Bert": False}
     worded = rag.evaluate(spark.createDataFrame([("q", "a", "t", "s", "p", "k", "1")], "question string, answer string, question_type string, source string, persona string, task string, chunk_id string"), providers.get("generate-offline"), providers.get("generate-offline"), worded=True).first()
     assert worded.rag_answer == "q" and worded.answer_correctness_score is None
+
+
+def test_discrete_prompts_extractors_and_presets(spark, tmp_path):
+    from lattica.sources import sinks
+
+    class Says:
+        returns = "string"
+
+        def call(self, texts):
+            return [" PASS\n" if "every point" in t and '"answer":"a"' in t else "maybe" if "point by point" in t else "fail" for t in texts]
+
+    rows = spark.createDataFrame([("a", "x"), ("b", "x")], "answer string, reference string")
+    got = rag.discrete_experiments(rows, Says())
+    assert {(r.answer, r.prompt, r.score) for r in got.collect()} == {("a", "strict", "pass"), ("b", "strict", "fail"), ("a", "lenient", "fail"), ("b", "lenient", "fail"), ("a", "reasoned", None), ("b", "reasoned", None)}
+    assert {(r.prompt, r.score) for r in rag.discrete_experiments(spark.createDataFrame([("same words here", "same words here")], "answer string, reference string"), providers.get("passfail-offline")).collect()} == {(p, "pass") for p in rag.DISCRETE_PROMPTS}
+    path = sinks.write_experiment(got.withColumn("all", F.array("answer", "raw")), str(tmp_path), "discrete_", "run1")
+    assert path.endswith("/discrete_run1") and spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).count() == 6
+    with pytest.raises(Exception, match="exists"):
+        sinks.write_experiment(got, str(tmp_path), "discrete_", "run1")
+
+    class Count:
+        returns = "string"
+
+        def call(self, texts):
+            return [str(len(t.split()) - 1) for t in texts]
+
+    docs = spark.createDataFrame([(1, "w " * 3000), (2, "w w"), (3, None)], "doc_id int, text string")
+    made = {r.doc_id: (r.headline, r.summary, r.keyphrases) for r in rag.extracted(docs, {k: Count() for k in rag.EXTRACTED}).collect()}
+    assert made == {1: ("300", "300", "2000"), 2: ("2", "2", "2"), 3: ("0", "0", "0")}
+    assert [text.chunk_preset(docs, p).where("doc_id = 1").count() for p in ("report", "golden")] == [5, 3]
