@@ -10,12 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +22,7 @@ from lattica.plans.lineage import cut, shared_path
 from lattica.session import ship
 
 #: Vectors that centres are fitted on at most; vectors that a list aims at, and lists at most, whose centres go to every task.
-SAMPLE, LIST, LISTS = 20_000, 512, 4096
+SAMPLE, LIST, LISTS = 20_000, 1024, 4096
 #: Vectors that a part aims at (no part has twice as many), routed queries that meet a part at once, and cells of one product.
 PART, QUERIES, CELLS = 10_000, 20_000, 4_000_000
 #: Bins of the angle to a centre, from which rings are made.
@@ -42,6 +41,21 @@ def _angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ centres.T, -1, 1))
 
 
+def _fitted(x: np.ndarray, lists: int, rounds: int = 6) -> np.ndarray:
+    """At most `lists` different centres of length one, by spherical k-means over unit vectors; equal vectors count once."""
+    x = np.unique(x, axis=0)
+    centres = x[np.random.default_rng(1).permutation(len(x))[: max(1, min(lists, LISTS))]]
+    for _ in range(rounds if len(centres) > 1 else 0):
+        near = (x @ centres.T).argmax(axis=1)
+        order = near.argsort(kind="stable")
+        first = np.flatnonzero(np.diff(near[order], prepend=-1))
+        sums = np.add.reduceat(x[order], first)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        fine = size[:, 0] > 1e-9
+        centres[near[order][first][fine]] = sums[fine] / size[fine]
+    return centres
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     """centres: unit vectors by list; items: (item_id, vec, same, list, angle, ring, salt); parts: (list, same, ring, salt, low, high, n)."""
@@ -63,15 +77,8 @@ class VectorIndex:
         v = v.select("item_id", "vec", "same")
         n = v.count()
         share = F.shiftrightunsigned(F.xxhash64("item_id"), 32) < F.lit(int(min(1.0, 1.5 * sample / max(n, 1)) * 2**32))
-        some = v.where(share).limit(sample).dropDuplicates(["vec"]).select(array_to_vector("vec").alias("features"))
-        lists = max(1, min(lists or -(-n // LIST), LISTS, some.count()))
-        if n == 0:
-            centres = np.zeros((0, 1))
-        elif lists == 1:
-            centres = np.array([some.first()[0].toArray()])
-        else:
-            centres = np.array(KMeans(k=lists, maxIter=5, seed=1, initMode="random", distanceMeasure="cosine").fit(some).clusterCenters())
-        centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+        some = v.where(share).select("vec").limit(sample).toArrow().column("vec").combine_chunks()  # at most `sample` vectors
+        centres = _fitted(np.stack(some.to_numpy(zero_copy_only=False)), lists or -(-n // LIST)) if n else np.zeros((0, 1))
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>").write.parquet(f"{path}/centres")
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,11 +107,19 @@ class VectorIndex:
         centres = np.array([r["centre"] for r in rows]) if rows else np.zeros((0, 1))
         return cls(centres, spark.read.parquet(f"{path}/items"), spark.read.parquet(f"{path}/parts"))
 
+    @cached_property
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the largest angle of a vector to its centre, by list; of an empty list such that nothing is near."""
+        rows = self.parts.groupBy("list").agg(F.min("low"), F.max("high")).collect()  # at most LISTS
+        low, high = np.full(len(self.centres), 9.0), np.full(len(self.centres), -9.0)
+        for r in rows:
+            low[r[0]], high[r[0]] = r[1:]
+        return low, high
+
     def _routed(self, queries: DataFrame, most: int | None, beyond: int = 0) -> DataFrame:
         """queries (query_id, vec, same, reach) with list and angle: the `most` nearest lists, but not the `beyond` nearest, whose vectors may be within reach."""
         centres = self.centres
-        bounds = {r["list"]: (r["low"], r["high"]) for r in self.parts.groupBy("list").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()}  # at most LISTS
-        low, high = (np.array([bounds.get(i, (9.0, -9.0))[side] for i in range(len(centres))]) for side in (0, 1))
+        low, high = self.bounds
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -130,9 +145,8 @@ class VectorIndex:
         on = (F.col("list") == F.col("_l")) & (F.col("angle") - F.col("reach") - _SLACK <= F.col("high")) & (F.col("angle") + F.col("reach") + _SLACK >= F.col("low"))
         asked = routed.join(parts, on & F.col("same").eqNullSafe(F.col("_s")) & F.col("same").isNotNull() if match else on)
         asked = cut(asked.select("query_id", F.col("vec").alias("q"), "list", F.col("_s").alias("same"), "ring", "salt"))
-        most = asked.groupBy("list", "same", "ring", "salt").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        slices = -(-most // QUERIES) or 1
-        probed = [r["list"] for r in asked.select("list").distinct().collect()]  # at most LISTS
+        met = asked.groupBy("list", "same", "ring", "salt").agg(F.count("*").alias("n")).agg(F.max("n"), F.collect_set("list")).first()  # at most LISTS
+        slices, probed = -(-(met[0] or 0) // QUERIES) or 1, met[1]
         items = self.items.where(F.col("list").isin(probed))
         unit = ["list", F.coalesce(F.xxhash64("same"), F.lit(0)).alias("_s"), "ring", "salt"]
         asked = asked.select("query_id", "q", *unit, F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(slices)).cast("int").alias("slice"))
@@ -172,6 +186,7 @@ class VectorIndex:
         q = queries.select("query_id", "vec", F.lit(0).alias("same"))
         order = [F.desc("score"), F.asc("item_id")]
         ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+        probes = len(self.centres) if exact and len(self.centres) <= 2 * probes else probes
         found = ranked(self._met(self._routed(q.withColumn("reach", F.lit(math.pi)), probes), k, -2.0, False, False))
         if exact and probes < len(self.centres):
             found = cut(found)
