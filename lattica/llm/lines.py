@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,8 @@ RUN, LONG = 2, 50
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def lines(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first, number, hash, words) of the lines of some texts that aren't blank: where each text begins, and of each line its number."""
+def places(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, number, begin, words) of the lines of some texts that aren't blank: where each text begins, and of each line its number and first word."""
     breaks = np.zeros(len(words.data) + 1, np.int64)
     np.cumsum(words.data == 10, out=breaks[1:])
     text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
@@ -34,8 +35,13 @@ def lines(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     new[1:] = (line[1:] != line[:-1]) | (text[1:] != text[:-1])
     begin = np.flatnonzero(new)
     n = np.diff(np.r_[begin, len(line)])
-    h = span_hashes(_BYTES[words.data], words.starts[begin], words.ends[begin + n - 1])
-    return np.searchsorted(begin, words.first), line[begin] - breaks[words.offsets[text[begin]]], h, n
+    return np.searchsorted(begin, words.first), line[begin] - breaks[words.offsets[text[begin]]], begin, n
+
+
+def lines(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, hash, words) of the lines of some texts that aren't blank."""
+    first, _, begin, n = places(words)
+    return first, span_hashes(_BYTES[words.data], words.starts[begin], words.ends[begin + n - 1]), n
 
 
 def winnow(h: np.ndarray, first: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +59,7 @@ def repeated_runs(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFram
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, w in chunks(b):
-                first, _, h, n = lines(w)
+                first, h, n = lines(w)
                 start, chosen = winnow(h, first, run)
                 new = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]]) if len(chosen) else chosen
                 alone = np.flatnonzero(n >= long)
@@ -82,25 +88,29 @@ def dedup_lines(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
     so keep the same lines. A null text has no lines and stays null; an empty one has one, which is blank. Texts of any
     length are read whole; an empty table gives an empty one. Columns of docs are under `row`, and so may have any names.
     """
-    rows = docs.select(row_key("doc_id", "text").alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row_key("doc_id", "text").alias("k"), row.alias("row"))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, w in chunks(b):
-                first, number, _, _ = lines(w)
+            texts = pa.RecordBatch.from_arrays([pc.struct_field(b.column("row"), [at])], names=["text"])
+            for i, j, w in chunks(texts):
+                first, number, _, _ = places(w)
                 kept, n, gone = [], [], []
-                for k, (text, spans) in enumerate(zip(b.column("text").slice(i, j - i), b.column("spans").slice(i, j - i))):
+                for k, (text, spans) in enumerate(zip(texts.column(0).slice(i, j - i), b.column("spans").slice(i, j - i))):
                     text, spans = text.as_py(), spans.as_py()
                     n.append(0 if text is None else text.count("\n") + 1)
                     drop: set[int] = set()
                     for s in spans or ():
-                        at = first[k] + s["l"]
-                        drop.update(range(number[at], number[at + s["n"] - 1] + 1))
+                        line = first[k] + s["l"]
+                        drop.update(range(number[line], number[line + s["n"] - 1] + 1))
                     gone.append(len(drop))
                     kept.append("\n".join(x for q, x in enumerate(text.split("\n")) if q not in drop) if drop else text)
                 yield pa.RecordBatch.from_arrays([b.column("row").slice(i, j - i), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=["row", "kept", "n_lines", "n_removed"])
 
-    joined = rows.join(repeated_runs(rows.select("k", "text"), run, long), "k", "left").select("row", "text", "spans")
+    at = docs.columns.index("text")
+    runs = repeated_runs(docs.select(row_key("doc_id", "text").alias("k"), "text"), run, long)
+    joined = rows.join(runs, "k", "left").select("row", "spans")
     return joined.mapInArrow(rest, f"row {rows.schema['row'].dataType.simpleString()}, kept string, n_lines long, n_removed long")
 
 
