@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lattica.operators import algorithms, graph, retrieval, tabular
+from lattica.operators import algorithms, graph, retrieval, tabular, vector_index
 
 
 def edges(spark, pairs):
@@ -109,7 +109,7 @@ def test_top_k_ties_and_many_queries(spark, monkeypatch):
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vec array<double>")
     want = [(1, 1.0, 1), (3, 1.0, 2)]
     assert sorted((r.item_id, r.score, r["rank"]) for r in retrieval.top_k(queries, items, 2).collect()) == want
-    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 0)
+    monkeypatch.setattr(vector_index, "QUERIES", 1)
     assert sorted((r.item_id, r.score, r["rank"]) for r in retrieval.top_k(queries, items, 2).collect()) == want
 
 
