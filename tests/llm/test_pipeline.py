@@ -60,9 +60,14 @@ def test_mixing_budgets(spark):
         assert taken[s] == int(targets[s] + 1e-9)
     assert sorted(map(str, got)) == sorted(map(str, mix_documents(docs.repartition(5)).collect()))
     # what each row takes: in the order of its key, after all rows of its source with smaller ones
-    key = lambda i, n: xxhash.xxh64_intdigest(struct.pack("<q", n), seed=xxhash.xxh64_intdigest(struct.pack("<i", 0), seed=xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42)))
+    def key(i, n, t):  # of the id, the seed, the size and the text's own hash, one after the other
+        h = 42
+        for part in (struct.pack("<q", i), struct.pack("<i", 0), struct.pack("<q", n), struct.pack("<Q", xxhash.xxh64_intdigest(t.encode(), seed=42))):
+            h = xxhash.xxh64_intdigest(part, seed=h)
+        return h
+
     want, place = [], {}
-    for _, i, n, s in sorted((key(i, len(t.split())), i, len(t.split()), s or "") for i, t, _, s, _ in rows):
+    for _, i, n, s in sorted((key(i, len(t.split()), t), i, len(t.split()), s or "") for i, t, _, s, _ in rows):
         whole, goal = sizes[s or None], int(targets[s or None] + 1e-9)
         want.append((i, s, n, goal // whole * n + max(0, min(n, goal % whole - place.get(s, 0)))))
         place[s] = place.get(s, 0) + n
