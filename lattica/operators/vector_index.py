@@ -25,6 +25,8 @@ from lattica.session import ship
 SAMPLE, LIST, LISTS = 20_000, 1024, 4096
 #: Vectors that a part aims at (no part has twice as many), routed queries that meet a part at once, and cells of one product.
 PART, QUERIES, CELLS = 10_000, 20_000, 4_000_000
+#: Cells of a table of angles between vectors and centres, and components of the vectors of a block of `pairs`.
+ANGLES, BLOCK = 500_000, 1_000_000
 #: Bins of the angle to a centre, from which rings are made.
 _BINS = 4096
 #: What rounding may move an angle by.
@@ -41,6 +43,26 @@ def _angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ centres.T, -1, 1))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], lists: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their table of angles to the centres is of bounded size."""
+    step = max(1, ANGLES // max(1, lists))
+    for b in batches:
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
+def _joined(name: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """name, a least place for each part of a graph, after edges between places p and q have joined parts."""
+    while len(p):
+        a, b = name[p], name[q]
+        apart = a != b
+        p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+        np.minimum.at(name, np.maximum(a, b), np.minimum(a, b))
+        while (name != name[name]).any():
+            name = name[name]
+    return name
+
+
 def _fitted(x: np.ndarray, lists: int, rounds: int = 6) -> np.ndarray:
     """At most `lists` different centres of length one, by spherical k-means over unit vectors; equal vectors count once."""
     x = np.unique(x, axis=0)
@@ -82,7 +104,7 @@ class VectorIndex:
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>").write.parquet(f"{path}/centres")
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _slices(batches, len(centres)):
                 a = _angles(_matrix(b.column("vec"), centres.shape[1]), centres)
                 nearest = a.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest.astype(np.int32)), pa.array(a[np.arange(len(a)), nearest])], names=[*b.schema.names, "list", "angle"])
@@ -122,18 +144,17 @@ class VectorIndex:
         low, high = self.bounds
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, whole.num_rows if len(centres) else 0, 1000):
-                    b = whole.slice(at, 1000)
-                    a = _angles(_matrix(b.column("vec"), centres.shape[1]), centres)
-                    reach = b.column("reach").to_numpy(zero_copy_only=False)[:, None] + _SLACK
-                    hit = (a - reach <= high) & (a + reach >= low)
-                    if beyond or most is not None:
-                        place = a.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
-                        hit &= (place >= beyond) & (place < (len(centres) if most is None else most))
-                    row, cell = np.nonzero(hit)
-                    out = b.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell.astype(np.int32)), pa.array(a[row, cell])], names=[*b.schema.names, "list", "angle"])
+            for b in _slices(batches, len(centres)) if len(centres) else ():
+                a = _angles(_matrix(b.column("vec"), centres.shape[1]), centres)
+                reach = b.column("reach").to_numpy(zero_copy_only=False)[:, None] + _SLACK
+                hit = (a - reach <= high) & (a + reach >= low)
+                if beyond or most is not None:
+                    place = a.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+                    hit &= (place >= beyond) & (place < (len(centres) if most is None else most))
+                row, cell = np.nonzero(hit)
+                for at in range(0, len(row), 10_000):
+                    r, c = row[at : at + 10_000], cell[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([*b.take(pa.array(r)).columns, pa.array(c.astype(np.int32)), pa.array(a[r, c])], names=[*b.schema.names, "list", "angle"])
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema)
         return queries.mapInArrow(route, f"{kinds}, list int, angle double")
@@ -196,8 +217,76 @@ class VectorIndex:
             found = ranked(found.drop("rank").unionByName(more))
         return found.select("query_id", "item_id", "score", "rank")
 
-    def pairs(self, least: float) -> DataFrame:
-        """(a, b, score) with a < b of all items of equal `same`, null aside, whose rounded cosine is at least `least`."""
-        reach = math.acos(max(-1.0, least - 1e-6))
-        q = self.items.select(F.col("item_id").alias("query_id"), "vec", "same", F.lit(reach).alias("reach"))
-        return self._met(self._routed(q, None), None, least, True, True).withColumnsRenamed({"query_id": "a", "item_id": "b"})
+    def _blocks(self, least: float) -> tuple[DataFrame, DataFrame]:
+        """Parts of one `same` put together to blocks, (list, same, ring, salt, block), and pairs of blocks, (same, a, b) with a <= b, that may hold a pair of rows."""
+        centres, reach = self.centres, math.acos(max(-1.0, least - 1e-6)) + _SLACK
+        rows = max(1, BLOCK // self.centres.shape[1])
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("same").orderBy("list", "ring", "salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        blocks = cut(self.parts.where("same is not null").withColumn("block", F.floor(before / rows).cast("int")))
+        bounds = blocks.groupBy("same", "block").agg(F.collect_list(F.struct("list", "low", "high")).alias("p"))  # at most `rows` parts and one
+        both = bounds.select("same", F.col("block").alias("a"), F.col("p").alias("x")).join(bounds.select("same", F.col("block").alias("b"), F.col("p").alias("y")), "same").where("a <= b")
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                    cx, cy = (centres[[p["list"] for p in z]] for z in (x, y))
+                    hx, hy = (np.array([p["high"] for p in z]) for z in (x, y))
+                    step = max(1, ANGLES // len(y))
+                    # from one vector to another it is at least as far as between their centres, less the angles to these
+                    keep.append(any((_angles(cx[at : at + step], cy) - hx[at : at + step, None] - hy <= reach).any() for at in range(0, len(x), step)))
+                yield batch.select(["same", "a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        kind = blocks.schema["same"].dataType.simpleString()
+        return blocks.select("list", "same", "ring", "salt", "block"), cut(both.repartition("same", "a", "b").mapInArrow(near, f"same {kind}, a int, b int"))
+
+    def pairs(self, least: float, forest: bool = False) -> DataFrame:
+        """(a, b, score) with a < b of all items of equal `same`, null aside, whose rounded cosine is at least `least`.
+
+        Blocks of a bounded number of vectors meet in pairs, those aside that their angles to the centres rule out, so a
+        vector travels once for each block that it may meet. forest: of each pair of blocks only enough pairs to connect
+        what all of them connect, (a, b), fewer than it has vectors.
+        """
+        width = self.centres.shape[1]
+        blocks, met = self._blocks(least)
+        b = blocks.withColumnsRenamed({"list": "_l", "same": "_s", "ring": "_r", "salt": "_t"})
+        i = self.items
+        items = i.join(b, (i["list"] == b["_l"]) & (i["same"] == b["_s"]) & (i["ring"] == b["_r"]) & (i["salt"] == b["_t"])).select("item_id", "vec", "same", "block")
+        left = items.join(met.withColumnsRenamed({"a": "block", "b": "other"}), ["same", "block"]).select("item_id", "vec", "same", F.col("block").alias("a"), F.col("other").alias("b"))
+        right = items.join(met.where("a < b").withColumnsRenamed({"b": "block", "a": "other"}), ["same", "block"]).select(F.col("item_id").alias("id"), F.col("vec").alias("v"), F.col("same").alias("s"), F.col("other").alias("p"), F.col("block").alias("q"))
+
+        def compare(one: pa.Table, two: pa.Table) -> pa.Table:
+            own = two.num_rows == 0  # a block with itself
+            two = one if own else two.rename_columns([{"id": "item_id", "v": "vec"}.get(c, c) for c in two.column_names])
+            x, y = _matrix(one.column("vec"), width), _matrix(two.column("vec"), width)
+            rows, cols, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            step = max(1, CELLS // max(1, len(y)))
+            # names of the parts that the pairs so far connect: a row's place, or that of a row with which it is connected
+            name = np.arange(len(x) + (0 if own else len(y)))
+            for at in range(0, len(x), step):
+                s = np.round(x[at : at + step] @ y.T, 6)
+                row, col = np.nonzero(s >= least)
+                if own:
+                    row, col = row[row + at < col], col[row + at < col]
+                score = s[row, col]
+                row = row + at
+                if forest:
+                    name = _joined(name, row, col if own else col + len(x))
+                else:
+                    rows.append(row)
+                    cols.append(col)
+                    scores.append(score)
+            ids = one.column("item_id").combine_chunks() if own else pa.chunked_array([*one.column("item_id").chunks, *two.column("item_id").chunks], one.schema.field("item_id").type).combine_chunks()
+            if forest:
+                row = np.flatnonzero(name != np.arange(len(name)))
+                p, q, score = ids.take(pa.array(row)), ids.take(pa.array(name[row])), np.full(len(row), np.nan)
+            else:
+                row, col, score = map(np.concatenate, (rows, cols, scores))
+                p, q = ids.take(pa.array(row)), ids.take(pa.array(col if own else col + len(x)))
+            less = pa.compute.less(p, q)
+            found = pa.table({"a": pa.compute.if_else(less, p, q), "b": pa.compute.if_else(less, q, p), "score": score})
+            return found.filter(pa.compute.not_equal(found.column("a"), found.column("b")))  # rows may share an id
+
+        kind = self.items.schema["item_id"].dataType.simpleString()
+        found = left.groupBy("same", "a", "b").cogroup(right.groupBy("s", "p", "q")).applyInArrow(compare, f"a {kind}, b {kind}, score double")
+        return found.select("a", "b") if forest else found
