@@ -30,20 +30,20 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 5, **options) -> DataFr
     return VectorIndex.build(items, **options).search(queries, k, exact=True)
 
 
-def similar_pairs(vectors: DataFrame, least: float, same: str, **options) -> DataFrame:
+def similar_pairs(vectors: DataFrame, least: float, same: str, forest: bool = False, **options) -> DataFrame:
     """(a, b, score) with a < b of vectors (id, vec of length one, and a column `same`) whose cosine is at least `least`.
 
     Only rows with equal `same`, null aside, are compared, and of those only the ones that their angles to the centres
-    of a `VectorIndex` don't rule out.
+    of a `VectorIndex` don't rule out. forest: only enough pairs (a, b) to connect what all of them connect.
     """
-    return VectorIndex.build(vectors.select(F.col("id").alias("item_id"), "vec", F.col(same).alias("same")), **options).pairs(least)
+    return VectorIndex.build(vectors.select(F.col("id").alias("item_id"), "vec", F.col(same).alias("same")), **options).pairs(least, forest)
 
 
 def merge_similar(vectors: DataFrame, least: float, same: str) -> DataFrame:
     """(id, representative): rows that similar pairs connect get the least id of their component."""
     from lattica.operators.algorithms import components
 
-    pairs = similar_pairs(vectors, least, same).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    pairs = similar_pairs(vectors, least, same, forest=True).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return components(vectors, pairs).withColumnRenamed("component", "representative")
 
 
