@@ -63,3 +63,11 @@ def test_headlines_leave_a_few_texts_at_a_time(spark, monkeypatch):
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
     want = {(i, j): p for i, t in rows for j, p in enumerate(text.pack_sections(t, 20, 50))}
     assert {(x.doc_id, x.chunk_id): (x.headline, x.chunk, x.tokens) for x in found.collect()} == want
+
+
+def test_keyphrases_join_a_table_of_known_size(spark, monkeypatch):
+    kept, cut = [], text.cut
+    monkeypatch.setattr(text, "cut", lambda df: (kept.append(df.columns), cut(df))[1])
+    docs = spark.createDataFrame([(1, "alpha alpha beta"), (2, "beta gamma"), (3, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.rank, r.term) for r in text.keyphrases(docs, 1).orderBy("doc_id").collect()] == [(1, 1, "alpha"), (2, 1, "gamma")]
+    assert kept == [["doc_id", "term", "tf"], ["term", "df"]]
