@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lattica import providers
 from lattica.functions.metrics import context_precision, faithfulness, input_error, mcq_accuracy, mcq_choice, mcq_prompt, normalise_reply, parse_judge, plain_as_json, verdict
 from lattica.functions.text import STRUCTURE_SEPARATORS, chunk, chunk_recursively, first_words, or_default, semantic_chunks, trim_white, words
-from lattica.operators.graph import PropertyGraph, resolve, triplets_to_graph
+from lattica.operators.graph import PropertyGraph, triplets_to_graph
 from lattica.operators.retrieval import normalised, top_k
 from lattica.plans.lineage import cut
 from lattica.session import ship
@@ -178,8 +178,8 @@ def lexical_graph(docs: DataFrame, chunks: DataFrame) -> PropertyGraph:
 def listed_propositions(chunks: DataFrame, propositions: providers.Provider) -> DataFrame:
     """(doc_id, segment, pos, proposition): what a provider takes from chunks (doc_id, chunk_id, chunk), with their places; replies that can't be read give none."""
     ship(chunks.sparkSession)
-    said = cut(chunks.withColumn("reply", providers.column(propositions)(F.col("chunk"))))
-    return said.select("doc_id", F.col("chunk_id").alias("segment"), F.posexplode(F.from_json("reply", "struct<propositions: array<string>>")["propositions"]).alias("pos", "proposition"))
+    said = cut(chunks.select("doc_id", F.col("chunk_id").alias("segment"), providers.column(propositions)(F.col("chunk")).alias("reply")))
+    return said.select("doc_id", "segment", F.posexplode(F.from_json("reply", "struct<propositions: array<string>>")["propositions"]).alias("pos", "proposition"))
 
 
 def kg_pipeline(docs: DataFrame, embedder: providers.Provider, triplets: providers.Provider, types: tuple[str, ...] | None = None, size: int = 200, overlap: int = 20) -> PropertyGraph:
@@ -196,31 +196,35 @@ def kg_pipeline(docs: DataFrame, embedder: providers.Provider, triplets: provide
     if types is not None:
         told = told.where(F.upper(F.replace(F.get("triplet", 1), F.lit(" "), F.lit("_"))).isin(*types))
     told = cut(told)
-    entities, _ = triplets_to_graph(told)
-    entities = resolve(entities, ["name"])
+    entities, _ = triplets_to_graph(told)  # entities are their names, so those of one name are one already
     came = told.select(F.explode(F.array(F.get("triplet", 0), F.get("triplet", 2))).alias("src"), F.lit("FROM_CHUNK").alias("type"), F.col("chunk").alias("dst")).distinct()
     nodes = lexical.nodes.join(chunks.select(chunk_id.alias("id"), "embedding"), "id", "left")
     return PropertyGraph(nodes.unionByName(entities.nodes, allowMissingColumns=True), lexical.edges.unionByName(entities.edges).unionByName(came))
 
 
+#: Rows of a file of texts or triplets.
+FILE = 2_000
+
+
 def knowledge_graph(docs: DataFrame, embedder: providers.Provider, propositions: providers.Provider, triplets: providers.Provider, size: int = 2000, overlap: int = 200) -> tuple[PropertyGraph, DataFrame]:
     """The resolved entity graph of docs (doc_id, text), with MENTIONS edges from chunks, and the replies that couldn't be read.
 
     Texts are cut at structure, then into propositions, which are grouped by meaning; triplets are taken from the groups.
+    Each row of docs is a text by itself; chunks of equal doc_id and place are one node. Up to the triplets nothing is
+    shuffled, and what providers reply is written in files of some rows, so that the next step's tasks don't depend on docs' files.
     """
     ship(docs.sparkSession)
     chunks = chunk_recursively(docs, size, overlap, STRUCTURE_SEPARATORS)
-    listed = listed_propositions(chunks, propositions)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "proposition"))), lambda x: x["proposition"])
-    joined = listed.groupBy(F.concat_ws("#", "doc_id", "segment").alias("doc_id")).agg(F.array_join(ordered, " ").alias("text"))
+    said = F.from_json(providers.column(propositions)(F.col("chunk")), "struct<propositions: array<string>>")["propositions"]
+    joined = cut(chunks.select(F.concat_ws("#", "doc_id", "chunk_id").alias("doc_id"), F.array_join(said, " ").alias("text")), FILE)
     groups = semantic_chunks(joined.where("text <> ''"), providers.column(embedder))
-    told = cut(groups.withColumn("reply", providers.column(triplets)(F.col("chunk"))).withColumn("t", F.from_json("reply", "struct<triplets: array<array<string>>>")["triplets"]))
+    said = groups.select("doc_id", providers.column(triplets)(F.col("chunk")).alias("reply")).withColumn("t", F.from_json("reply", "struct<triplets: array<array<string>>>")["triplets"])
+    told = cut(said.select("doc_id", "t", F.when(F.col("t").isNull(), F.col("reply")).alias("raw")), FILE)
     rows = told.where("t is not null").select("doc_id", F.explode("t").alias("triplet"))
-    graph, bad = triplets_to_graph(rows)
-    graph = resolve(graph, ["name"])
+    graph, bad = triplets_to_graph(rows)  # entities are their names, so those of one name are one already
     mentions = rows.where(F.size("triplet") == 3).select(F.col("doc_id").alias("src"), F.lit("MENTIONS").alias("type"), F.explode(F.array(F.get("triplet", 0), F.get("triplet", 2))).alias("dst")).distinct()
     chunk_nodes = told.select(F.col("doc_id").alias("id")).distinct().select("id", F.array(F.lit("Chunk")).alias("labels"), F.lit(None).cast("string").alias("name"))
-    quarantine = told.where("t is null").select("doc_id", F.col("reply").alias("raw")).unionByName(bad.select("doc_id", F.to_json("triplet").alias("raw")))
+    quarantine = told.where("t is null").select("doc_id", "raw").unionByName(bad.select("doc_id", F.to_json("triplet").alias("raw")))
     return PropertyGraph(graph.nodes.unionByName(chunk_nodes), graph.edges.unionByName(mentions)), quarantine
 
 
