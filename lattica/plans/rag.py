@@ -202,8 +202,8 @@ def kg_pipeline(docs: DataFrame, embedder: providers.Provider, triplets: provide
     return PropertyGraph(nodes.unionByName(entities.nodes, allowMissingColumns=True), lexical.edges.unionByName(entities.edges).unionByName(came))
 
 
-#: Rows of a file of texts or triplets.
-FILE = 2_000
+#: How texts and triplets are stored: in small files, so that many tasks can read what few have written.
+FILES = {"maxRecordsPerFile": 2_000, "compression": "zstd"}
 
 
 def knowledge_graph(docs: DataFrame, embedder: providers.Provider, propositions: providers.Provider, triplets: providers.Provider, size: int = 2000, overlap: int = 200) -> tuple[PropertyGraph, DataFrame]:
@@ -216,10 +216,10 @@ def knowledge_graph(docs: DataFrame, embedder: providers.Provider, propositions:
     ship(docs.sparkSession)
     chunks = chunk_recursively(docs, size, overlap, STRUCTURE_SEPARATORS)
     said = F.from_json(providers.column(propositions)(F.col("chunk")), "struct<propositions: array<string>>")["propositions"]
-    joined = cut(chunks.select(F.concat_ws("#", "doc_id", "chunk_id").alias("doc_id"), F.array_join(said, " ").alias("text")), FILE)
+    joined = cut(chunks.select(F.concat_ws("#", "doc_id", "chunk_id").alias("doc_id"), F.array_join(said, " ").alias("text")), **FILES)
     groups = semantic_chunks(joined.where("text <> ''"), providers.column(embedder))
     said = groups.select("doc_id", providers.column(triplets)(F.col("chunk")).alias("reply")).withColumn("t", F.from_json("reply", "struct<triplets: array<array<string>>>")["triplets"])
-    told = cut(said.select("doc_id", "t", F.when(F.col("t").isNull(), F.col("reply")).alias("raw")), FILE)
+    told = cut(said.select("doc_id", "t", F.when(F.col("t").isNull(), F.col("reply")).alias("raw")), **FILES)
     rows = told.where("t is not null").select("doc_id", F.explode("t").alias("triplet"))
     graph, bad = triplets_to_graph(rows)  # entities are their names, so those of one name are one already
     mentions = rows.where(F.size("triplet") == 3).select(F.col("doc_id").alias("src"), F.lit("MENTIONS").alias("type"), F.explode(F.array(F.get("triplet", 0), F.get("triplet", 2))).alias("dst")).distinct()

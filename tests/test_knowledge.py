@@ -48,7 +48,7 @@ def test_each_replies_in_the_places_of_its_texts(spark, monkeypatch):
 
 def test_knowledge_graph_of_whole_table(spark, monkeypatch):
     kept, cut = [], rag.cut
-    monkeypatch.setattr(rag, "cut", lambda df, *a: (kept.append(df), cut(df, *a))[1])
+    monkeypatch.setattr(rag, "cut", lambda df, **o: (kept.append(df), cut(df, **o))[1])
     rows = _docs(spark)
     g, bad = rag.knowledge_graph(spark.createDataFrame(rows, "doc_id long, text string"), *map(providers.get, MODELS))
     assert [df.columns for df in kept] == [["doc_id", "text"], ["doc_id", "t", "raw"]]  # a text is stored once a step
